@@ -42,20 +42,16 @@ def filter_boundary_snapshot(snapshots: DataFrame, ring: Ring) -> DataFrame:
     return snapshots.withColumn("pilots", F.filter("pilots", keep))
 
 
-def filter_controller_allowlist(controllers: DataFrame, allow: DataFrame, known_empty: bool = False) -> DataFrame:
+def filter_controller_allowlist(controllers: DataFrame, allow: DataFrame) -> DataFrame:
     """Keep callsigns on the list; blank ones go. An empty list keeps all.
 
-    Whether the list is empty is decided inside the plan, by a one-row count.
+    Whether the list is empty is a scalar sub-query of the plan.
     """
-    if known_empty:
-        return controllers
     listed = allow.select(F.col("callsign").alias("_allowed")).distinct()
-    size = listed.agg(F.count(F.lit(1)).alias("_size"))
-    tagged = controllers.join(
-        listed, F.col("callsign") == F.col("_allowed"), "left"
-    ).join(F.broadcast(size))
+    size = listed.agg(F.count(F.lit(1))).scalar()
+    tagged = controllers.join(listed, F.col("callsign") == F.col("_allowed"), "left")
     on_list = nonblank(F.col("callsign")) & F.col("_allowed").isNotNull()
-    return tagged.where((F.col("_size") == 0) | on_list).drop("_allowed", "_size")
+    return tagged.where((size == 0) | on_list).drop("_allowed")
 
 
 def filter_callsign_pattern(rows: DataFrame, patterns: Sequence[str] = CALLSIGN_PATTERNS) -> DataFrame:

@@ -1,6 +1,13 @@
 """The registered queries over the derived tables, with their oracle SQL."""
 
-from airtrace.registry import base, contact_queries  # noqa: F401
+from airtrace.registry import (  # noqa: F401
+    base,
+    contact_queries,
+    flight_queries,
+    controller_queries,
+    integrity_queries,
+    requirement_queries,
+)
 
 
 def queries():
