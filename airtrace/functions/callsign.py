@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Controller type by the last three letters of the callsign.
 TYPE_BY_SUFFIX = {
@@ -76,3 +76,15 @@ def position_type(callsign: Column, order: Sequence[str] = POSITION_ORDER) -> Co
 
 def rank_name(rating: Column) -> Column:
     return lookup(rating, RANK_NAMES, "Unknown")
+
+
+def controller_info(controllers: DataFrame) -> DataFrame:
+    """Type, range, threshold and method for each controller callsign."""
+    kind = controller_type(F.col("callsign"))
+    return controllers.select("callsign").distinct().select(
+        "callsign",
+        kind.alias("type"),
+        proximity_nm(kind).alias("proximity_range"),
+        proximity_nm(kind).alias("proximity_threshold"),
+        F.lit("last_three_chars").alias("detection_method"),
+    )

@@ -84,6 +84,12 @@ def _salted(df: DataFrame, hot: DataFrame, keys, own: str, other: str) -> DataFr
     )
 
 
+def _looks_large(left: DataFrame, right: DataFrame) -> bool:
+    if left.isStreaming or right.isStreaming:
+        return False  # a stream is joined one bounded micro-batch at a time
+    return estimated_bytes(left) + estimated_bytes(right) > SPLIT_FROM_BYTES
+
+
 def band_join(
     left: DataFrame,
     right: DataFrame,
@@ -97,14 +103,14 @@ def band_join(
 
     ``how`` is ``inner`` or ``left_semi``. The two sides must not share column
     names for ``inner``. ``condition(l, r)`` adds a test over both sides.
-    ``hot_pairs`` forces the search for hot buckets with that limit; by default
-    it runs only where the input is large.
+    ``hot_pairs`` forces the search for hot buckets with that limit, 0 turns it
+    off; by default it runs only where the input is large.
     """
     if how not in ("inner", "left_semi"):
         raise ValueError(how)
     kept = left.columns + (right.columns if how == "inner" else [])
     keys = [f"_k{i}" for i in range(len(on))] + [f"_b{i}" for i in range(len(bands))]
-    large = hot_pairs is not None or estimated_bytes(left) + estimated_bytes(right) > SPLIT_FROM_BYTES
+    large = _looks_large(left, right) if hot_pairs is None else hot_pairs > 0
     left, right = _bucketed(left, on, bands, "left"), _bucketed(right, on, bands, "right")
     if large:
         hot = _hot_buckets(left, right, keys, how, hot_pairs or HOT_PAIRS)

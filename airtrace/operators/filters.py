@@ -7,7 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airtrace.functions.geo import point_in_polygon
+from airtrace.functions.geo import point_in_edges, point_in_polygon
 from airtrace.functions.values import khz, nonblank
 
 Ring = Sequence[tuple[float, float]]
@@ -19,18 +19,30 @@ MAX_HZ = 999_999_999_999
 CALLSIGN_PATTERNS = ("ATIS",)
 
 
-def _inside_or_unknown(lat: str, lon: str, ring: Ring) -> Column:
+def inside(lat: Column, lon: Column, boundary: Ring | DataFrame) -> Column:
+    """Strict containment in a fixed ring, or in a frame of edges.
+
+    A frame (ord, lat1, lon1, lat2, lon2) is one polygon, so it enters the plan
+    as a scalar sub-query holding its few edges.
+    """
+    if not isinstance(boundary, DataFrame):
+        return point_in_polygon(lat, lon, boundary)
+    edge = F.struct("lat1", "lon1", "lat2", "lon2")
+    return F.coalesce(point_in_edges(lat, lon, boundary.agg(F.collect_list(edge)).scalar()), F.lit(False))
+
+
+def _inside_or_unknown(lat: str, lon: str, boundary: Ring | DataFrame) -> Column:
     a, b = F.col(lat), F.col(lon)
-    return a.isNull() | b.isNull() | point_in_polygon(a, b, ring)
+    return a.isNull() | b.isNull() | inside(a, b, boundary)
 
 
-def filter_boundary_flights(flights: DataFrame, ring: Ring) -> DataFrame:
+def filter_boundary_flights(flights: DataFrame, boundary: Ring | DataFrame) -> DataFrame:
     """Keep flights inside the ring; a flight without a position is kept."""
-    return flights.where(_inside_or_unknown("latitude", "longitude", ring))
+    return flights.where(_inside_or_unknown("latitude", "longitude", boundary))
 
 
-def filter_boundary_transceivers(transceivers: DataFrame, ring: Ring) -> DataFrame:
-    return transceivers.where(_inside_or_unknown("position_lat", "position_lon", ring))
+def filter_boundary_transceivers(transceivers: DataFrame, boundary: Ring | DataFrame) -> DataFrame:
+    return transceivers.where(_inside_or_unknown("position_lat", "position_lon", boundary))
 
 
 def filter_boundary_snapshot(snapshots: DataFrame, ring: Ring) -> DataFrame:

@@ -7,6 +7,9 @@ from airtrace.registry import (  # noqa: F401
     controller_queries,
     integrity_queries,
     requirement_queries,
+    match_queries,
+    filter_queries,
+    sector_queries,
 )
 
 

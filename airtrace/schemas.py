@@ -31,6 +31,13 @@ TRANSCEIVER_SNAPSHOT = _struct(
     "lonDeg:double,heightMslM:double,heightAglM:double,timestamp:string>>"
 )
 
+# One landed poll: both feeds of a minute in one document.
+POLL = T.StructType(
+    [T.StructField("poll_time", T.StringType())]
+    + SNAPSHOT.fields
+    + [T.StructField("transceivers", T.ArrayType(TRANSCEIVER_SNAPSHOT))]
+)
+
 FLIGHTS = _struct(
     "id bigint, callsign string, aircraft_type string, latitude double, longitude double,"
     "altitude int, heading int, groundspeed int, departure string, arrival string, route string,"
