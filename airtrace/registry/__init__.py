@@ -10,6 +10,8 @@ from airtrace.registry import (  # noqa: F401
     match_queries,
     filter_queries,
     sector_queries,
+    lifecycle_queries,
+    quality_queries,
 )
 
 
