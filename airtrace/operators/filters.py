@@ -19,30 +19,28 @@ MAX_HZ = 999_999_999_999
 CALLSIGN_PATTERNS = ("ATIS",)
 
 
-def inside(lat: Column, lon: Column, boundary: Ring | DataFrame) -> Column:
-    """Strict containment in a fixed ring, or in a frame of edges.
+def _within(rows: DataFrame, lat: str, lon: str, boundary: Ring | DataFrame) -> DataFrame:
+    """Rows strictly inside a ring, or without a position.
 
-    A frame (ord, lat1, lon1, lat2, lon2) is one polygon, so it enters the plan
-    as a scalar sub-query holding its few edges.
+    A boundary frame (ord, lat1, lon1, lat2, lon2) is one polygon, so its few
+    edges enter the plan as a scalar sub-query.
     """
-    if not isinstance(boundary, DataFrame):
-        return point_in_polygon(lat, lon, boundary)
-    edge = F.struct("lat1", "lon1", "lat2", "lon2")
-    return F.coalesce(point_in_edges(lat, lon, boundary.agg(F.collect_list(edge)).scalar()), F.lit(False))
-
-
-def _inside_or_unknown(lat: str, lon: str, boundary: Ring | DataFrame) -> Column:
     a, b = F.col(lat), F.col(lon)
-    return a.isNull() | b.isNull() | inside(a, b, boundary)
+    unknown = a.isNull() | b.isNull()
+    if not isinstance(boundary, DataFrame):
+        return rows.where(unknown | point_in_polygon(a, b, boundary))
+    edges = boundary.agg(F.collect_list(F.struct("lat1", "lon1", "lat2", "lon2"))).scalar()
+    tagged = rows.withColumn("_edges", edges)
+    return tagged.where(unknown | point_in_edges(a, b, F.col("_edges"))).drop("_edges")
 
 
 def filter_boundary_flights(flights: DataFrame, boundary: Ring | DataFrame) -> DataFrame:
     """Keep flights inside the ring; a flight without a position is kept."""
-    return flights.where(_inside_or_unknown("latitude", "longitude", boundary))
+    return _within(flights, "latitude", "longitude", boundary)
 
 
 def filter_boundary_transceivers(transceivers: DataFrame, boundary: Ring | DataFrame) -> DataFrame:
-    return transceivers.where(_inside_or_unknown("position_lat", "position_lon", boundary))
+    return _within(transceivers, "position_lat", "position_lon", boundary)
 
 
 def filter_boundary_snapshot(snapshots: DataFrame, ring: Ring) -> DataFrame:

@@ -82,11 +82,14 @@ def sector_stays(
     before the gap and forgets the state. The stay that holds the last row of
     an aircraft stays open, unless ``as_of`` is more than 300 s later.
 
-    The rows of one aircraft are cut into time chunks, so even a callsign with
-    a third of all rows is spread over many tasks. Three steps join the chunks:
-    each is reduced to one summary row, the summaries (not the rows) are
-    ordered per callsign to find the state each chunk starts with, and stays
-    that touch a chunk border are chained.
+    Two shuffles, and no task depends on the rows of a whole aircraft:
+
+    1. Rows are shuffled by (callsign, time chunk), so a callsign with a third
+       of all rows is spread over its chunks. Windows over that one order
+       reduce each chunk to pieces of equal state.
+    2. Only the first two and the last piece of a chunk can depend on, or reach
+       into, another chunk. These meet per callsign, at most three per chunk;
+       the others are whole stays and are spread by a hash.
     """
     placed = sector_for_point(flights, sectors).select(
         "callsign", "id", F.col("last_updated").alias("t"), "latitude", "longitude", "altitude",
@@ -96,91 +99,58 @@ def sector_stays(
         .alias("seen"),
     )
     secs = F.unix_seconds(F.col("t").cast("timestamp"))
-    rows = placed.withColumns({"_s": secs, "chunk": F.floor(secs / (chunk_hours * 3600))})
-
-    # 1. inside a chunk: split at gaps, carry the state forward where it is known
-    key = ["callsign", "chunk"]
-    ordered = W.partitionBy(*key).orderBy("_s", "id")
-    gap = F.coalesce(F.col("_s") - F.lag("_s").over(ordered) > GAP_SECONDS, F.lit(False))
-    rows = rows.withColumn("_gap", gap)
-    rows = rows.withColumn("_seg", F.sum(F.col("_gap").cast("int")).over(ordered))
-    carried = F.last("seen", ignorenulls=True).over(W.partitionBy(*key, "_seg").orderBy("_s", "id"))
-    rows = rows.withColumn("_local", F.coalesce(carried, F.when(F.col("_seg") > 0, "")))
-
-    # 2. one summary row per chunk gives the state and time the next starts from
-    by_time = W.partitionBy("callsign").orderBy("chunk")
-    border_gap = F.coalesce(F.col("_first") - F.lag("_last").over(by_time) > GAP_SECONDS, F.lit(True))
-    summary = rows.groupBy(*key).agg(
-        F.min("_s").alias("_first"),
-        F.max("_s").alias("_last"),
-        F.max_by("_local", F.struct("_s", "id")).alias("_end"),
-    )
-    summary = summary.withColumn("_border_gap", border_gap)
-    known = F.coalesce("_end", F.when(F.col("_border_gap"), ""))
-    before = by_time.rowsBetween(W.unboundedPreceding, -1)
-    summary = summary.select(
-        *key, "_border_gap",
-        F.coalesce(F.last(known, ignorenulls=True).over(before), F.lit("")).alias("_state_in"),
+    rows = placed.select(
+        "callsign", F.floor(secs / (chunk_hours * 3600)).alias("chunk"), "seen",
+        F.struct(secs.alias("s"), "id", "t", "latitude", "longitude", "altitude").alias("at"),
     )
 
-    # 3. state of every row, and the pieces of stays inside each chunk
-    rows = rows.join(summary, key)
-    lead_in = F.when(F.col("_border_gap"), "").otherwise(F.col("_state_in"))
-    rows = rows.withColumn("state", F.coalesce("_local", lead_in))
-    first_in_chunk = F.row_number().over(ordered) == 1
-    rows = rows.withColumn(
-        "_new",
-        F.when(first_in_chunk, F.col("_border_gap") | (F.col("state") != F.col("_state_in"))).otherwise(
-            F.col("_gap") | (F.col("state") != F.lag("state").over(ordered))
-        ),
-    )
-    rows = rows.withColumn("_piece", F.sum(F.col("_new").cast("int")).over(ordered))
-    place = F.struct("_s", "id", "t", "latitude", "longitude", "altitude")
-    order = F.struct("_s", "id")
-    pieces = rows.groupBy(*key, "_piece").agg(
-        F.first("state").alias("state"),
-        F.min_by(place, order).alias("a"),
-        F.max_by(place, order).alias("b"),
-        F.max_by("_new", F.struct(-F.col("_s"), -F.col("id"))).alias("_new"),
+    # 1. pieces of equal state inside a chunk; NULL is "as before the chunk"
+    w = W.partitionBy("callsign", "chunk").orderBy("at.s", "at.id")
+    rows = rows.withColumn("gap", F.col("at.s") - F.lag("at.s").over(w) > GAP_SECONDS)
+    known = F.coalesce("seen", F.when(F.col("gap"), ""))
+    rows = rows.withColumn("state", F.last(known, ignorenulls=True).over(w))
+    starts = F.col("gap").isNull() | F.col("gap") | ~F.col("state").eqNullSafe(F.lag("state").over(w))
+    rows = rows.withColumn("starts", starts)
+    rows = rows.withColumn("ends", F.coalesce(F.lead("starts").over(w), F.lit(True)))
+    rows = rows.where("starts or ends")
+    rows = rows.withColumn("until", F.when(F.col("ends"), F.col("at")).otherwise(F.lead("at").over(w)))
+    pieces = rows.where("starts").withColumns(
+        {"n": F.row_number().over(w), "last": F.lead(F.lit(1)).over(w).isNull()}
     )
 
-    # 4. chain pieces that touch a chunk border; the others are whole stays
-    in_chunk = W.partitionBy(*key)
-    pieces = pieces.withColumn("_edge", (F.col("_piece") == F.min("_piece").over(in_chunk)) | (
-        F.col("_piece") == F.max("_piece").over(in_chunk)
-    ))
-    inner = pieces.where(~F.col("_edge")).select("callsign", "state", "a", "b", F.lit(False).alias("_open"))
-    chain = W.partitionBy("callsign").orderBy("chunk", "_piece")
-    border = pieces.where("_edge").withColumns(
-        {
-            "_chain": F.sum(F.col("_new").cast("int")).over(chain),
-            "_open": F.lead("_piece").over(chain).isNull(),
-        }
+    # 2. pieces at the chunk borders meet per callsign
+    border = (F.col("n") <= 2) | F.col("last")
+    lane = F.when(border, F.lit(-1)).otherwise(F.pmod(F.xxhash64("chunk", "n"), F.lit(1 << 30)))
+    pieces = pieces.select("callsign", lane.alias("lane"), "chunk", "n", "gap", "state", "at", "until")
+    p = W.partitionBy("callsign", "lane").orderBy("chunk", "n")
+    border_gap = F.coalesce(F.col("at.s") - F.lag("until.s").over(p) > GAP_SECONDS, F.lit(True))
+    pieces = pieces.withColumn("gap", F.when(F.col("n") == 1, border_gap).otherwise(F.col("gap")))
+    known = F.coalesce("state", F.when(F.col("gap"), ""))
+    pieces = pieces.withColumn("state", F.last(known, ignorenulls=True).over(p))
+    # from the third piece on, a piece differs from its neighbour by construction
+    new = (F.col("n") > 2) | F.col("gap") | (F.col("state") != F.lag("state").over(p))
+    pieces = pieces.withColumns({"new": new, "newest": F.lead(F.lit(1)).over(p).isNull() & (F.col("lane") == -1)})
+    chained = pieces.withColumn("chain", F.sum(F.col("new").cast("int")).over(p))
+    merged = chained.where("state <> ''").groupBy("callsign", "lane", "chain").agg(
+        F.first("state").alias("state"), F.min("at").alias("a"), F.max("until").alias("b"), F.max("newest").alias("_open")
     )
-    border = border.groupBy("callsign", "_chain").agg(
-        F.first("state").alias("state"), F.min("a").alias("a"), F.max("b").alias("b"), F.max("_open").alias("_open")
-    ).drop("_chain")
 
     open_ = F.col("_open")
     if as_of is not None:
-        open_ = open_ & (F.unix_seconds(as_of) - F.col("b._s") <= GAP_SECONDS)
+        open_ = open_ & (F.unix_seconds(as_of) - F.col("b.s") <= GAP_SECONDS)
     closed = ~open_
-    return (
-        inner.unionByName(border)
-        .where("state <> ''")
-        .select(
-            "callsign",
-            F.col("state").alias("sector_name"),
-            F.col("a.t").alias("entry_timestamp"),
-            F.when(closed, F.col("b.t")).alias("exit_timestamp"),
-            F.when(closed, F.col("b._s") - F.col("a._s")).otherwise(0).cast("int").alias("duration_seconds"),
-            F.col("a.latitude").alias("entry_lat"),
-            F.col("a.longitude").alias("entry_lon"),
-            F.when(closed, F.col("b.latitude")).alias("exit_lat"),
-            F.when(closed, F.col("b.longitude")).alias("exit_lon"),
-            F.col("a.altitude").alias("entry_altitude"),
-            F.when(closed, F.col("b.altitude")).alias("exit_altitude"),
-        )
+    return merged.select(
+        "callsign",
+        F.col("state").alias("sector_name"),
+        F.col("a.t").alias("entry_timestamp"),
+        F.when(closed, F.col("b.t")).alias("exit_timestamp"),
+        F.when(closed, F.col("b.s") - F.col("a.s")).otherwise(0).cast("int").alias("duration_seconds"),
+        F.col("a.latitude").alias("entry_lat"),
+        F.col("a.longitude").alias("entry_lon"),
+        F.when(closed, F.col("b.latitude")).alias("exit_lat"),
+        F.when(closed, F.col("b.longitude")).alias("exit_lon"),
+        F.col("a.altitude").alias("entry_altitude"),
+        F.when(closed, F.col("b.altitude")).alias("exit_altitude"),
     )
 
 

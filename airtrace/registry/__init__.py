@@ -12,6 +12,8 @@ from airtrace.registry import (  # noqa: F401
     sector_queries,
     lifecycle_queries,
     quality_queries,
+    source_queries,
+    streaming_queries,
 )
 
 

@@ -1,14 +1,7 @@
-"""Schemas of the landed snapshots and of the stored tables."""
+"""Schemas (DDL text) of the landed snapshots and of the stored tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 FLIGHT_PLAN = (
     "struct<flight_rules:string,aircraft:string,aircraft_faa:string,aircraft_short:string,"
     "departure:string,arrival:string,alternate:string,cruise_tas:string,altitude:string,"
@@ -16,7 +9,7 @@ FLIGHT_PLAN = (
     "revision_id:int,assigned_transponder:string>"
 )
 
-SNAPSHOT = _struct(
+SNAPSHOT = (
     "pilots array<struct<cid:int,name:string,callsign:string,server:string,pilot_rating:int,"
     "military_rating:int,latitude:double,longitude:double,altitude:int,groundspeed:int,"
     f"transponder:string,heading:int,qnh_i_hg:double,qnh_mb:int,flight_plan:{FLIGHT_PLAN},"
@@ -26,19 +19,15 @@ SNAPSHOT = _struct(
     "logon_time:string>>"
 )
 
-TRANSCEIVER_SNAPSHOT = _struct(
-    "callsign string, transceivers array<struct<id:int,frequency:bigint,latDeg:double,"
+RADIO_ENTRY = (
+    "callsign:string,transceivers:array<struct<id:int,frequency:bigint,latDeg:double,"
     "lonDeg:double,heightMslM:double,heightAglM:double,timestamp:string>>"
 )
 
 # One landed poll: both feeds of a minute in one document.
-POLL = T.StructType(
-    [T.StructField("poll_time", T.StringType())]
-    + SNAPSHOT.fields
-    + [T.StructField("transceivers", T.ArrayType(TRANSCEIVER_SNAPSHOT))]
-)
+POLL = f"poll_time string, {SNAPSHOT}, transceivers array<struct<{RADIO_ENTRY}>>"
 
-FLIGHTS = _struct(
+FLIGHTS = (
     "id bigint, callsign string, aircraft_type string, latitude double, longitude double,"
     "altitude int, heading int, groundspeed int, departure string, arrival string, route string,"
     "flight_rules string, aircraft_faa string, aircraft_short string, alternate string,"
@@ -48,13 +37,13 @@ FLIGHTS = _struct(
     "logon_time timestamp"
 )
 
-CONTROLLERS = _struct(
+CONTROLLERS = (
     "id bigint, callsign string, frequency string, cid int, name string, rating int,"
     "facility int, visual_range int, text_atis string, server string, last_updated timestamp,"
     "logon_time timestamp, created_at timestamp"
 )
 
-TRANSCEIVERS = _struct(
+TRANSCEIVERS = (
     "id bigint, callsign string, transceiver_id int, frequency bigint, position_lat double,"
     "position_lon double, height_msl double, height_agl double, entity_type string,"
     "timestamp timestamp"
@@ -69,7 +58,7 @@ AIRCRAFT_DETAIL = (
     "time_on_frequency_minutes:bigint,updates_count:bigint>"
 )
 
-FLIGHT_SUMMARIES = _struct(
+FLIGHT_SUMMARIES = (
     "id bigint, callsign string, aircraft_type string, departure string, arrival string,"
     "deptime string, logon_time timestamp, route string, flight_rules string,"
     "aircraft_faa string, planned_altitude string, aircraft_short string, cid int, name string,"
@@ -80,7 +69,7 @@ FLIGHT_SUMMARIES = _struct(
     "sector_breakdown map<string,int>, completion_time timestamp, created_at timestamp"
 )
 
-CONTROLLER_SUMMARIES = _struct(
+CONTROLLER_SUMMARIES = (
     "id bigint, callsign string, cid int, name string, session_start_time timestamp,"
     "session_end_time timestamp, session_duration_minutes int, rating int, facility int,"
     "server string, total_aircraft_handled int, peak_aircraft_count int,"
@@ -88,7 +77,7 @@ CONTROLLER_SUMMARIES = _struct(
     f"aircraft_details array<{AIRCRAFT_DETAIL}>, created_at timestamp"
 )
 
-SECTOR_OCCUPANCY = _struct(
+SECTOR_OCCUPANCY = (
     "callsign string, sector_name string, entry_timestamp timestamp, exit_timestamp timestamp,"
     "duration_seconds int, entry_lat double, entry_lon double, exit_lat double, exit_lon double,"
     "entry_altitude int, exit_altitude int"
