@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -32,19 +32,19 @@ def deg_within(lat1: Column, lon1: Column, lat2: Column, lon2: Column, limit: fl
     return F.sqrt(F.pow(lat1 - lat2, F.lit(2)) + F.pow(lon1 - lon2, F.lit(2))) <= F.lit(limit)
 
 
-def _crosses(lat: Column, lon: Column, lat1, lon1, lat2, lon2) -> Column:
-    """Does the ray from the point toward larger longitudes cut this edge?"""
-    at = (lon2 - lon1) * (lat - lat1) / F.nullif(lat2 - lat1, F.lit(0.0)) + lon1
-    return F.coalesce(((lat1 > lat) != (lat2 > lat)) & (lon < at), F.lit(False))
-
-
-def _on_edge(lat: Column, lon: Column, lat1, lon1, lat2, lon2) -> Column:
-    """Is the point on the segment itself?"""
-    area = (lon2 - lon1) * (lat - lat1) - (lat2 - lat1) * (lon - lon1)
+def _edge_step(acc: Column, lat: Column, lon: Column, e: Column) -> Column:
+    """Fold one edge into ``acc``: -1 once the point lies on the ring, else the
+    parity of the edges cut by the ray toward larger longitudes."""
+    a, b = e["lat1"] - lat, e["lat2"] - lat
+    # > 0 on one side of the edge, 0 on its line
+    side = (e["lon1"] - lon) * (b - a) - (e["lon2"] - e["lon1"]) * a
+    on_edge = (side == 0) & lon.between(F.least(e["lon1"], e["lon2"]), F.greatest(e["lon1"], e["lon2"]))
+    cut = F.when((a > 0) != (b > 0), (side > 0) == (b > a)).otherwise(False)
     return (
-        (area == 0)
-        & lat.between(F.least(lat1, lat2), F.greatest(lat1, lat2))
-        & lon.between(F.least(lon1, lon2), F.greatest(lon1, lon2))
+        F.when(a * b > 0, acc)  # the whole edge is north or south of the point
+        .when((acc < 0) | on_edge, F.lit(-1))
+        .when(cut, 1 - acc)
+        .otherwise(acc)
     )
 
 
@@ -55,56 +55,60 @@ def _valid(lat: Column, lon: Column) -> Column:
 def point_in_edges(lat: Column, lon: Column, edges: Column) -> Column:
     """Strict containment in a ring held as an array of edges.
 
-    A point on the ring is outside, as is one with an impossible position.
+    A point on the ring is outside, as is one with an impossible position. Only
+    the edges at the latitude of the point matter; the array may lack others.
     """
-    parity = F.aggregate(
-        edges,
-        F.lit(False),
-        lambda acc, e: acc != _crosses(lat, lon, e["lat1"], e["lon1"], e["lat2"], e["lon2"]),
-    )
-    on_ring = F.exists(edges, lambda e: _on_edge(lat, lon, e["lat1"], e["lon1"], e["lat2"], e["lon2"]))
-    return _valid(lat, lon) & parity & ~on_ring
+    cuts = F.aggregate(edges, F.lit(0), lambda acc, e: _edge_step(acc, lat, lon, e))
+    return _valid(lat, lon) & F.coalesce(cuts == 1, F.lit(False))
+
 
+Edge = tuple[float, float, float, float]
 
-def close_ring(ring: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
-    """(lat, lon) points with the first one repeated at the end."""
+
+def ring_edges(ring: Sequence[tuple[float, float]]) -> list[Edge]:
+    """(lat1, lon1, lat2, lon2) of a ring of (lat, lon) points, closed if open."""
     points = [(float(a), float(b)) for a, b in ring]
     if len(set(points)) < 3:
         raise ValueError("a polygon needs three points")
-    return points if points[0] == points[-1] else points + [points[0]]
+    if points[0] != points[-1]:
+        points.append(points[0])
+    return [(*a, *b) for a, b in zip(points, points[1:])]
+
+
+def _as_json(edges: Sequence[Edge]) -> list[dict]:
+    return [dict(zip(("lat1", "lon1", "lat2", "lon2"), e)) for e in edges]
 
 
 def edges_literal(ring: Sequence[tuple[float, float]]) -> Column:
-    """The ring as an array literal for ``point_in_edges``."""
-    points = close_ring(ring)
-    return F.array(
-        *[
-            F.struct(
-                F.lit(a[0]).alias("lat1"),
-                F.lit(a[1]).alias("lon1"),
-                F.lit(b[0]).alias("lat2"),
-                F.lit(b[1]).alias("lon2"),
-            )
-            for a, b in zip(points, points[1:])
-        ]
-    )
+    """The ring as one array literal (the constant text is parsed once)."""
+    return F.from_json(F.lit(json.dumps(_as_json(ring_edges(ring)))), f"array<{EDGE_TYPE}>")
 
 
 def point_in_polygon(lat: Column, lon: Column, ring: Sequence[tuple[float, float]]) -> Column:
     """Strict containment in a fixed ring of (lat, lon) points.
 
-    Short rings are unrolled into one flat expression, which stays inside
-    generated code; the bounding box comes first so that far points skip it.
+    The box comes first. Inside it the latitude picks one of many thin bands,
+    and only the few edges that reach into the band are tested, so the cost
+    does not grow with the number of points.
     """
-    points = close_ring(ring)
-    lats, lons = [p[0] for p in points], [p[1] for p in points]
-    box = (lat > min(lats)) & (lat < max(lats)) & (lon > min(lons)) & (lon < max(lons))
-    if len(points) > 65:
-        return F.coalesce(box & point_in_edges(lat, lon, edges_literal(ring)), F.lit(False))
-    pairs = [tuple(F.lit(v) for v in (*a, *b)) for a, b in zip(points, points[1:])]
-    parity = reduce(lambda acc, e: acc != _crosses(lat, lon, *e), pairs, F.lit(False))
-    on_ring = reduce(lambda acc, e: acc | _on_edge(lat, lon, *e), pairs, F.lit(False))
-    return F.coalesce(_valid(lat, lon) & box & parity & ~on_ring, F.lit(False))
+    edges = ring_edges(ring)
+    lats = [e[0] for e in edges]
+    lons = [e[1] for e in edges]
+    low, high = min(lats), max(lats)
+    count = min(4 * len(edges), 512)
+    height = (high - low) / count
+    slack = height * 1e-6  # a latitude on a border may fall in either band
+    bands = [
+        _as_json([
+            e for e in edges
+            if min(e[0], e[2]) <= low + (k + 1) * height + slack and max(e[0], e[2]) >= low + k * height - slack
+        ])
+        for k in range(count)
+    ]
+    table = F.from_json(F.lit(json.dumps(bands)), f"array<array<{EDGE_TYPE}>>")
+    box = (lat > low) & (lat < high) & (lon > min(lons)) & (lon < max(lons))
+    band = F.least(F.floor((lat - low) / height), F.lit(count - 1)).cast("int")
+    return F.coalesce(box & point_in_edges(lat, lon, F.get(table, band)), F.lit(False))
 
 
 # Fixed patterns: an optional sign, then DDMMSS.s, DDDMMSS.s or decimal degrees.

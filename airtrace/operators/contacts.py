@@ -97,9 +97,12 @@ def report_match_all(
 def matched_flight_times(
     transceivers: DataFrame, controllers: DataFrame, secs: int = TIME_SECONDS, hot_pairs: int | None = None
 ) -> DataFrame:
-    """(callsign, time) of flight radio rows with at least one match."""
-    places = ["atc_frequency", "_atc_us", "atc_lat", "atc_lon"]
-    atc = _atc_side(relevant_atc_rows(transceivers, controllers)).select(*places).distinct()
+    """(callsign, time) of flight radio rows with at least one match.
+
+    A row per radio row: the semi-joins on it need no distinct, which would
+    cost a shuffle of its own.
+    """
+    atc = _atc_side(relevant_atc_rows(transceivers, controllers)).drop("atc_callsign", "atc_time")
     matched = band_join(
         _flight_side(flight_radios(transceivers)),
         atc,
@@ -108,7 +111,7 @@ def matched_flight_times(
         condition=_degrees,
         hot_pairs=hot_pairs,
     )
-    return matched.select("flight_callsign", F.col("_us").alias("_match_us")).distinct()
+    return matched.select("flight_callsign", F.col("_us").alias("_match_us"))
 
 
 def records_with_contact(
@@ -271,7 +274,8 @@ def session_radio_rows(sessions: DataFrame, transceivers: DataFrame, entity_type
     rows = transceivers.where(F.col("entity_type") == entity_type)
     spans = sessions.withColumnRenamed("callsign", "session_callsign")
     on = [("callsign", "session_callsign")] if entity_type == "atc" else []
-    return range_join(rows, spans, "timestamp", "session_start", "session_end", on=on)
+    # without a callsign to join on, the time slots alone spread the work
+    return range_join(rows, spans, "timestamp", "session_start", "session_end", on=on, hours=6 if on else 1)
 
 
 def match_controller_flight(

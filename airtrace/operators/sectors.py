@@ -16,7 +16,8 @@ GAP_SECONDS = 300
 def sector_cells(sectors: DataFrame, hierarchy: DataFrame | None = None) -> DataFrame:
     """One row per one-degree cell with the sectors that may reach into it.
 
-    There are at most 360 x 180 cells, whatever the number of points.
+    There are at most 360 x 180 cells, whatever the number of points. Of each
+    sector only the edges at the latitudes of the cell are kept.
     """
     lats = F.transform("edges", lambda e: e["lat1"])
     lons = F.transform("edges", lambda e: e["lon1"])
@@ -28,7 +29,12 @@ def sector_cells(sectors: DataFrame, hierarchy: DataFrame | None = None) -> Data
     if hierarchy is not None:
         sectors = sectors.join(hierarchy.select("sector_name", F.col("main_sector").alias("main")), "sector_name")
         columns.append("main")
+    def reaches(e: Column) -> Column:
+        south, north = F.least(e["lat1"], e["lat2"]), F.greatest(e["lat1"], e["lat2"])
+        return (south <= F.col("_cell_lat") + 1) & (north >= F.col("_cell_lat"))
+
     boxed = sectors.withColumn("_cell_lat", span(lats)).withColumn("_cell_lon", span(lons))
+    boxed = boxed.withColumn("edges", F.filter("edges", reaches))
     return boxed.groupBy("_cell_lat", "_cell_lon").agg(
         F.sort_array(F.collect_list(F.struct(*columns, "edges"))).alias("_sectors")
     )

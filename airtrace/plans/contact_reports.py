@@ -10,20 +10,26 @@ from airtrace.operators.contacts import records_by_controller, records_with_cont
 
 
 def join_totals_left(totals: DataFrame, contacts: DataFrame, keys: list[str]) -> DataFrame:
-    """Totals LEFT JOIN contacts with a missing contact count as 0.
-
-    The keys are compared null-safe where the caller filled them, plain here.
-    """
+    """Totals LEFT JOIN contacts with a missing contact count as 0."""
     return totals.join(contacts, keys, "left").withColumn("contact", F.coalesce("contact", F.lit(0)))
 
 
 def _per_callsign(flights: DataFrame, contact_rows: DataFrame, group: dict[str, Column]) -> DataFrame:
-    """(callsign, group columns, total, contact) from one total and one contact count."""
-    keys = ["callsign", *group]
+    """(callsign, group columns, total, contact).
+
+    Rows with contact are a part of all rows, so both counts come from one
+    grouping over the two lists, with no join.
+    """
     columns = [c.alias(n) for n, c in group.items()]
-    totals = flights.groupBy("callsign", *columns).agg(F.count(F.lit(1)).alias("total"))
-    contacts = contact_rows.groupBy("callsign", *columns).agg(F.count(F.lit(1)).alias("contact"))
-    return join_totals_left(totals, contacts, keys)
+
+    def marked(rows: DataFrame, total: int, contact: int) -> DataFrame:
+        return rows.select("callsign", *columns, F.lit(total).alias("t"), F.lit(contact).alias("c"))
+
+    return (
+        marked(flights, 1, 0).unionByName(marked(contact_rows, 0, 1))
+        .groupBy("callsign", *group)
+        .agg(F.sum("t").alias("total"), F.sum("c").alias("contact"))
+    )
 
 
 def _report(per_callsign: DataFrame, keys: list[str], flights_name: str) -> DataFrame:

@@ -430,10 +430,17 @@ def military_routes(summaries: DataFrame, as_of, types: Sequence[str], weeks: in
 
 
 def _categorised(summaries: DataFrame, as_of, months: int) -> DataFrame:
-    return summaries.where(
+    """Recent summaries with their category.
+
+    The long rule list runs once per distinct type, not once per flight; the
+    list of types is small and joined back.
+    """
+    rows = summaries.where(
         nonblank(F.col("aircraft_type")) & (F.col("total_enroute_time_minutes") > 0)
         & _since("completion_time", as_of, months=months)
-    ).withColumn("aircraft_category", aircraft_category(F.col("aircraft_type")))
+    )
+    types = rows.select("aircraft_type").distinct()
+    return rows.join(types.withColumn("aircraft_category", aircraft_category(F.col("aircraft_type"))), "aircraft_type")
 
 
 def aircraft_categories(summaries: DataFrame) -> DataFrame:

@@ -71,6 +71,11 @@ def integrity_flight_to_controller(
         F.coalesce("session_end_time", F.greatest(at(as_of), F.col("session_start_time"))).alias("session_end_time"),
         F.explode(F.array_distinct(detail_callsigns(controller_summaries, "aircraft_details"))).alias("seen_callsign"),
     )
+    # only sessions inside the span of the flights can overlap one
+    sessions = sessions.where(
+        (F.col("session_start_time") <= refs.agg(F.max("completion_time")).scalar())
+        & (F.col("session_end_time") >= refs.agg(F.min("logon_time")).scalar())
+    )
     good = overlaps(
         refs, sessions, [("controller_callsign", "session_callsign"), ("flight_callsign", "seen_callsign")],
         ("logon_time", "completion_time"), ("session_start_time", "session_end_time"), "_ref",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from airtrace.functions.exact import percent
 from airtrace.functions.values import at
+from airtrace.operators.ordered import neighbour
 
 # The range rules of the stored tables.
 RULES: dict[str, dict[str, str]] = {
@@ -162,17 +163,16 @@ def dq_summary_fields(summaries: DataFrame) -> DataFrame:
 def dq_sessions_per_callsign(controllers: DataFrame, least: int = 3) -> DataFrame:
     """Log-ons of callsigns with at least ``least`` of them, with the minutes
     since the one before. Rows are grouped to log-ons before the ordering."""
-    from pyspark.sql import Window as W
-
     made = "created_at" if "created_at" in controllers.columns else "last_updated"
     logons = controllers.groupBy("callsign", "logon_time").agg(
         F.min(made).alias("first_record"), F.max("last_updated").alias("last_record")
     )
     many = logons.groupBy("callsign").agg(F.count(F.lit(1)).alias("logon_count")).where(F.col("logon_count") >= least)
-    secs = F.unix_seconds(F.col("logon_time").cast("timestamp"))
-    gap = (secs - F.lag(secs).over(W.partitionBy("callsign").orderBy("logon_time"))) / 60.0
-    return logons.join(many, "callsign").select(
-        "callsign", "logon_count", "logon_time", "first_record", "last_record", gap.alias("gap_minutes")
+    timed = logons.withColumn("_s", F.unix_seconds(F.col("logon_time").cast("timestamp")))
+    timed = neighbour(timed, "callsign", "logon_time", "_s", "_before", back=True)
+    return timed.join(many, "callsign").select(
+        "callsign", "logon_count", "logon_time", "first_record", "last_record",
+        ((F.col("_s") - F.col("_before")) / 60.0).alias("gap_minutes"),
     )
 
 

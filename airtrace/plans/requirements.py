@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from airtrace.functions.callsign import contact_type
 from airtrace.functions.exact import percent, rounded_avg, rounded_ratio
 from airtrace.functions.values import ago, at, nonblank, object_keys
+from airtrace.operators.ordered import neighbour
 from airtrace.plans.contact_reports import overall_atc_statistics
 
 # Flight rules letter of IFR and the altitude that counts as airborne.
@@ -140,12 +141,9 @@ def report_flow(summaries: DataFrame) -> DataFrame:
 
 
 def report_sector_transitions(stays: DataFrame) -> DataFrame:
-    """Moves from one sector to the next of the same aircraft.
-
-    Only stays are ordered per callsign, which are far fewer than rows.
-    """
-    nxt = F.lead("sector_name").over(W.partitionBy("callsign").orderBy("entry_timestamp", "sector_name"))
-    moves = stays.select(F.col("sector_name").alias("from_sector"), nxt.alias("to_sector"))
+    """Moves from one sector to the next of the same aircraft."""
+    named = stays.select("callsign", "entry_timestamp", F.col("sector_name").alias("from_sector"))
+    moves = neighbour(named, "callsign", "entry_timestamp", "from_sector", "to_sector", back=False, ties=["from_sector"])
     return moves.where("to_sector is not null").groupBy("from_sector", "to_sector").agg(
         F.count(F.lit(1)).alias("transitions")
     )

@@ -114,6 +114,24 @@ def _sources(sql: str) -> list[str]:
     return [t for t in ("events", "orders", "lineitem") if re.search(rf"\bfrom {t}\b", sql)]
 
 
+# Folders of derived tables that were written out, by folder of the given tables.
+STORED: dict[str, str] = {}
+TIMES = {
+    "fx_flights": "last_updated", "fx_transceivers": "ts", "fx_controllers": "last_updated",
+    "fx_flight_summaries": "completion_time", "fx_controller_summaries": "session_start_time",
+    "fx_controllers_archive": "logon_time", "fx_flights_archive": "last_updated",
+}
+
+
+def store(spark: SparkSession, sf_dir: str, out: str, parts: int = 8) -> None:
+    """Write the large derived tables, in time order, and read them from there
+    on: they then are stored tables, as in use, and not views over others."""
+    tables = Derived(spark, sf_dir)
+    for name, time in TIMES.items():
+        tables.derived(name).repartitionByRange(parts, time).sortWithinPartitions(time).write.parquet(f"{out}/{name}")
+    STORED[sf_dir] = out
+
+
 class Derived:
     """The derived tables as DataFrames under the library's column names."""
 
@@ -139,37 +157,43 @@ class Derived:
         times = {f.name: F.col(f.name).cast("timestamp") for f in out.schema if "timestamp" in f.dataType.simpleString()}
         return out.withColumns(times) if times else out
 
+    def derived(self, name: str) -> DataFrame:
+        """One derived table, from its stored form where there is one."""
+        if self.dir in STORED and name in TIMES:
+            return self.spark.read.parquet(f"{STORED[self.dir]}/{name}")
+        return self.sql(DERIVED[name])
+
     @cached_property
     def flights(self) -> DataFrame:
-        return self.sql(DERIVED["fx_flights"])
+        return self.derived("fx_flights")
 
     @cached_property
     def transceivers(self) -> DataFrame:
-        return self.sql(DERIVED["fx_transceivers"]).withColumnRenamed("ts", "timestamp")
+        return self.derived("fx_transceivers").withColumnRenamed("ts", "timestamp")
 
     @cached_property
     def controllers(self) -> DataFrame:
-        return self.sql(DERIVED["fx_controllers"])
+        return self.derived("fx_controllers")
 
     @cached_property
     def flight_summaries(self) -> DataFrame:
-        return self.sql(DERIVED["fx_flight_summaries"])
+        return self.derived("fx_flight_summaries")
 
     @cached_property
     def controller_summaries(self) -> DataFrame:
-        return self.sql(DERIVED["fx_controller_summaries"])
+        return self.derived("fx_controller_summaries")
 
     @cached_property
     def controllers_archive(self) -> DataFrame:
-        return self.sql(DERIVED["fx_controllers_archive"])
+        return self.derived("fx_controllers_archive")
 
     @cached_property
     def flights_archive(self) -> DataFrame:
-        return self.sql(DERIVED["fx_flights_archive"])
+        return self.derived("fx_flights_archive")
 
     @cached_property
     def sector_rectangles(self) -> DataFrame:
-        return self.sql(DERIVED["fx_sectors"])
+        return self.derived("fx_sectors")
 
 
 def with_ctes(sql: str, extra: dict[str, str] | None = None) -> str:

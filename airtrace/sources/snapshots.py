@@ -118,16 +118,17 @@ def link_transceivers(
     )
 
 
-def sink_append(df: DataFrame, path: str, time: str, extra_partitions: tuple[str, ...] = ()) -> None:
+def sink_append(
+    df: DataFrame, path: str, time: str, extra_partitions: tuple[str, ...] = (), files_per_date: int = 16
+) -> None:
     """Append to a table partitioned by date.
 
-    Rows are first brought together by date and a hash of the callsign, so each
-    date gets a bounded number of files and a busy date is spread over tasks.
+    Rows are first brought together by date and a hash of the row, so a date
+    gets at most ``files_per_date`` files and a busy one is spread over tasks.
     """
-    day = F.to_date(F.col(time)).alias("date")
     columns = ["date", *extra_partitions]
-    out = df.select("*", day)
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
+    out = df.withColumn("date", F.to_date(time))
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_date))
     out.repartition(*[F.col(c) for c in columns], spread).write.mode("append").partitionBy(*columns).parquet(path)
 
 

@@ -12,10 +12,10 @@ def column(spark, schema, rows, expr):
     return [r[0] for r in df.select(expr).collect()]
 
 
-@pytest.mark.parametrize("unrolled", [True, False])
-def test_point_in_polygon_edges_are_outside(spark, unrolled):
+@pytest.mark.parametrize("banded", [True, False])
+def test_point_in_polygon_edges_are_outside(spark, banded):
     lat, lon = F.col("lat"), F.col("lon")
-    if unrolled:
+    if banded:
         test = geo.point_in_polygon(lat, lon, UNIT_SQUARE)
     else:
         test = geo.point_in_edges(lat, lon, geo.edges_literal(UNIT_SQUARE))
@@ -31,13 +31,19 @@ def test_polygon_concave(spark):
     assert got == [False, True, False, False]
 
 
-def test_large_polygon_uses_the_array_form(spark):
+def test_bands_equal_all_edges(spark):
+    """A jagged star: the banded form equals the test over every edge."""
     import math
+    import random
 
-    ring = [(10 * math.cos(2 * math.pi * i / 90), 10 * math.sin(2 * math.pi * i / 90)) for i in range(90)]
-    got = column(spark, "lat double, lon double", [(0.0, 0.0), (9.0, 0.1), (7.2, 7.2), (11.0, 0.0)],
-                 geo.point_in_polygon(F.col("lat"), F.col("lon"), ring))
-    assert got == [True, True, False, False]
+    rng = random.Random(5)
+    ring = [(r * math.cos(2 * math.pi * i / 90), r * math.sin(2 * math.pi * i / 90)) for i in range(90) for r in [rng.uniform(3, 10)]]
+    points = [(rng.uniform(-11, 11), rng.uniform(-11, 11)) for _ in range(800)] + [ring[7], (ring[3][0], 0.0)]
+    lat, lon = F.col("lat"), F.col("lon")
+    schema = "lat double, lon double"
+    banded = column(spark, schema, points, geo.point_in_polygon(lat, lon, ring))
+    plain = column(spark, schema, points, geo.point_in_edges(lat, lon, geo.edges_literal(ring)))
+    assert banded == plain and 100 < sum(banded) < 700 and banded[800] is False
 
 
 def test_distance(spark):
