@@ -220,7 +220,7 @@ def _longest(rows: DataFrame, n: int) -> DataFrame:
     top = rows.orderBy(F.desc(MINUTES), "id").limit(n)
     rank = F.row_number().over(W.orderBy(F.desc(MINUTES), "id"))
     return top.select(
-        rank.alias("duration_rank"), "callsign", F.col("name").alias("controller_name"), "cid", "rating",
+        rank.cast("long").alias("duration_rank"), "callsign", F.col("name").alias("controller_name"), "cid", "rating",
         "session_start_time", "session_end_time", MINUTES, HANDLED, "peak_aircraft_count",
         rounded_ratio(F.col(HANDLED), _hours(), 1).alias("avg_aircraft_per_hour"),
         *[c for c in ("facility", "server", "frequencies_used", "aircraft_details") if c in rows.columns],

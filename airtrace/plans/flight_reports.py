@@ -527,9 +527,9 @@ def fastest_city_pair(summaries: DataFrame, as_of, months: int = 3, n: int = 20)
     top = rows.orderBy("time_online_minutes", "id").limit(n)
     rank = F.row_number().over(W.orderBy("time_online_minutes", "id"))
     return top.select(
-        rank.alias("rank"), "callsign", F.col("name").alias("pilot_name"), "aircraft_type", "departure", "arrival",
+        rank.cast("long").alias("rank"), "callsign", F.col("name").alias("pilot_name"), "aircraft_type", "departure", "arrival",
         F.col("logon_time").alias("departure_time"), F.col("completion_time").alias("arrival_time"),
-        minutes.alias("flight_duration_minutes"), _key_count(summaries).alias("total_controllers"),
+        minutes.alias("flight_duration_minutes"), _key_count(summaries).cast("long").alias("total_controllers"),
         _pair_speed(minutes).alias("avg_speed_knots"),
     )
 
@@ -558,7 +558,7 @@ def fastest_city_pair_day(summaries: DataFrame, as_of) -> DataFrame:
     return summaries.where(there | back).select(
         "callsign", "aircraft_type", F.col("name").alias("pilot_name"), "departure", "arrival",
         F.col("logon_time").alias("departure_time"), F.col("completion_time").alias("arrival_time"),
-        minutes.alias("flight_duration_minutes"), "flight_rules", keys.alias("total_controllers"),
+        minutes.alias("flight_duration_minutes"), "flight_rules", keys.cast("long").alias("total_controllers"),
         F.when(minutes > 0, _pair_speed(minutes)).alias("avg_speed_knots"), status.alias("tower_contact_status"),
     )
 
@@ -603,11 +603,11 @@ def fastest_city_pair_monday(summaries: DataFrame, as_of, months: int = 6, n: in
     top = _monday(summaries, as_of, months).orderBy("total_enroute_time_minutes", "id").limit(n)
     rank = F.row_number().over(W.orderBy("total_enroute_time_minutes", "id"))
     return top.select(
-        rank.alias("rank"), "callsign", F.col("name").alias("pilot_name"), "aircraft_type", "departure", "arrival",
+        rank.cast("long").alias("rank"), "callsign", F.col("name").alias("pilot_name"), "aircraft_type", "departure", "arrival",
         F.col("logon_time").alias("departure_time"), F.col("completion_time").alias("arrival_time"),
         minutes.alias("flight_duration_minutes"), F.lit("Monday").alias("completion_day_name"),
         F.lit(True).alias("contacted_sydney_tower"), F.lit(True).alias("contacted_melbourne_tower"),
-        F.col("_ground").alias("ground_controllers_contacted"), F.size("_keys").alias("total_controllers"),
+        F.col("_ground").cast("long").alias("ground_controllers_contacted"), F.size("_keys").cast("long").alias("total_controllers"),
         _pair_speed(minutes).alias("avg_speed_knots"),
     )
 

@@ -33,7 +33,7 @@ def report_ifr_coverage(summaries: DataFrame) -> DataFrame:
 
 def report_interactions_per_ifr(summaries: DataFrame) -> DataFrame:
     """Histogram of distinct controllers per IFR flight with the overall mean."""
-    per_flight = _ifr(summaries).select(_n_keys(summaries).alias("controllers"))
+    per_flight = _ifr(summaries).select(_n_keys(summaries).cast("long").alias("controllers"))
     histogram = per_flight.groupBy("controllers").agg(F.count(F.lit(1)).alias("flights"))
     flights = F.col("flights")
     mean = histogram.agg(rounded_ratio(F.sum(F.col("controllers") * flights), F.sum(flights), 2)).scalar()

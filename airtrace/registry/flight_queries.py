@@ -287,7 +287,7 @@ _CID_WHERE = f"completion_time >= {O_NOW} - interval {WIDE_DAYS} day and cid is
 
 @query(
     "flights_by_cid_prefix",
-    f"""select cid // 100000 as cid_group, count(*) as total_flights, count(distinct cid) as unique_pilots
+    f"""select cast(cid // 100000 as bigint) as cid_group, count(*) as total_flights, count(distinct cid) as unique_pilots
 from fx_flight_summaries where {_CID_WHERE} group by 1""",
 )
 def flights_by_cid_prefix(t):
@@ -296,7 +296,7 @@ def flights_by_cid_prefix(t):
 
 @query(
     "flights_by_cid_prefix_averages",
-    f"""select cid // 100000 as cid_group, count(*) as total_flights, count(distinct cid) as unique_pilots,
+    f"""select cast(cid // 100000 as bigint) as cid_group, count(*) as total_flights, count(distinct cid) as unique_pilots,
  {avg_sql('time_online_minutes')} as avg_flight_duration_minutes, {avg2_sql('controller_time_percentage')} as avg_atc_contact_percentage
 from fx_flight_summaries where {_CID_WHERE} group by 1""",
 )

@@ -253,7 +253,7 @@ def aircraft_metrics(t):
 @query(
     "hourly_breakdown",
     """select s.callsign, s.session_start, s.session_end, cast(h.h as int) as hour,
- count(case when h.h between hour(s.first_seen) and hour(s.last_seen) then 1 end) as aircraft
+ cast(count(case when h.h between hour(s.first_seen) and hour(s.last_seen) then 1 end) as int) as aircraft
 from session_aircraft s, (select unnest(generate_series(0, 23)) as h) h group by 1, 2, 3, 4""",
 )
 def hourly_breakdown(t):
