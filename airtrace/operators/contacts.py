@@ -226,19 +226,19 @@ def match_flight_atc(
     limit follows the controller type. A controller counts if it was seen at or
     after the log-on.
     """
-    if keys is None:
-        keys = flight_keys(flights)
     own = flight_radios(transceivers)
     if window == "logon":
-        spans = _named_keys(keys).withColumn("_logon_us", micros(F.col("logon_time")))
+        spans = _named_keys(flight_keys(flights) if keys is None else keys).withColumn("_logon_us", micros(F.col("logon_time")))
         radios = band_join(
             own.withColumn("_us", micros(F.col("timestamp"))), spans,
             [Band("_us", "_logon_us", secs * 1_000_000)],
             on=[("callsign", "key_callsign")], hot_pairs=hot_pairs,
         ).drop("_us", "_logon_us", "key_callsign")
     elif window == "flight":
-        lived = flights.groupBy(*FLIGHT_KEY).agg(F.max("last_updated").alias("flight_end"))
-        spans = _named_keys(keys.join(lived, FLIGHT_KEY))
+        rows = flights.dropna(subset=FLIGHT_KEY)
+        if keys is not None:
+            rows = rows.join(keys.select(*FLIGHT_KEY).distinct(), FLIGHT_KEY, "left_semi")
+        spans = _named_keys(rows.groupBy(*FLIGHT_KEY).agg(F.max("last_updated").alias("flight_end")))
         radios = range_join(
             own, spans, "timestamp", "logon_time", "flight_end", on=[("callsign", "key_callsign")]
         ).drop("key_callsign", "flight_end")

@@ -13,6 +13,7 @@ from airtrace.operators.contacts import (
     FLIGHT_KEY, aircraft_metrics, atc_contact_metrics, flight_keys, match_controller_flight, match_flight_atc,
 )
 from airtrace.operators.sectors import primary_sector, sector_breakdown
+from airtrace.session import materialise
 
 COMPLETED_KEY = ["callsign", "departure", "arrival", "cid", "deptime"]
 SESSION = ["callsign", "cid", "logon_time"]
@@ -50,7 +51,11 @@ def build_flight_summaries(
     flights: DataFrame, transceivers: DataFrame, controllers: DataFrame, stays: DataFrame,
     summaries: DataFrame, as_of, hours: int = FLIGHT_HOURS, poll_secs: int = 60, window: str = "logon",
 ) -> DataFrame:
-    """One summary row per completed flight, all flights in one set of joins."""
+    """One summary row per completed flight, all flights in one set of joins.
+
+    The row per flight is written to the shared folder once: three later steps
+    read it, and the stored positions are not scanned for each of them.
+    """
     completed = completed_flights(flights, summaries, as_of, hours)
     detail = _of_completed(flights, completed)
     carried = [c for c in (
@@ -67,6 +72,7 @@ def build_flight_summaries(
         "time_online_minutes": whole_minutes(F.col("_start"), F.col("completion_time")).cast("int"),
         "aircraft_short": F.col("aircraft_type"),
     }).drop("_start")
+    base = materialise(base, "flight-base")
     keys = base.select(*FLIGHT_KEY).dropna().distinct()
     matches = match_flight_atc(flights, transceivers, controllers, window=window, keys=keys)
     contacts = atc_contact_metrics(matches, flights, poll_secs).select(
@@ -166,9 +172,12 @@ def build_controller_summaries(
     controllers: DataFrame, transceivers: DataFrame, summaries: DataFrame, as_of,
     minutes: int = SESSION_MINUTES, reconnect_minutes: int = RECONNECT_MINUTES,
 ) -> DataFrame:
-    """One summary per completed session, with its frequencies and aircraft."""
+    """One summary per completed session, with its frequencies and aircraft.
+
+    The merged sessions are written once, as three later steps read them.
+    """
     completed = completed_controllers(controllers, summaries, as_of, minutes)
-    merged = controller_session_merge(completed, controllers, reconnect_minutes)
+    merged = materialise(controller_session_merge(completed, controllers, reconnect_minutes), "sessions")
     sessions = merged.select(
         "callsign", F.col("logon_time").alias("session_start"), F.col("unmerged_end").alias("session_end")
     ).distinct()
