@@ -84,14 +84,14 @@ select l_orderkey*10 + l_linenumber as id, {_station('l_suppkey % 8')} as callsi
  concat('[{{"callsign":"FLT', l_partkey % 60, '"}}]') as aircraft_details,
  l_shipdate as session_start_time, l_shipdate + (cast(floor(l_extendedprice) as bigint) % 400) * interval '1' minute as session_end_time
 from lineitem""",
-    # archived sessions: the summaries of odd suppliers, with some ends missing
+    # archived sessions: those before 1997, some with a log-on a minute off
     "fx_controllers_archive": f"""
 select l_orderkey*10 + l_linenumber as id, {_station('l_suppkey % 8')} as callsign,
  cast(l_suppkey as int) as cid, cast(1 + l_suppkey % 11 as int) as rating,
  case when l_linenumber % 3 = 0 then l_shipdate + interval '1' minute else l_shipdate end as logon_time,
  l_shipdate + interval '2' hour as last_updated
-from lineitem where l_suppkey % 2 = 1""",
-    # archived flight rows: two thirds of the orders, summary columns partly missing
+from lineitem where l_shipdate < timestamp '1997-01-01 00:00:00'""",
+    # archived flight rows: those before 1998, summary columns partly missing
     "fx_flights_archive": """
 select o_orderkey as id, concat('FLT', o_custkey % 60) as callsign,
  case when o_custkey % 4 = 0 then 'YSSY' when o_custkey % 4 = 1 then 'YMML' when o_custkey % 4 = 2 then 'YBBN' else '' end as departure,
@@ -101,7 +101,7 @@ select o_orderkey as id, concat('FLT', o_custkey % 60) as callsign,
  case when o_orderkey % 6 = 0 then cast(null as int) else 2 end as total_enroute_time_minutes,
  case when o_orderkey % 4 = 1 then cast(null as timestamp) else o_orderdate end as completion_time,
  o_orderdate as last_updated
-from orders where o_orderkey % 3 < 2""",
+from orders where o_orderdate < timestamp '1998-01-01 00:00:00'""",
     # three rectangles; the union of literals is the reference data, not a query
     "fx_sectors": """
 select 1 as ord, 'ARL' as sector_name, 'A' as main_sector, 115e0 as lon_min, 130e0 as lon_max, -40e0 as lat_min, -15e0 as lat_max

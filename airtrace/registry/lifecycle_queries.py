@@ -17,11 +17,8 @@ O_NOW = f"timestamp '{ORDERS_NOW}'"
 HOURS = 1
 KEY = "callsign, departure, arrival, cid, deptime"
 
-# Callsigns with a summary already: those of the derived summaries that end in 3 or 8.
-shared_cte(
-    "known_summaries",
-    "select * from fx_flight_summaries where callsign like '%3' or callsign like '%8'",
-)
+# Flights summarised already: those from one airport.
+shared_cte("known_summaries", "select * from fx_flight_summaries where departure = 'YBBN'")
 shared_cte(
     "done_flights",
     f"""select distinct {KEY} from fx_flights where last_updated < {E_NOW} - interval {HOURS} hour
@@ -31,8 +28,7 @@ _SAME = " and ".join(f"f.{c} = d.{c}" for c in KEY.split(", "))
 
 
 def known(t):
-    ends = F.col("callsign").endswith("3") | F.col("callsign").endswith("8")
-    return t.flight_summaries.where(ends)
+    return t.flight_summaries.where(F.col("departure") == "YBBN")
 
 
 def done(t):
