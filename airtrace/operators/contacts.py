@@ -209,6 +209,11 @@ def flight_radio_rows(keys: DataFrame, transceivers: DataFrame, as_of: Column, c
     ).drop("key_callsign")
 
 
+def _last_heard(radios: DataFrame) -> DataFrame:
+    """Time of the newest radio row per callsign."""
+    return radios.groupBy("callsign").agg(F.max("timestamp").alias("heard_until"))
+
+
 def match_flight_atc(
     flights: DataFrame,
     transceivers: DataFrame,
@@ -223,12 +228,15 @@ def match_flight_atc(
 
     ``window='logon'`` looks at the ``secs`` around the log-on, ``'flight'`` at
     the time from the first to the last stored row of the flight. The distance
-    limit follows the controller type. A controller counts if it was seen at or
-    after the log-on.
+    limit follows the controller type. A controller counts if it was seen, and
+    on the radio, at or after the log-on, an aircraft if it was on the radio.
     """
     own = flight_radios(transceivers)
     if window == "logon":
-        spans = _named_keys(flight_keys(flights) if keys is None else keys).withColumn("_logon_us", micros(F.col("logon_time")))
+        spans = _named_keys(flight_keys(flights) if keys is None else keys)
+        heard = _last_heard(own).withColumnRenamed("callsign", "key_callsign")
+        spans = spans.join(heard, "key_callsign").where(F.col("heard_until") >= F.col("logon_time"))
+        spans = spans.drop("heard_until").withColumn("_logon_us", micros(F.col("logon_time")))
         radios = band_join(
             own.withColumn("_us", micros(F.col("timestamp"))), spans,
             [Band("_us", "_logon_us", secs * 1_000_000)],
@@ -247,14 +255,17 @@ def match_flight_atc(
     seen = controllers.where(F.col("facility") != 0).groupBy("callsign").agg(
         F.max("last_updated").alias("seen_until")
     )
-    atc = transceivers.where(F.col("entity_type") == "atc").join(seen, "callsign")
-    atc = _atc_side(atc, "seen_until").withColumn(
+    atc = transceivers.where(F.col("entity_type") == "atc")
+    seen = seen.join(_last_heard(atc), "callsign").select(
+        "callsign", F.least("seen_until", "heard_until").alias("active_until")
+    )
+    atc = _atc_side(atc.join(seen, "callsign"), "active_until").withColumn(
         "limit_nm", proximity_nm(controller_type(F.col("atc_callsign")), limits)
     )
 
     def close(l, r) -> Column:
         near = nm_within(l("flight_lat"), l("flight_lon"), r("atc_lat"), r("atc_lon"), r("limit_nm"))
-        return near & (r("seen_until") >= l("logon_time"))
+        return near & (r("active_until") >= l("logon_time"))
 
     return band_join(
         _flight_side(radios, "departure", "arrival", "logon_time"),

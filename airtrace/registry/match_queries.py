@@ -32,8 +32,10 @@ where departure is not null and arrival is not null and logon_time is not null g
 )
 shared_cte(
     "seen_atc",
-    """select t.*, c.seen_until from fx_transceivers t join (select callsign, max(last_updated) as seen_until from fx_controllers
- where facility <> 0 group by 1) c on t.callsign = c.callsign where t.entity_type = 'atc'""",
+    """select t.*, c.seen_until, h.heard_until from fx_transceivers t join (select callsign, max(last_updated) as seen_until from fx_controllers
+ where facility <> 0 group by 1) c on t.callsign = c.callsign
+join (select callsign, max(ts) as heard_until from fx_transceivers where entity_type = 'atc' group by 1) h on t.callsign = h.callsign
+where t.entity_type = 'atc'""",
 )
 
 
@@ -43,7 +45,8 @@ def _flight_pairs(window: str) -> str:
  a.position_lon as atc_lon, cast(abs(epoch(f.ts) - epoch(a.ts)) as double) as time_diff_seconds
 from flight_keys k join fx_transceivers f on f.callsign = k.callsign and f.entity_type = 'flight' and {window}
 join seen_atc a on abs(f.frequency - a.frequency) <= 5000 and abs(epoch(f.ts) - epoch(a.ts)) <= 180
-where a.seen_until >= k.logon_time
+where a.seen_until >= k.logon_time and a.heard_until >= k.logon_time
+ and k.logon_time <= (select max(h.ts) from fx_transceivers h where h.entity_type = 'flight' and h.callsign = k.callsign)
  and {NM.format(a='f.position_lat', b='f.position_lon', c='a.position_lat', d='a.position_lon')} <= {LIMIT_CASE.format(c='a.callsign')}"""
 
 

@@ -66,3 +66,30 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path, t):
 
     plan = latest_flights(spark.read.parquet(path), "2024-01-01 00:15:00")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(last_updated" in plan and "flight_rules" not in plan.split("ReadSchema")[1]
+
+
+def test_silent_parties_do_not_match(spark):
+    """Before the log-on alone is not enough, for the aircraft or the controller."""
+    def at(second):
+        return f"timestamp_seconds({1_700_000_000 + second})"
+
+    flights = spark.sql(
+        f"select 1L id, 'A' callsign, 'X' departure, 'Y' arrival, {at(0)} logon_time, {at(60)} last_updated "
+        f"union all select 2L, 'B', 'X', 'Y', {at(0)}, {at(60)}"
+    )
+    def radio(i, callsign, kind, second):
+        return f"select {i}L id, '{callsign}' callsign, '{kind}' entity_type, 118000000L frequency, 0D position_lat, 0D position_lon, {at(second)} timestamp"
+
+    radios = spark.sql(" union all ".join([
+        radio(1, "A", "flight", -60), radio(2, "A", "flight", 60),
+        radio(3, "B", "flight", -60),                                  # never on the radio after log-on
+        radio(4, "S_TWR", "atc", -100), radio(5, "S_TWR", "atc", 30),
+        radio(6, "Q_TWR", "atc", -90),                                 # silent after log-on
+        radio(7, "G_TWR", "atc", 30),                                  # gone before log-on
+    ]))
+    staff = spark.sql(
+        f"select 'S_TWR' callsign, 4 facility, {at(30)} last_updated union all select 'Q_TWR', 4, {at(30)} "
+        f"union all select 'G_TWR', 4, {at(-500)} union all select 'S_TWR', 0, {at(900)}"
+    )
+    found = C.match_flight_atc(flights, radios, staff).select("flight_callsign", "atc_callsign").distinct().collect()
+    assert [tuple(r) for r in found] == [("A", "S_TWR")]
