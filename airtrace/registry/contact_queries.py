@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from airtrace.operators import contacts as C
 from airtrace.plans import contact_reports as R
 from airtrace.registry.base import percent_sql, query, shared_cte
-from airtrace.functions.values import at
-from airtrace.registry.derived import AS_OF_EVENTS
 
 shared_cte(
     "atc_rows",

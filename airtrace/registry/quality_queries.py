@@ -86,7 +86,7 @@ def dq_business_rules(t):
     return Q.dq_business_rules(t.flights, t.controllers)
 
 
-# the archive holds sessions that last two hours whatever the summary says
+# stored minutes moved by 0 to 3, so that some differ by more than one
 _OFF = "abs(epoch(session_end_time) - epoch(session_start_time) - session_duration_minutes * 60)"
 _SHIFTED = "(select id, callsign, session_start_time, session_end_time, session_duration_minutes + cast(id % 4 as int) as session_duration_minutes from fx_controller_summaries)"
 

@@ -14,7 +14,9 @@ from airtrace.operators.filters import (
     Ring, filter_boundary_flights, filter_boundary_transceivers, filter_callsign_pattern,
     filter_controller_allowlist, filter_frequency, filter_incomplete_plan,
 )
-from airtrace.sources.snapshots import link_transceivers, parse_controllers, parse_flights, parse_transceivers
+from airtrace.sources.snapshots import (
+    link_transceivers, parse_controllers, parse_flights, parse_transceivers, stream_snapshots,
+)
 
 TIME_COLUMNS = {"flights": "last_updated", "controllers": "last_updated", "transceivers": "timestamp"}
 
@@ -65,7 +67,7 @@ def start_ingest(
             dated = df.withColumn("date", F.to_date(TIME_COLUMNS[name]))
             dated.write.mode("overwrite").partitionBy("date").parquet(f"{out}/{name}/batch={batch_id}")
 
-    polls = spark.readStream.schema(schemas.POLL).option("maxFilesPerTrigger", files_per_batch).json(landing)
+    polls = stream_snapshots(spark, landing, schemas.POLL, files_per_batch)
     return (
         polls.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)

@@ -1,6 +1,5 @@
 from datetime import datetime, timedelta
 
-import pytest
 
 from airtrace.plans import lifecycle as L
 from airtrace.plans import integrity

@@ -3,7 +3,6 @@ from collections import namedtuple
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from airtrace.functions.values import at
 from airtrace.operators import sectors as S
