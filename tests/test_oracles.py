@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from airtrace import registry
 from tools.check import TABLES, canonical
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,7 +32,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(contract.queries()) if os.environ.get("AIRTRACE_ALL") else SPREAD)
+@pytest.mark.parametrize("name", list(registry.queries()) if os.environ.get("AIRTRACE_ALL") else SPREAD)
 def test_query_equals_oracle(spark, duck, name):
     df = contract.queries()[name](spark, FOLDER)
     rows = df.collect()
@@ -42,7 +43,7 @@ def test_query_equals_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracles())
 
 
 def test_entry(spark):
