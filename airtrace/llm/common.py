@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from airtrace.session import materialise
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -57,3 +59,37 @@ def once(df: DataFrame, **computed: Column) -> DataFrame:
     held = fresh(df, "_held", computed)
     out = df.withColumn(held, F.explode(F.array(fields)))
     return out.withColumns({n: F.col(held)[n] for n in computed}).drop(held)
+
+
+def indexed(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
+    """Number all rows from 0 in the given order.
+
+    Rows are sorted over ranges of all order columns, so that a frequent first
+    column is split; the sizes of the ranges, one number per partition, give
+    each range its start. The sorted rows are written once, so that positions
+    and sizes agree.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = ranged.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    placed = materialise(placed.withColumn("_nth", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"), "indexed")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    out = placed.join(F.broadcast(starts), "_part")  # a row per partition
+    return out.withColumn(name, F.col("_start") + F.col("_nth")).drop("_part", "_nth", "_start")
+
+
+REST = "_rest"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and all other columns in one struct, whose names then clash with nothing."""
+    require(docs, "doc_id", "text")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*rest).alias(REST)] if rest else []))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them replaced."""
+    own = lambda c: F.col(c) if c in ("doc_id", "text") else F.col(REST)[c]
+    return df.select(*[changed.get(c, own(c)).alias(c) for c in docs.columns])

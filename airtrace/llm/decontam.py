@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airtrace.llm.common import digest_of, lower_ascii, once, require, split_words
+from airtrace.llm.common import digest_of, lower_ascii, once, packed, require, split_words, unpacked
 from airtrace.session import materialise
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -108,7 +108,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     hits = window_hits(docs, benchmark, window).select(
         F.col("doc_id").alias("_hit_doc"), F.col("text_hash").alias("_hit_hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_hit_doc")) & (F.xxhash64("text") == F.col("_hit_hash"))
-    return docs.join(hits, same, "left_anti")
+    return unpacked(packed(docs).join(hits, same, "left_anti"), docs)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -121,6 +121,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     tail = F.regexp_extract("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0)
     left = F.filter(pieces, lambda p, k: ~F.exists("_spans", lambda s: (s["at"] <= k) & (k < s["end"])))
     cut = F.concat(F.array_join(left, ""), tail)
-    out = docs.join(found, same, "left")
+    out = packed(docs).join(found, same, "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)
-    return out.withColumn("text", text).select(*docs.columns)
+    return unpacked(out, docs, text=text)

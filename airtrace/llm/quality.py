@@ -8,11 +8,10 @@ All work is done by DataFrame functions.
 
 Nulls, empty and odd input: a null text has no words and fails the base rules;
 a null or repeated ``doc_id`` is scored like any other row, since each row is
-scored by itself; a null label counts as not trusted. With no trusted row both
-multinomials agree, every score is 0, and only the base rules decide. Columns
-beside ``doc_id`` and ``text`` are carried along, also if they have the name of
-a result column in another letter case; a column with a result column's very
-name is replaced.
+scored by itself; a null label counts as not trusted. With no trusted row all scores
+are equal and near 0, and only the base rules decide. The filter keeps all
+columns, whatever their names; ``score`` replaces columns that have the name of
+one of its own.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airtrace.llm.common import once, require, split_words
+from airtrace.llm.common import once, packed, require, split_words, unpacked
 
 SYMBOLS = r"[#*$%&|<>]+"
 
@@ -141,7 +140,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = -0.075) -> Da
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = -0.075) -> DataFrame:
     """The documents that are kept, with their own columns."""
     model = fit(docs, labels)
-    return score(docs, model, threshold).where("kept").select(*docs.columns)
+    return unpacked(score(packed(docs), model, threshold).where("kept"), docs)
 
 
 __all__ = ["QualityModel", "base_rules", "filter_quality", "fit", "score", "trusted_ids"]
