@@ -17,6 +17,11 @@ def ago(as_of: datetime | str, **parts: float) -> Column:
     return at(as_of) - F.make_interval(**{k: F.lit(v) for k, v in parts.items()})
 
 
+def stable_id(*columns) -> Column:
+    """A row number that the row itself decides, so a repeated run gives it again."""
+    return F.xxhash64(*columns)
+
+
 def parse_utc(text: Column) -> Column:
     """ISO-8601 text to a UTC timestamp with whole seconds; bad text is NULL."""
     return F.date_trunc("second", F.try_to_timestamp(text))

@@ -5,12 +5,11 @@ both sides get a bucket number: the left row one bucket, the right row each
 bucket its band reaches (two per band). The join is then an equi-join on the
 buckets with the exact test on top, and no pair can appear twice.
 
-Hot buckets: on large input the rows per bucket are counted first (partial
-sums, one small shuffle). A bucket whose pairs exceed ``hot_pairs`` is cut into
-pieces: the rows of one side are spread over the pieces by a hash and the other
-side is copied to each. At most ``MAX_HOT`` buckets are cut this way, so the
-list that is broadcast has a fixed bound; every other bucket is joined whole,
-so the result does not depend on the list.
+Buckets of very many rows are left to Spark's skew join, which cuts a partition
+at run time by its real size. Where that is not enough, ``pieces`` spreads the
+left rows of every bucket over a fixed number of pieces by a hash of the row and
+copies the right rows to each. Neither depends on a size estimate, and the
+result is the same with any number of pieces.
 """
 
 from __future__ import annotations
@@ -20,14 +19,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airtrace.session import estimated_bytes
-
-MAX_HOT = 10_000
-MAX_PIECES = 2_048
-HOT_PAIRS = 500_000_000
-# Below this estimated size one bucket cannot be too big for a task.
-SPLIT_FROM_BYTES = 1 << 30
-
 
 @dataclass(frozen=True)
 class Band:
@@ -51,43 +42,10 @@ def _bucketed(df: DataFrame, on, bands: Sequence[Band], side: str) -> DataFrame:
     return df.withColumns({f"_k{i}": F.col(pair[pick]) for i, pair in enumerate(on)})
 
 
-def _hot_buckets(left, right, keys, how, hot_pairs) -> DataFrame:
-    """Buckets to cut: their keys, pieces of the left and of the right side."""
-    lc = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_l"))
-    rc = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r"))
-    pairs = F.col("_l").cast("double") * F.col("_r")
-    pieces = F.least(F.ceil(pairs / hot_pairs), F.lit(MAX_PIECES)).cast("int")
-    # Only an inner join may copy left rows; a semi-join always cuts the left.
-    cut_left = (F.col("_l") >= F.col("_r")) if how == "inner" else F.lit(True)
-    return (
-        lc.join(rc, keys)
-        .where(pairs > hot_pairs)
-        .orderBy(pairs.desc())
-        .limit(MAX_HOT)
-        .select(
-            *keys,
-            F.when(cut_left, pieces).otherwise(1).alias("_nl"),
-            F.when(cut_left, 1).otherwise(pieces).alias("_nr"),
-        )
-    )
-
-
-def _salted(df: DataFrame, hot: DataFrame, keys, own: str, other: str) -> DataFrame:
-    """Spread the rows over their own pieces, copy them to the other side's."""
-    columns = df.columns
-    df = df.join(F.broadcast(hot), keys, "left")
-    piece = F.pmod(F.xxhash64(*columns), F.coalesce(f"_n{own}", F.lit(1)).cast("long"))
-    return df.select(
-        *columns,
-        piece.cast("int").alias(f"_s{own}"),
-        F.explode(F.sequence(F.lit(0), F.coalesce(f"_n{other}", F.lit(1)) - 1)).alias(f"_s{other}"),
-    )
-
-
-def _looks_large(left: DataFrame, right: DataFrame) -> bool:
-    if left.isStreaming or right.isStreaming:
-        return False  # a stream is joined one bounded micro-batch at a time
-    return estimated_bytes(left) + estimated_bytes(right) > SPLIT_FROM_BYTES
+def _spread(left: DataFrame, right: DataFrame, pieces: int) -> tuple[DataFrame, DataFrame]:
+    """Spread the left rows over the pieces, copy the right ones to each."""
+    piece = F.pmod(F.xxhash64(*left.columns), F.lit(pieces).cast("long")).cast("int")
+    return left.withColumn("_piece", piece), right.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
 
 
 def band_join(
@@ -97,25 +55,22 @@ def band_join(
     on: Sequence[tuple[str, str]] = (),
     how: str = "inner",
     condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
-    hot_pairs: int | None = None,
+    pieces: int = 1,
 ) -> DataFrame:
     """Join rows whose ``on`` columns are equal and whose bands are close.
 
     ``how`` is ``inner`` or ``left_semi``. The two sides must not share column
     names for ``inner``. ``condition(l, r)`` adds a test over both sides.
-    ``hot_pairs`` forces the search for hot buckets with that limit, 0 turns it
-    off; by default it runs only where the input is large.
+    ``pieces`` spreads every bucket over that many tasks.
     """
     if how not in ("inner", "left_semi"):
         raise ValueError(how)
     kept = left.columns + (right.columns if how == "inner" else [])
     keys = [f"_k{i}" for i in range(len(on))] + [f"_b{i}" for i in range(len(bands))]
-    large = _looks_large(left, right) if hot_pairs is None else hot_pairs > 0
     left, right = _bucketed(left, on, bands, "left"), _bucketed(right, on, bands, "right")
-    if large:
-        hot = _hot_buckets(left, right, keys, how, hot_pairs or HOT_PAIRS)
-        left, right = _salted(left, hot, keys, "l", "r"), _salted(right, hot, keys, "r", "l")
-        keys += ["_sl", "_sr"]
+    if pieces > 1:
+        left, right = _spread(left, right, pieces)
+        keys.append("_piece")
 
     def l(name: str) -> Column:
         return F.col(f"l.{name}")

@@ -1,8 +1,9 @@
 """Who talked to whom: radio matching and what is derived from it.
 
 Two forms are needed. Reports that ask "was there any contact" use semi-joins,
-which never write out the matching pairs. Counts per controller need the pairs;
-there both sides are summed up first, so equal rows travel once with a weight.
+which never write out the matching pairs. Counts per label sum up both sides
+first, to one row per place, frequency and time with a weight, and multiply the
+weights after the join.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def relevant_atc_rows(transceivers: DataFrame, controllers: DataFrame, since: Co
 
 
 def _atc_side(rows: DataFrame, *extra: str) -> DataFrame:
-    """ATC rows under names of their own, equal rows once with their number."""
+    """ATC rows under names of their own."""
     return (
         rows.select(
             F.col("callsign").alias("atc_callsign"),
@@ -82,7 +83,7 @@ _FREQUENCY_BAND = Band("frequency", "atc_frequency", FREQUENCY_HZ)
 
 
 def report_match_all(
-    transceivers: DataFrame, controllers: DataFrame, secs: int = TIME_SECONDS, hot_pairs: int | None = None
+    transceivers: DataFrame, controllers: DataFrame, secs: int = TIME_SECONDS, pieces: int = 1
 ) -> DataFrame:
     """Every pair of flight and ATC radio rows that match, one row per pair."""
     return band_join(
@@ -90,12 +91,12 @@ def report_match_all(
         _atc_side(relevant_atc_rows(transceivers, controllers)),
         [_FREQUENCY_BAND, _time_band(secs)],
         condition=_degrees,
-        hot_pairs=hot_pairs,
+        pieces=pieces,
     ).drop("_us", "_atc_us")
 
 
 def matched_flight_times(
-    transceivers: DataFrame, controllers: DataFrame, secs: int = TIME_SECONDS, hot_pairs: int | None = None
+    transceivers: DataFrame, controllers: DataFrame, secs: int = TIME_SECONDS, pieces: int = 1
 ) -> DataFrame:
     """(callsign, time) of flight radio rows with at least one match.
 
@@ -109,7 +110,7 @@ def matched_flight_times(
         [_FREQUENCY_BAND, _time_band(secs)],
         how="left_semi",
         condition=_degrees,
-        hot_pairs=hot_pairs,
+        pieces=pieces,
     )
     return matched.select("flight_callsign", F.col("_us").alias("_match_us"))
 
@@ -119,10 +120,10 @@ def records_with_contact(
     transceivers: DataFrame,
     controllers: DataFrame,
     secs: int = TIME_SECONDS,
-    hot_pairs: int | None = None,
+    pieces: int = 1,
 ) -> DataFrame:
     """Flight rows for which the aircraft had a radio match within ``secs``."""
-    matched = matched_flight_times(transceivers, controllers, secs, hot_pairs)
+    matched = matched_flight_times(transceivers, controllers, secs, pieces)
     timed = flights.withColumn("_us", micros(F.col("last_updated")))
     return band_join(
         timed,
@@ -130,7 +131,7 @@ def records_with_contact(
         [Band("_us", "_match_us", secs * 1_000_000)],
         on=[("callsign", "flight_callsign")],
         how="left_semi",
-        hot_pairs=hot_pairs,
+        pieces=pieces,
     ).drop("_us")
 
 
@@ -140,25 +141,31 @@ def records_by_controller(
     controllers: DataFrame,
     label: Column,
     secs: int = TIME_SECONDS,
-    hot_pairs: int | None = None,
+    pieces: int = 1,
 ) -> DataFrame:
     """(callsign, label, records): flight rows x matches x controller rows.
 
-    Every combination counts, as in the inner joins it stands for, but none is
-    written out: each side is summed to a weight per (aircraft, second) before
-    the band join and the weights are multiplied after it.
+    Every combination counts, as in the inner joins it stands for. Stations are
+    summed to a weight per label, place, frequency and time, aircraft likewise,
+    before the band join; the weights are multiplied after it.
     """
     staffed = controllers.where(F.col("facility") != 0)
-    weights = staffed.groupBy(F.col("callsign").alias("atc_callsign"), label.alias("label")).agg(
-        F.count(F.lit(1)).alias("_w")
+    weights = staffed.groupBy("callsign", label.alias("label")).agg(F.count(F.lit(1)).alias("_w"))
+    place = ["frequency", "position_lat", "position_lon", "timestamp"]
+    aircraft = flight_radios(transceivers).groupBy("callsign", *place).agg(F.count(F.lit(1)).alias("_fw"))
+    stations = (
+        relevant_atc_rows(transceivers, controllers)
+        .groupBy("callsign", *place).agg(F.count(F.lit(1)).alias("_n"))
+        .join(weights, "callsign")
+        .groupBy("label", *place).agg(F.sum(F.col("_n") * F.col("_w")).alias("_aw"))
     )
-    matches = (
-        report_match_all(transceivers, controllers, secs, hot_pairs)
-        .groupBy("flight_callsign", "flight_time", "atc_callsign")
-        .agg(F.count(F.lit(1)).alias("_m"))
-        .join(weights, "atc_callsign")
-        .groupBy("flight_callsign", "label", micros(F.col("flight_time")).alias("_match_us"))
-        .agg(F.sum(F.col("_m") * F.col("_w")).alias("_mw"))
+    pairs = band_join(
+        _flight_side(aircraft.withColumn("id", F.lit(0)), "_fw").drop("id", "flight_time"),
+        _atc_side(stations.withColumn("callsign", F.lit("")), "label", "_aw").drop("atc_callsign", "atc_time"),
+        [_FREQUENCY_BAND, _time_band(secs)], condition=_degrees, pieces=pieces,
+    )
+    matches = pairs.groupBy("flight_callsign", "label", F.col("_us").alias("_match_us")).agg(
+        F.sum(F.col("_fw") * F.col("_aw")).alias("_mw")
     )
     rows = flights.groupBy("callsign", micros(F.col("last_updated")).alias("_us")).agg(
         F.count(F.lit(1)).alias("_n")
@@ -168,7 +175,7 @@ def records_by_controller(
         matches,
         [Band("_us", "_match_us", secs * 1_000_000)],
         on=[("callsign", "flight_callsign")],
-        hot_pairs=hot_pairs,
+        pieces=pieces,
     )
     return joined.groupBy("callsign", "label").agg(F.sum(F.col("_n") * F.col("_mw")).alias("records"))
 
@@ -222,7 +229,7 @@ def match_flight_atc(
     window: str = "logon",
     limits: Mapping[str, int] | None = None,
     keys: DataFrame | None = None,
-    hot_pairs: int | None = None,
+    pieces: int = 1,
 ) -> DataFrame:
     """Pairs of flight and ATC radio rows, per flight.
 
@@ -240,7 +247,7 @@ def match_flight_atc(
         radios = band_join(
             own.withColumn("_us", micros(F.col("timestamp"))), spans,
             [Band("_us", "_logon_us", secs * 1_000_000)],
-            on=[("callsign", "key_callsign")], hot_pairs=hot_pairs,
+            on=[("callsign", "key_callsign")], pieces=pieces,
         ).drop("_us", "_logon_us", "key_callsign")
     elif window == "flight":
         rows = flights.dropna(subset=FLIGHT_KEY)
@@ -269,7 +276,7 @@ def match_flight_atc(
 
     return band_join(
         _flight_side(radios, "departure", "arrival", "logon_time"),
-        atc, [_FREQUENCY_BAND, _time_band(secs)], condition=close, hot_pairs=hot_pairs,
+        atc, [_FREQUENCY_BAND, _time_band(secs)], condition=close, pieces=pieces,
     ).select(
         "flight_callsign", "departure", "arrival", "logon_time", "atc_callsign", "frequency",
         "flight_time", "atc_time", "flight_lat", "flight_lon", "atc_lat", "atc_lon",
@@ -294,7 +301,7 @@ def match_controller_flight(
     transceivers: DataFrame,
     secs: int = TIME_SECONDS,
     limits: Mapping[str, int] | None = None,
-    hot_pairs: int | None = None,
+    pieces: int = 1,
 ) -> DataFrame:
     """Pairs of flight and ATC radio rows, both inside the controller's session."""
     own = session_radio_rows(sessions.select("callsign", "session_start", "session_end"), transceivers)
@@ -308,7 +315,7 @@ def match_controller_flight(
 
     return band_join(
         _flight_side(flight_radios(transceivers)), atc,
-        [_FREQUENCY_BAND, _time_band(secs)], condition=close, hot_pairs=hot_pairs,
+        [_FREQUENCY_BAND, _time_band(secs)], condition=close, pieces=pieces,
     ).select(
         F.col("atc_callsign").alias("callsign"), "session_start", "session_end",
         "flight_callsign", F.col("atc_frequency").alias("frequency"), "flight_time", "atc_time",

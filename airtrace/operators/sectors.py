@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from airtrace.functions.geo import point_in_edges
-from airtrace.session import broadcast_if_small
+from airtrace.session import broadcast_if_few
 
 # An aircraft is in a sector from 60 kt on, and a gap of more
 # than 300 s ends its stay.
@@ -41,8 +41,9 @@ def sector_cells(sectors: DataFrame, hierarchy: DataFrame | None = None) -> Data
 
 
 def _at_cell(points: DataFrame, cells: DataFrame, lat: str, lon: str) -> DataFrame:
+    # 360 x 180 cells at most, so the rows of cells always pass the count
     keyed = points.withColumns({"_cell_lat": F.floor(lat), "_cell_lon": F.floor(lon)})
-    return keyed.join(broadcast_if_small(cells), ["_cell_lat", "_cell_lon"], "left").drop("_cell_lat", "_cell_lon")
+    return keyed.join(broadcast_if_few(cells), ["_cell_lat", "_cell_lon"], "left").drop("_cell_lat", "_cell_lon")
 
 
 def sector_for_point(points: DataFrame, sectors: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:

@@ -14,20 +14,22 @@ SLOT_HOURS = 12
 
 
 def _slots(start: str, end: str) -> Column:
+    """The slots between both ends, whichever comes first."""
     width = SLOT_HOURS * 3600
 
     def slot(name: str) -> Column:
         return F.floor(F.unix_seconds(F.col(name).cast("timestamp")) / width)
 
-    return F.explode(F.sequence(slot(start), slot(end)))
+    return F.explode(F.sequence(F.least(slot(start), slot(end)), F.greatest(slot(start), slot(end))))
 
 
 def overlaps(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], left_span, right_span, keep: str) -> DataFrame:
     """Ids (column ``keep``) of left rows with a right row of equal keys whose
     time overlaps; each time slot is joined on its own, so a pair of keys with
-    very many rows is spread over its slots."""
-    l = left.where(F.col(left_span[0]) <= F.col(left_span[1])).withColumn("_slot", _slots(*left_span))
-    r = right.where(F.col(right_span[0]) <= F.col(right_span[1])).withColumn("_slot", _slots(*right_span))
+    very many rows is spread over its slots. A span that ends before it starts
+    overlaps what both of its ends lie in, and is listed in all slots between."""
+    l = left.withColumn("_slot", _slots(*left_span))
+    r = right.withColumn("_slot", _slots(*right_span))
     test = F.col("l._slot") == F.col("r._slot")
     for a, b in on:
         test = test & (F.col(f"l.{a}") == F.col(f"r.{b}"))
@@ -95,21 +97,24 @@ def integrity_controller_to_flight(
         F.col("callsign").alias("fs_callsign"), F.col("logon_time").alias("fs_start"),
         F.coalesce("completion_time", at(as_of)).alias("fs_end"),
         F.when(text.isNotNull(), keys).alias("_keys"),
-    ).where(F.col("fs_start") <= F.col("fs_end"))
+    )
     width = SLOT_HOURS * 3600
 
     def slot(name: str) -> Column:
         return F.floor(F.unix_seconds(F.col(name).cast("timestamp")) / width)
 
-    l = refs.withColumn("_slot", F.explode(F.sequence(slot("session_start_time"), slot("session_end_time"))))
-    r = flights.withColumn("_slot", F.explode(F.sequence(slot("fs_start"), slot("fs_end"))))
+    def first(start: str, end: str) -> Column:
+        return F.least(slot(start), slot(end))
+
+    l = refs.withColumn("_slot", _slots("session_start_time", "session_end_time"))
+    r = flights.withColumn("_slot", _slots("fs_start", "fs_end"))
     pair = (
         (F.col("flight_callsign") == F.col("fs_callsign"))
         & (F.col("l._slot") == F.col("r._slot"))
         & (F.col("fs_start") <= F.col("session_end_time"))
         & (F.col("fs_end") >= F.col("session_start_time"))
         # a pair is taken only in the first slot both touch
-        & (F.col("l._slot") == F.greatest(slot("session_start_time"), slot("fs_start")))
+        & (F.col("l._slot") == F.greatest(first("session_start_time", "session_end_time"), first("fs_start", "fs_end")))
     )
     found = l.alias("l").join(r.alias("r"), pair).select(
         *[F.col(f"l.{c}") for c in refs.columns],
@@ -196,18 +201,21 @@ def match_exact_frequency(transceivers: DataFrame, controllers: DataFrame, secs:
     from airtrace.functions.geo import deg_within
 
     flight = flight_radios(transceivers).select(
-        "id", F.col("frequency").alias("f_hz"), F.col("position_lat").alias("f_lat"),
+        F.col("frequency").alias("f_hz"), F.col("position_lat").alias("f_lat"),
         F.col("position_lon").alias("f_lon"), micros(F.col("timestamp")).alias("_us"),
     )
     atc = relevant_atc_rows(transceivers, controllers).select(
         F.col("frequency").alias("a_hz"), F.col("position_lat").alias("a_lat"),
         F.col("position_lon").alias("a_lon"), micros(F.col("timestamp")).alias("_atc_us"),
     )
+    # equal rows of a side are summed up first, the numbers are multiplied after the join
+    flight = flight.groupBy(*flight.columns).agg(F.count(F.lit(1)).alias("_fw"))
+    atc = atc.groupBy(*atc.columns).agg(F.count(F.lit(1)).alias("_aw"))
     pairs = band_join(
         flight, atc, [Band("_us", "_atc_us", secs * 1_000_000)], on=[("f_hz", "a_hz")],
         condition=lambda l, r: deg_within(l("f_lat"), l("f_lon"), r("a_lat"), r("a_lon"), degrees),
     )
-    return pairs.agg(F.count(F.lit(1)).alias("matches"))
+    return pairs.agg(F.coalesce(F.sum(F.col("_fw") * F.col("_aw")), F.lit(0)).alias("matches"))
 
 
 def backfill_stay_cid(stays: DataFrame, flights: DataFrame, summaries: DataFrame, unknown: int = 999999) -> DataFrame:

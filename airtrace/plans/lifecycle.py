@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import _parse_datatype_string
 
+from airtrace import schemas
 from airtrace.functions.exact import whole_minutes
-from airtrace.functions.values import ago, at, object_text
+from airtrace.functions.values import ago, at, object_text, stable_id
 from airtrace.operators.bandjoin import range_join
 from airtrace.operators.contacts import (
     FLIGHT_KEY, aircraft_metrics, atc_contact_metrics, flight_keys, match_controller_flight, match_flight_atc,
@@ -25,6 +28,19 @@ SESSION_MINUTES = 30
 RECONNECT_MINUTES = 5
 
 
+# Columns a flight summary takes from the first row of the flight.
+CARRIED = (
+    "aircraft_type", "route", "flight_rules", "aircraft_faa", "planned_altitude", "name", "server",
+    "pilot_rating", "military_rating", "logon_time",
+)
+
+
+def _need(df: DataFrame, columns, what: str) -> None:
+    absent = [c for c in columns if c not in df.columns]
+    if absent:
+        raise ValueError(f"{what} lacks the columns {absent}")
+
+
 # --- flights -----------------------------------------------------------------
 
 
@@ -50,18 +66,22 @@ def remaining_flights(flights: DataFrame, completed: DataFrame) -> DataFrame:
 def build_flight_summaries(
     flights: DataFrame, transceivers: DataFrame, controllers: DataFrame, stays: DataFrame,
     summaries: DataFrame, as_of, hours: int = FLIGHT_HOURS, poll_secs: int = 60, window: str = "logon",
+    completed: DataFrame | None = None,
 ) -> DataFrame:
     """One summary row per completed flight, all flights in one set of joins.
 
+    A summary has all columns of the stored table; those that the flight rows
+    lack are null. ``completed`` are the keys, if they have been found already.
+
     The row per flight is written to the shared folder once: three later steps
     read it, and the stored positions are not scanned for each of them.
     """
-    completed = completed_flights(flights, summaries, as_of, hours)
+    if completed is None:
+        completed = completed_flights(flights, summaries, as_of, hours)
     detail = _of_completed(flights, completed)
-    carried = [c for c in (
-        "aircraft_type", "route", "flight_rules", "aircraft_faa", "planned_altitude", "name", "server",
-        "pilot_rating", "military_rating", "logon_time",
-    ) if c in flights.columns]
+    carried = list(CARRIED)
+    kinds = {f.name: f.dataType for f in _parse_datatype_string(schemas.FLIGHT_SUMMARIES)}
+    detail = detail.withColumns({c: F.lit(None).cast(kinds[c]) for c in carried if c not in flights.columns})
     # first and last row by partial minima and maxima, not by a sort per flight
     base = detail.groupBy(*COMPLETED_KEY).agg(
         F.min_by(F.struct(*carried), F.struct("last_updated", "id")).alias("_first"),
@@ -84,6 +104,7 @@ def build_flight_summaries(
     )
     zero = F.lit(0).cast("int")
     return out.select(
+        stable_id(*COMPLETED_KEY, "logon_time").alias("id"), at(as_of).alias("created_at"),
         *COMPLETED_KEY, *carried, "aircraft_short", "time_online_minutes", "completion_time",
         F.coalesce("controller_callsigns", F.create_map().cast(contacts.schema["controller_callsigns"].dataType)).alias("controller_callsigns"),
         F.coalesce("controller_time_percentage", F.lit(0.0)).cast("decimal(5,2)").alias("controller_time_percentage"),
@@ -170,13 +191,14 @@ def session_frequencies(sessions: DataFrame, controllers: DataFrame) -> DataFram
 
 def build_controller_summaries(
     controllers: DataFrame, transceivers: DataFrame, summaries: DataFrame, as_of,
-    minutes: int = SESSION_MINUTES, reconnect_minutes: int = RECONNECT_MINUTES,
+    minutes: int = SESSION_MINUTES, reconnect_minutes: int = RECONNECT_MINUTES, completed: DataFrame | None = None,
 ) -> DataFrame:
     """One summary per completed session, with its frequencies and aircraft.
 
     The merged sessions are written once, as three later steps read them.
     """
-    completed = completed_controllers(controllers, summaries, as_of, minutes)
+    if completed is None:
+        completed = completed_controllers(controllers, summaries, as_of, minutes)
     merged = materialise(controller_session_merge(completed, controllers, reconnect_minutes), "sessions")
     sessions = merged.select(
         "callsign", F.col("logon_time").alias("session_start"), F.col("unmerged_end").alias("session_end")
@@ -192,6 +214,7 @@ def build_controller_summaries(
     key = ["callsign", "logon_time", "unmerged_end"]
     kinds = {f.name: f.dataType for f in metrics.schema}
     return merged.join(metrics, key, "left").join(used, key, "left").select(
+        stable_id("callsign", "cid", "logon_time", "unmerged_end").alias("id"), at(as_of).alias("created_at"),
         *[c for c in merged.columns if c not in ("logon_time", "unmerged_end")],
         F.coalesce("total_aircraft", F.lit(0)).cast("int").alias("total_aircraft_handled"),
         F.coalesce("peak_count", F.lit(0)).cast("int").alias("peak_aircraft_count"),
@@ -227,11 +250,18 @@ def process_flights(
     flights: DataFrame, transceivers: DataFrame, controllers: DataFrame, stays: DataFrame,
     summaries: DataFrame, as_of, hours: int = FLIGHT_HOURS,
 ) -> Processed:
-    """identify -> summarise -> archive -> remove."""
-    completed = completed_flights(flights, summaries, as_of, hours)
+    """identify -> summarise -> archive -> remove.
+
+    The keys and the summaries are written once and handed on. Archived rows
+    have the summary columns of their flight.
+    """
+    completed = materialise(completed_flights(flights, summaries, as_of, hours), "completed-flights")
+    built = materialise(build_flight_summaries(
+        flights, transceivers, controllers, stays, summaries, as_of, hours, completed=completed
+    ), "flight-summaries")
     return Processed(
-        build_flight_summaries(flights, transceivers, controllers, stays, summaries, as_of, hours),
-        archive_flights(flights, completed),
+        built,
+        with_summary_columns(archive_flights(flights, completed), built),
         remaining_flights(flights, completed),
     )
 
@@ -241,10 +271,10 @@ def process_controllers(
 ) -> Processed:
     """The same for sessions. Only sessions that got a summary are removed: one
     without a cid finds no rows, gets none and stays."""
-    completed = completed_controllers(controllers, summaries, as_of, minutes)
+    completed = materialise(completed_controllers(controllers, summaries, as_of, minutes), "completed-sessions")
     done = completed.where(F.col("cid").isNotNull())
     return Processed(
-        build_controller_summaries(controllers, transceivers, summaries, as_of, minutes),
+        build_controller_summaries(controllers, transceivers, summaries, as_of, minutes, completed=completed),
         archive_controllers(controllers, done),
         remaining_controllers(controllers, done),
     )
@@ -270,13 +300,27 @@ SUMMARY_COLUMNS = [
 
 
 def _shared(archive: DataFrame, summaries: DataFrame, columns) -> list[str]:
-    return [c for c in columns if c in archive.columns and c in summaries.columns]
+    """The columns to fill, all of which both tables must have."""
+    _need(archive, columns, "the archive")
+    _need(summaries, columns, "the summaries")
+    return list(columns)
+
 
+def with_summary_columns(archived: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Archived rows with the summary columns, filled from the summary of the same key."""
+    columns = [c for c in SUMMARY_COLUMNS if c not in COMPLETED_KEY]
+    kinds = {f.name: f.dataType for f in summaries.schema}
+    blank = archived.withColumns({c: F.lit(None).cast(kinds[c]) for c in columns})
+    return fill_archive_from_summary(blank, summaries)
 
-def fill_archive_from_summary(archive: DataFrame, summaries: DataFrame) -> DataFrame:
+
+def fill_archive_from_summary(
+    archive: DataFrame, summaries: DataFrame, columns: Sequence[str] = SUMMARY_COLUMNS
+) -> DataFrame:
     """Where any summary column of an archived row is NULL and a summary has the
-    same five-column key, take all summary columns from it (the newest one)."""
-    columns = _shared(archive, summaries, [c for c in SUMMARY_COLUMNS if c not in COMPLETED_KEY])
+    same five-column key, take all summary columns from it (the newest one).
+    Both tables must have the ``columns``."""
+    columns = _shared(archive, summaries, [c for c in columns if c not in COMPLETED_KEY])
     newest = summaries.dropna(subset=COMPLETED_KEY).groupBy(*COMPLETED_KEY).agg(
         F.max_by(F.struct(*columns), F.struct("completion_time", "id")).alias("_fs")
     )
@@ -290,10 +334,10 @@ def fill_archive_from_summary(archive: DataFrame, summaries: DataFrame) -> DataF
     ])
 
 
-def sync_archive_columns(archive: DataFrame, summaries: DataFrame) -> DataFrame:
+def sync_archive_columns(archive: DataFrame, summaries: DataFrame, columns: Sequence[str] = SUMMARY_COLUMNS) -> DataFrame:
     """Fill each NULL summary column on its own, by callsign only, from the
     newest summary that has the column."""
-    columns = _shared(archive, summaries, SUMMARY_COLUMNS)
+    columns = _shared(archive, summaries, columns)
     newest = summaries.groupBy("callsign").agg(*[
         # max_by skips rows whose order is NULL, so only known values compete
         F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("completion_time", "id"))).alias(f"_{c}") for c in columns

@@ -64,10 +64,14 @@ def _columns_of(rule: str) -> set[str]:
 def dq_constraints(table: DataFrame, rules: Mapping[str, str]) -> DataFrame:
     """Rows that break each rule. A rule that is NULL is not broken.
 
-    Rules on columns the table lacks are left out.
+    A rule on columns the table lacks cannot be checked; it is listed with a
+    null number.
     """
     known = {name: rule for name, rule in rules.items() if _columns_of(rule) <= set(table.columns)}
-    counts = table.agg(*[F.count_if(~F.expr(f"({rule})")).alias(name) for name, rule in known.items()])
+    counts = table.agg(*[
+        F.count_if(~F.expr(f"({rule})")).alias(name) if name in known else F.lit(None).cast("bigint").alias(name)
+        for name, rule in rules.items()
+    ])
     return _unpivot(counts, "rule", "violations")
 
 

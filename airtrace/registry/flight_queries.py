@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airtrace.functions.aircraft import OTHER_CATEGORY, SPEED_EXCLUDED, SPEED_EXCLUDED_PREFIXES, category_rules
+from airtrace.functions.aircraft import CATEGORY_RULES, OTHER_CATEGORY, SPEED_EXCLUDED, SPEED_EXCLUDED_PREFIXES
 from airtrace.functions.values import at
 from airtrace.plans import flight_reports as R
 from airtrace.registry.base import avg2_sql, avg_sql, percent_sql, query, ratio_sql, shared_cte
@@ -370,18 +370,11 @@ def military_routes(t):
 
 def _category_case(col: str) -> str:
     parts = []
-    for name, terms in category_rules():
-        hits, needs = [], []
-        for x in terms:
-            if x[0] == "=":
-                hits.append(f"{col} = '{x[1:]}'")
-            elif x[0] == "!":
-                needs.append(f"{col} not like '%{x[1:]}%'")
-            elif x[0] == "^":
-                needs.append(f"regexp_matches({col}, '{x}')")
-            else:
-                hits.append(f"{col} like '%{x}%'")
-        parts.append(f"when {' and '.join(['(' + ' or '.join(hits) + ')'] + needs)} then '{name}'")
+    for rule in CATEGORY_RULES:
+        hits = [f"{col} like '%{w}%'" for w in rule.contains.split()] + [f"{col} = '{w}'" for w in rule.equals.split()]
+        needs = [f"{col} not like '%{w}%'" for w in rule.excludes.split()]
+        needs += [f"regexp_matches({col}, '{rule.pattern}')"] if rule.pattern else []
+        parts.append(f"when {' and '.join(['(' + ' or '.join(hits) + ')'] + needs)} then '{rule.category}'")
     return f"case {' '.join(parts)} else '{OTHER_CATEGORY}' end"
 
 

@@ -206,7 +206,7 @@ left join (select s.callsign, s.logon_time, s.unmerged_end, count(distinct f.cal
 def build_controller_summaries(t):
     out = L.build_controller_summaries(t.controllers, t.transceivers, known_sessions(t), NOW)
     return out.withColumn("frequencies_used", F.array_join("frequencies_used", ",")).drop(
-        "facility", "hourly_aircraft_breakdown", "aircraft_details"
+        "id", "created_at", "facility", "hourly_aircraft_breakdown", "aircraft_details"
     )
 
 
@@ -249,7 +249,7 @@ from fx_flights_archive a left join (select * from (select *, row_number() over
  from fx_flight_summaries) where rn = 1) s on {' and '.join(f'a.{c} = s.{c}' for c in KEY.split(', '))}""",
 )
 def fill_archive_from_summary(t):
-    return L.fill_archive_from_summary(t.flights_archive, t.flight_summaries.drop("controller_callsigns")).select("id", "callsign", *_FILL)
+    return L.fill_archive_from_summary(t.flights_archive, t.flight_summaries, _FILL).select("id", "callsign", *_FILL)
 
 
 @query(
@@ -259,7 +259,7 @@ left join (select callsign, {', '.join(f"arg_max({c}, struct_pack(a := completio
  from fx_flight_summaries group by 1) s on a.callsign = s.callsign""",
 )
 def sync_archive_columns(t):
-    return L.sync_archive_columns(t.flights_archive, t.flight_summaries).select("id", "callsign", *_FILL)
+    return L.sync_archive_columns(t.flights_archive, t.flight_summaries, _FILL).select("id", "callsign", *_FILL)
 
 
 @query("archive_retention", f"select id, callsign, last_updated from fx_flights_archive where last_updated >= {O_NOW} - interval 50000 hour")

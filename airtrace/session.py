@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A side is broadcast by hint only below this estimated size.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# A side is broadcast by hint only up to this number of rows, which are counted.
+BROADCAST_ROWS = 100_000
 
 
 def local_session(cpus: str = "8", shuffle_partitions: int = 8, name: str = "airtrace") -> SparkSession:
@@ -30,13 +30,17 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, name: str = "air
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder every executor can reach.
 
-    The cluster names the parent in ``spark.checkpoint.dir``. Only where that
-    is unset, as in local tests, a temporary folder is taken.
+    The cluster names the parent in ``spark.checkpoint.dir`` or by
+    ``setCheckpointDir``. Only a session on one machine, as in tests, may go
+    without: it gets a temporary folder. On a cluster that is an error, since
+    executors would not see each other's files.
     """
-    parent = spark.conf.get("spark.checkpoint.dir", None)
+    parent = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not parent:
-        hadoop_dir = spark.sparkContext.getCheckpointDir()
-        parent = hadoop_dir or tempfile.mkdtemp(prefix="airtrace-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        parent = tempfile.mkdtemp(prefix="airtrace-")
     return f"{parent.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -51,16 +55,10 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a frame (no job is run)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def broadcast_if_few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast where the frame is counted to have few rows.
 
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only where the size estimate proves it is small.
-
-    Otherwise the frame is returned as it is and Spark shuffles both sides.
+    The count stops at the limit. Otherwise the frame is returned as it is and
+    Spark shuffles both sides.
     """
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
-
-
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Words that refuse a query anywhere in its text, and the limits.
@@ -18,9 +20,26 @@ def check_query(sql: str, limit: int) -> None:
         raise ValueError(f"Limit must be between 1 and {MAX_LIMIT}")
 
 
+def check_plan(spark: SparkSession, sql: str) -> None:
+    """Parse only, and refuse anything with a command in it."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    kinds = [
+        spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{name}")
+        for name in ("Command", "ParsedStatement")
+    ]
+    if any(kind.isInstance(plan) for kind in kinds):
+        raise ValueError("Only queries are allowed")
+
+
 def adhoc_sql(spark: SparkSession, sql: str, limit: int = 1000, **tables: DataFrame) -> DataFrame:
-    """Run a query after the checks; ``{name}`` in it stands for a given frame."""
+    """Run a query after the checks; ``{name}`` in it stands for a given frame.
+
+    Beside the word list, the parsed statement must be a query: whatever Spark
+    parses to a command (``MERGE``, ``LOAD DATA``, ``ADD JAR``, ``SET``, ``CALL``
+    and the like) is refused before it can run.
+    """
     check_query(sql, limit)
+    check_plan(spark, re.sub(r"\{(\w+)\}", r"\1", sql))
     return spark.sql(sql, **tables).limit(limit)
 
 

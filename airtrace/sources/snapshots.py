@@ -118,18 +118,15 @@ def link_transceivers(
     )
 
 
-def sink_append(
-    df: DataFrame, path: str, time: str, extra_partitions: tuple[str, ...] = (), files_per_date: int = 16
-) -> None:
+def sink_append(df: DataFrame, path: str, time: str, extra_partitions: tuple[str, ...] = ()) -> None:
     """Append to a table partitioned by date.
 
-    Rows are first brought together by date and a hash of the row, so a date
-    gets at most ``files_per_date`` files and a busy one is spread over tasks.
+    Rows are brought together by date and rebalanced: Spark cuts a busy date
+    into as many write tasks as its size asks for and joins small ones.
     """
     columns = ["date", *extra_partitions]
     out = df.withColumn("date", F.to_date(time))
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_date))
-    out.repartition(*[F.col(c) for c in columns], spread).write.mode("append").partitionBy(*columns).parquet(path)
+    out.hint("rebalance", *columns).write.mode("append").partitionBy(*columns).parquet(path)
 
 
 def sink_csv_report(df: DataFrame, path: str) -> None:

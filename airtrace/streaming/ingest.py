@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from airtrace import schemas
-from airtrace.functions.values import parse_utc
+from airtrace.functions.values import parse_utc, stable_id
 from airtrace.operators.filters import (
     Ring, filter_boundary_flights, filter_boundary_transceivers, filter_callsign_pattern,
     filter_controller_allowlist, filter_frequency, filter_incomplete_plan,
@@ -18,6 +18,12 @@ from airtrace.sources.snapshots import (
     link_transceivers, parse_controllers, parse_flights, parse_transceivers, stream_snapshots,
 )
 
+# What tells the rows of one poll apart.
+ROW_KEYS = {
+    "flights": ("callsign", "cid", "logon_time"),
+    "controllers": ("callsign", "cid", "frequency", "logon_time"),
+    "transceivers": ("callsign", "transceiver_id", "frequency", "position_lat", "position_lon", "entity_type"),
+}
 TIME_COLUMNS = {"flights": "last_updated", "controllers": "last_updated", "transceivers": "timestamp"}
 
 
@@ -35,7 +41,8 @@ def ingest_poll(polls: DataFrame, filters: Filters) -> dict[str, DataFrame]:
     """Parse, link and filter poll documents; works on any number of polls.
 
     Radios are linked against the unfiltered lists of their own poll, and one
-    without a time takes the time of the poll.
+    without a time takes the time of the poll. A row's ``id`` is made from the
+    poll and the row, so that a batch that runs again gives it again.
     """
     poll = ("poll_time",)
     flights, controllers = parse_flights(polls, poll), parse_controllers(polls, poll)
@@ -50,7 +57,12 @@ def ingest_poll(polls: DataFrame, filters: Filters) -> dict[str, DataFrame]:
         radios = filter_callsign_pattern(radios, filters.callsign_patterns)
     radios = filter_frequency(radios, filters.excluded_mhz)
     out = {"flights": filter_incomplete_plan(flights), "controllers": controllers, "transceivers": radios}
-    return {name: df.drop("poll_time") for name, df in out.items()}
+    return {
+        name: df.withColumns({
+            "id": stable_id("poll_time", *ROW_KEYS[name]), "created_at": parse_utc(F.col("poll_time")),
+        }).drop("poll_time")
+        for name, df in out.items()
+    }
 
 
 def start_ingest(

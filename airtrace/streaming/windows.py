@@ -72,7 +72,7 @@ def live_matches(flight_radios: DataFrame, atc_radios: DataFrame, secs: int = TI
     return band_join(
         left, right,
         [Band("frequency", "atc_frequency", FREQUENCY_HZ), Band("_us", "_atc_us", secs * 1_000_000)],
-        condition=close, hot_pairs=0,
+        condition=close,
     ).drop("_us", "_atc_us", "limit_nm")
 
 

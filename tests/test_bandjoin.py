@@ -25,12 +25,12 @@ def brute(left, right):
 BANDS = [Band("f", "rf", 7), Band("t", "rt", 100)]
 
 
-@pytest.mark.parametrize("hot_pairs", [None, 0, 5, 40])
+@pytest.mark.parametrize("pieces", [1, 2, 5, 40])
 @pytest.mark.parametrize("hot", [False, True])
-def test_inner_and_semi_match_brute_force(spark, hot_pairs, hot):
+def test_inner_and_semi_match_brute_force(spark, pieces, hot):
     left, right, l, r = frames(spark, 7 + hot, hot=hot)
     want = brute(left, right)
-    args = dict(on=[("k", "rk")], condition=lambda a, b: (a("id") + b("rid")) % 3 != 0, hot_pairs=hot_pairs)
+    args = dict(on=[("k", "rk")], condition=lambda a, b: (a("id") + b("rid")) % 3 != 0, pieces=pieces)
     got = sorted((x.id, x.rid) for x in band_join(l, r, BANDS, **args).collect())
     assert got == want
     semi = sorted(x.id for x in band_join(l, r, BANDS, how="left_semi", **args).collect())

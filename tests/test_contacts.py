@@ -18,14 +18,14 @@ def t(spark):
 
 @pytest.mark.parametrize("report", [R.overall_atc_statistics, R.atc_by_position, R.pct_time_by_aircraft])
 def test_cut_buckets_change_nothing(t, report):
-    plain = report(t.flights, t.transceivers, t.controllers, hot_pairs=0)
-    cut = report(t.flights, t.transceivers, t.controllers, hot_pairs=3)
+    plain = report(t.flights, t.transceivers, t.controllers, pieces=1)
+    cut = report(t.flights, t.transceivers, t.controllers, pieces=3)
     assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
 
 
 def test_cut_buckets_in_flight_matching(t):
-    plain = C.match_flight_atc(t.flights, t.transceivers, t.controllers, window="flight", hot_pairs=0)
-    cut = C.match_flight_atc(t.flights, t.transceivers, t.controllers, window="flight", hot_pairs=2)
+    plain = C.match_flight_atc(t.flights, t.transceivers, t.controllers, window="flight", pieces=1)
+    cut = C.match_flight_atc(t.flights, t.transceivers, t.controllers, window="flight", pieces=2)
     rows = sorted(map(str, plain.collect()))
     assert rows and sorted(map(str, cut.collect())) == rows
 
@@ -43,9 +43,9 @@ def test_one_hot_frequency(spark):
     radios = hot
     n_flight = hot.where("entity_type = 'flight' and frequency = 118000000").count()
     n_atc = hot.where("entity_type = 'atc' and frequency = 118000000").count()
-    pairs = C.report_match_all(radios, staff, hot_pairs=1000)
+    pairs = C.report_match_all(radios, staff, pieces=4)
     assert pairs.count() == n_flight * n_atc
-    assert C.matched_flight_times(radios, staff, hot_pairs=1000).count() == n_flight
+    assert C.matched_flight_times(radios, staff, pieces=4).count() == n_flight
 
 
 def test_plans_stay_equi_joins(spark, t):

@@ -1,6 +1,8 @@
 from datetime import datetime, timedelta
 
 
+import pytest
+
 from airtrace.plans import lifecycle as L
 from airtrace.plans import integrity
 
@@ -129,9 +131,12 @@ def test_fill_and_sync_archive(spark):
                                       "id bigint, callsign string, departure string, arrival string, cid int, deptime string, time_online_minutes int, completion_time timestamp")
     archive = spark.createDataFrame([(1, "A", "X", "Y", 1, "0100", 7, None), (2, "A", "X", "Y", 2, "0100", None, None), (3, "A", "X", "Y", 1, "0100", 7, t(1))],
                                     "id bigint, callsign string, departure string, arrival string, cid int, deptime string, time_online_minutes int, completion_time timestamp")
-    filled = {r.id: (r.time_online_minutes, r.completion_time) for r in L.fill_archive_from_summary(archive, summaries).collect()}
+    columns = ["time_online_minutes", "completion_time"]
+    with pytest.raises(ValueError):
+        L.fill_archive_from_summary(archive, summaries)
+    filled = {r.id: (r.time_online_minutes, r.completion_time) for r in L.fill_archive_from_summary(archive, summaries, columns).collect()}
     assert filled == {1: (None, t(5)), 2: (None, None), 3: (7, t(1))}
-    synced = {r.id: (r.time_online_minutes, r.completion_time) for r in L.sync_archive_columns(archive, summaries).collect()}
+    synced = {r.id: (r.time_online_minutes, r.completion_time) for r in L.sync_archive_columns(archive, summaries, columns).collect()}
     assert synced == {1: (7, t(5)), 2: (10, t(5)), 3: (7, t(1))}
 
 
