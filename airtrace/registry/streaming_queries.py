@@ -92,7 +92,8 @@ def sector_stays_stream(t):
     out, state = shared_folder(t.spark, "stays"), shared_folder(t.spark, "stays-state")
     with stream_settings(t.spark, **{"spark.sql.streaming.stateStore.providerClass": sector_stream.PROVIDER}):
         flights = _stream(t, t.flights.select(*columns), "positions")
-        found = sector_stream.sector_stays_stream(flights, rectangle_sectors(t.sector_rectangles))
+        # no delay: the last rows of a stream that ends are applied as well
+        found = sector_stream.sector_stays_stream(flights, rectangle_sectors(t.sector_rectangles), "0 seconds")
         windows.start_append(found, out, state, availableNow=True).awaitTermination()
     return t.spark.read.schema(sector_stream.STAY).parquet(out)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ STATE = (
     "sector string, entry_us bigint, entry_lat double, entry_lon double, entry_altitude int,"
     "last_us bigint, last_lat double, last_lon double, last_altitude int"
 )
+WAITING = "us bigint, id bigint, seen string, latitude double, longitude double, altitude int"
+Row = namedtuple("Row", [part.split()[0] for part in WAITING.split(",")])
 STAY = (
     "callsign string, sector_name string, entry_timestamp timestamp, exit_timestamp timestamp,"
     "duration_seconds int, entry_lat double, entry_lon double, exit_lat double, exit_lon double,"
@@ -50,11 +53,17 @@ def advance(callsign: str, state: tuple | None, rows) -> tuple[tuple | None, lis
 
 
 class SectorStays(StatefulProcessor):
-    """One value per callsign, and a timer that ends the stay after the gap."""
+    """Per callsign the stay so far and the rows the watermark has not passed yet.
+
+    Rows wait until the watermark passes them and are then applied in time
+    order, so rows that come late but in time change nothing. A timer wakes the
+    key for its next waiting row, or to end the stay after the gap.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("stay", STATE)
+        self.waiting = handle.getListState("waiting", WAITING)
 
     def _emit(self, closed: list[tuple]) -> Iterator[pd.DataFrame]:
         if closed:
@@ -62,23 +71,40 @@ class SectorStays(StatefulProcessor):
                 {"entry_altitude": "Int32", "exit_altitude": "Int32"}
             )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # the rows of one aircraft in one micro-batch: one per poll
-        frame = pd.concat(list(rows)).sort_values(["us", "id"])
-        frame = frame.astype(object).where(frame.notna(), None)
+    def _settle(self, callsign: str, waiting: list[Row], passed_us: int) -> Iterator[pd.DataFrame]:
+        """Apply the rows that the watermark has passed and set the next timer."""
+        waiting.sort(key=lambda r: (r.us, r.id is None, r.id))
+        due = [r for r in waiting if r.us <= passed_us]
+        rest = waiting[len(due):]
         old = self.state.get() if self.state.exists() else None
-        new, closed = advance(key[0], old, frame.itertuples(index=False))
+        new, closed = advance(callsign, old, due)
+        gap = GAP_SECONDS * 1_000_000
+        if new is not None and passed_us > new[5] + gap:
+            if new[0]:
+                closed.append(_stay(callsign, new))
+            new = None
+        self.state.clear() if new is None else self.state.update(new)
+        self.waiting.clear() if not rest else self.waiting.put([tuple(r) for r in rest])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.state.update(new)
-        self.handle.registerTimer(new[5] // 1000 + GAP_SECONDS * 1000 + 1)
+        if rest:
+            self.handle.registerTimer(-(-rest[0].us // 1000))
+        elif new is not None:
+            self.handle.registerTimer((new[5] + gap) // 1000 + 1)
         yield from self._emit(closed)
 
+    def _rows(self) -> list[Row]:
+        return [Row(*r) for r in self.waiting.get()] if self.waiting.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # the rows of one aircraft in one micro-batch: one per poll
+        frame = pd.concat(list(rows))[list(Row._fields)].astype(object)
+        frame = frame.where(frame.notna(), None)
+        new = [Row(*r) for r in frame.itertuples(index=False)]
+        yield from self._settle(key[0], self._rows() + new, timerValues.getCurrentWatermarkInMs() * 1000)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.state.get() if self.state.exists() else None
-        self.state.clear()
-        if state is not None and state[0]:
-            yield from self._emit([_stay(key[0], state)])
+        yield from self._settle(key[0], self._rows(), timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
@@ -88,8 +114,9 @@ def sector_stays_stream(flights: DataFrame, sectors: DataFrame, delay: str = "2
     """Closed stays of a stream of stored positions.
 
     A stay is given out when the aircraft changes sector or slows down, when a
-    later row follows a gap, or when the watermark passes the gap. The session
-    must use the RocksDB state store (``PROVIDER``).
+    later row follows a gap, or when the watermark passes the gap. Rows are applied
+    once the watermark, ``delay`` behind the newest row, has passed them; rows
+    later than that are dropped. The session must use the RocksDB state store (``PROVIDER``).
     """
     placed = sector_for_point(flights.withWatermark("last_updated", delay), sectors)
     unknown = F.col("groundspeed").isNull() | F.col("latitude").isNull() | F.col("longitude").isNull()

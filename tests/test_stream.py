@@ -1,5 +1,7 @@
+import random
 from datetime import datetime, timedelta
 
+from airtrace.operators.sectors import sector_stays
 from airtrace.registry.streaming_queries import stream_settings
 from airtrace.sources.reference import rectangle_sectors
 from airtrace.streaming import sector_stream, windows
@@ -29,3 +31,35 @@ def test_timer_ends_the_stay_of_a_silent_aircraft(spark, tmp_path):
     got = {(r.callsign, r.entry_timestamp, r.duration_seconds, r.exit_altitude)
            for r in spark.read.schema(sector_stream.STAY).parquet(out).collect()}
     assert got == {("A", T0, 120, 102), ("B", T0, 0, 100)}
+
+
+def test_late_rows_over_many_batches_equal_the_batch_operator(spark, tmp_path):
+    """Rows come up to two minutes late, in twelve runs; a last row far ahead lets all of them pass."""
+    rng = random.Random(5)
+    rows, n = [], 0
+    for who in "ABC":
+        for minute in range(60):
+            n += 1
+            if rng.random() < 0.85:  # left out rows make gaps
+                rows.append((n, who, 5.0, rng.choice([2.0, 2.0, 2.0, 12.0, 30.0]), n, rng.choice([200, 200, 30]), T0 + timedelta(minutes=minute)))
+    last = (999, "Z", 5.0, 30.0, 0, 0, T0 + timedelta(hours=3))
+    sectors = rectangle_sectors(spark.createDataFrame(
+        [(1, "R", 0.0, 10.0, 0.0, 10.0), (2, "S", 10.0, 20.0, 0.0, 10.0)],
+        "ord int, sector_name string, lon_min double, lon_max double, lat_min double, lat_max double"))
+    # a batch holds six minutes; rows of its last two minutes may come in the next one instead
+    batches = [[] for _ in range(11)] + [[last]]
+    for r in rows:
+        minute = (r[6] - T0).seconds // 60
+        batches[minute // 6 + (minute % 6 >= 5 and rng.random() < 0.6)].append(r)
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    with stream_settings(spark, **{"spark.sql.streaming.stateStore.providerClass": sector_stream.PROVIDER, "spark.sql.shuffle.partitions": "2"}):
+        for batch in filter(None, batches):
+            rng.shuffle(batch)
+            spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+            flights = spark.readStream.schema(SCHEMA).parquet(source)
+            windows.start_append(sector_stream.sector_stays_stream(flights, sectors, "6 minutes"), out, state, availableNow=True).awaitTermination()
+    want = sector_stays(spark.createDataFrame(rows + [last], SCHEMA), sectors)
+    key = ("callsign", "sector_name", "entry_timestamp", "duration_seconds", "exit_altitude")
+    want = sorted(tuple(r[k] for k in key[:3]) for r in want.collect() if r.callsign != "Z")
+    got = sorted(tuple(r[k] for k in key[:3]) for r in spark.read.schema(sector_stream.STAY).parquet(out).collect())
+    assert got == want
