@@ -20,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -78,9 +80,13 @@ class Encoder:
         self.ids = {s: i for i, s in self.symbols.items()}
         self.automaton = ahocorasick.Automaton()
         for symbols, token in self.ids.items():
-            self.automaton.add_word(symbols, (len(symbols), token))
+            self.automaton.add_word(symbols, token)
         self.automaton.make_automaton()
+        self.lengths = [len(self.symbols.get(i, "")) for i in range(max(self.symbols) + 1)]
+        self.ends = {letter: chr(ord(letter) + END_SHIFT) for letter in self.letters}
         self.shorter: dict[int, int] = {}
+        self.pairs: dict[int, bool] = {}
+        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         names = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         table = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
@@ -117,38 +123,57 @@ class Encoder:
             else:
                 right_grows, right = right_rank, self.parts[right][1]
 
+    def fit(self, left: int, right: int) -> bool:
+        """``compatible``, remembered: words share most of their boundaries."""
+        key = left << 20 | right
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) >= REMEMBERED:
+                self.pairs.clear()
+            known = self.pairs[key] = self.compatible(left, right)
+        return known
+
     def piece(self, piece: str) -> list[int]:
         """The tokens of one word of the pre-tokenizer."""
-        letters = self.letters
-        symbols = "".join([letters[b] for b in piece.encode()])
-        symbols = symbols[:-1] + chr(ord(symbols[-1]) + END_SHIFT)
+        symbols = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
+        symbols = symbols[:-1] + self.ends[symbols[-1]]
         size = len(symbols)
-        longest: list[int] = [-1] * size
-        width = [0] * size
-        for end, (n, token) in self.automaton.iter(symbols):
-            if n > width[end - n + 1]:
-                width[end - n + 1], longest[end - n + 1] = n, token
+        longest = [-1] * (size + 1)
+        for end, token in self.automaton.iter(symbols):
+            longest[end - self.lengths[token] + 1] = token  # a later end is a longer match
+        lengths, fit = self.lengths, self.fit
         open_at = [True] * (size + 1)
         tokens: list[int] = []
         at, token = 0, longest[0]
         while at < size:
-            end = at + len(self.symbols[token])
-            if open_at[end] and (not tokens or self.compatible(tokens[-1], token)):
+            end = at + lengths[token]
+            if open_at[end] and (not tokens or fit(tokens[-1], token)):
                 tokens.append(token)
                 at = end
-                token = longest[at] if at < size else -1
+                token = longest[at]
                 continue
             token = self.next_shorter(token)
             if token < 0:
                 open_at[at] = False  # no token fits here: step back and try a shorter one
                 token = tokens.pop()
-                at -= len(self.symbols[token])
+                at -= lengths[token]
         return tokens
 
     def word(self, word: str) -> bytes:
         """The packed tokens of a run without blanks."""
-        pieces = ASCII_PIECES.findall(word) if word.isascii() else PIECES.findall(word)
-        return np.array([t for p in pieces for t in self.piece(p)], dtype="<u4").tobytes()
+        known, out = self.pieces, []
+        for piece in ASCII_PIECES.findall(word) if word.isascii() else PIECES.findall(word):
+            packed = known.get(piece)
+            if packed is None:
+                ids = array("I", self.piece(piece))  # 32 bits on every platform Spark runs on
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                packed = ids.tobytes()
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[piece] = packed
+            out.append(packed)
+        return b"".join(out)
 
     def plain(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text)
