@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from airtrace.functions.geo import EDGE_TYPE
 
@@ -53,11 +53,15 @@ def src_sectors(spark: SparkSession, path: str) -> DataFrame:
     """Sectors of GeoJSON FeatureCollections, in file order.
 
     Only ``Polygon`` features with a name and three or more points in the first
-    ring are kept. Each file is one document; a folder may hold many.
+    ring are kept. Each file is one document; a folder may hold many, and then
+    ``ord`` follows the file name and the place in the file. The list is
+    reference data, so one window over it is small.
     """
     features = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", features)["features"].alias("f"))
-    rows = doc.select(F.posexplode("f").alias("ord", "s"))
+    doc = spark.read.text(path, wholetext=True).select(
+        F.input_file_name().alias("file"), F.from_json("value", features)["features"].alias("f"))
+    rows = doc.select("file", F.posexplode("f").alias("place", "s"))
+    rows = rows.withColumn("ord", F.row_number().over(Window.orderBy("file", "place")) - 1)
     ring = F.from_json(F.col("s.geometry.coordinates"), f"array<{_RING}>")[0]
     points = F.transform(ring, lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon")))
 
@@ -107,6 +111,15 @@ def src_valid_callsigns(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where((line != "") & ~line.startswith("#")).select(line.alias("callsign"))
 
 
+def src_aircraft_types(spark: SparkSession, path: str) -> list[str]:
+    """Type codes of a text file (one a line, ``#`` for remarks), such as the
+    military types that ``military_routes`` takes. A short list, so it comes back
+    as one."""
+    line = F.trim("value")
+    rows = spark.read.text(path).where((line != "") & ~line.startswith("#")).select(line.alias("t")).distinct()
+    return sorted(r.t for r in rows.collect())
+
+
 def src_airport_states(spark: SparkSession, path: str) -> DataFrame:
     """Airport list (icao_code, state, municipality) of a CSV with a header.
 
