@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from airtrace.session import materialise
 
+FILE_EDGES = 500_000
+
 
 def _signature(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -23,7 +25,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     Large and small stars in turn: neighbours are hung on the smallest node seen,
     until nothing moves. Every round is a few joins on edge rows, written to the
-    shared folder; nothing is gathered.
+    shared folder; nothing is gathered. A graph has no more edges after a round
+    than before, so the number of files follows the count of the round before.
     """
     edges = materialise(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = _signature(edges)
@@ -31,12 +34,13 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         for _ in range(rounds):
             both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
             large = _smallest(both).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-            large = materialise(large.where("a <> b").distinct(), "large-star")
+            large = large.where("a <> b").distinct()
             down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
             hung = _smallest(down)
             small = hung.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(
                 hung.select("a", F.col("least").alias("b")))
-            edges = materialise(small.where("a <> b").distinct(), "small-star")
+            files = 1 + before[0] // FILE_EDGES
+            edges = materialise(small.where("a <> b").distinct().coalesce(files), "stars")
             after = _signature(edges)
             if after == before:
                 break

@@ -171,9 +171,13 @@ def links(points: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
             for i, mask in enumerate(covering(open_at, radius, seed=len(open_at))):
                 after[path * 2 ** (radius + 1) + i + 1] = kept | mask
                 steps.append((path, path * 2 ** (radius + 1) + i + 1, signed((kept | mask) & full)))
-        cover = spark.createDataFrame(steps, "path long, next long, mask long")
-        keyed = rows.join(F.broadcast(cover), "path").select(
-            F.col("next").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        if list(tables) == [0]:
+            keyed = rows.select("fp", F.explode(F.array(*[F.struct(F.lit(n).alias("next"), F.lit(m).alias("mask")) for _, n, m in steps])).alias("c"))
+            keyed = keyed.select("fp", "c.next", "c.mask")
+        else:
+            keyed = rows.join(F.broadcast(spark.createDataFrame(steps, "path long, next long, mask long")), "path")
+        keyed = keyed.select(
+            F.col("next").cast("long").alias("path"), F.col("fp").bitwiseAND(F.col("mask").cast("long")).alias("key"), "fp")
         sorted_rows = keyed.repartition("path", "key").sortWithinPartitions("path", "key")
         made = materialise(sorted_rows.mapInArrow(_bucket_links(radius, bucket), LINKS), "links")
         near = made.where("path = -1").select("a", "b")
