@@ -44,13 +44,14 @@ FINGERPRINT = StructType([StructField("fp", LongType())])
 LINKS = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("path", LongType())])
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The fingerprint as an unsigned number."""
+def fingerprint(text: str, shingle: int = SHINGLE, distinct: bool = False) -> int:
+    """The fingerprint as an unsigned number; ``distinct`` counts equal shingles once."""
     words = text.encode().lower().split()  # on bytes: A-Z only, and the six ASCII blanks
     if not words:
         return 0
     rows = [words[i:] for i in range(shingle)] if len(words) >= shingle else [words]
     parts = map(b" ".join, zip(*rows)) if len(words) >= shingle else [b" ".join(words)]
+    parts = set(parts) if distinct else parts
     hashes = np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], dtype=">u8")
     ones = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(hashes), 65_536):
@@ -58,12 +59,12 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
     """Add ``fp``, the fingerprint as a signed long."""
     require(docs, "text")
 
     def run(texts: list[str]) -> dict[str, list]:
-        made = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
+        made = np.array([fingerprint(t, shingle, distinct) for t in texts], dtype=np.uint64)
         return {"fp": made.view(np.int64)}
 
     return map_texts(docs, "text", run, FINGERPRINT)
@@ -72,15 +73,17 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def covering(positions: list[int], radius: int, seed: int) -> list[int]:
     """The masks over ``positions``; each keeps about half of them.
 
-    Vectors are dealt out evenly in an order fixed by the seed, so that the
-    masks are balanced and the same on every machine.
+    Of some ways to deal out the vectors, fixed by the seed, the one whose
+    smallest mask keeps most positions is taken; any way covers every pair.
     """
-    vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(len(positions))]
-    random.Random(seed).shuffle(vectors)
-    masks = []
-    for v in range(1, 2 ** (radius + 1)):
-        masks.append(sum(1 << p for p, m in zip(positions, vectors) if (m & v).bit_count() & 1))
-    return masks
+    tables = range(1, 2 ** (radius + 1))
+    best: list[int] = []
+    for trial in range(64):
+        deal = random.Random(1000 * seed + trial)
+        vectors = [v for _ in range(0, len(positions), len(tables)) for v in deal.sample(tables, len(tables))]
+        masks = [sum(1 << p for p, m in zip(positions, vectors) if (m & v).bit_count() & 1) for v in tables]
+        best = max(best, masks, key=lambda ms: min((m.bit_count() for m in ms), default=-1))
+    return best
 
 
 def signed(x: int) -> int:
@@ -176,9 +179,11 @@ def links(points: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
             keyed = keyed.select("fp", "c.next", "c.mask")
         else:
             keyed = rows.join(F.broadcast(spark.createDataFrame(steps, "path long, next long, mask long")), "path")
-        keyed = keyed.select(
-            F.col("next").cast("long").alias("path"), F.col("fp").bitwiseAND(F.col("mask").cast("long")).alias("key"), "fp")
-        sorted_rows = keyed.repartition("path", "key").sortWithinPartitions("path", "key")
+        keyed = keyed.select(F.col("next").cast("long").alias("path"), F.col("mask").cast("long").alias("mask"), "fp")
+        key = F.col("fp").bitwiseAND(F.col("mask"))
+        # the key itself is not shuffled: path and mask repeat and pack well
+        dealt = keyed.repartition("path", key).select("path", key.alias("key"), "fp")
+        sorted_rows = dealt.sortWithinPartitions("path", "key")
         made = materialise(sorted_rows.mapInArrow(_bucket_links(radius, bucket), LINKS), "links")
         near = made.where("path = -1").select("a", "b")
         found = near if found is None else found.unionByName(near)
@@ -190,11 +195,11 @@ def links(points: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
         rows = rows.distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, distinct: bool = False) -> DataFrame:
     """Per row: doc_id, text_hash, fp and component_id, the least id that can be reached."""
     require(docs, "doc_id", "text")
     light = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    light = materialise(fingerprints(light, shingle).drop("text"), "fingerprints")
+    light = materialise(fingerprints(light, shingle, distinct).drop("text"), "fingerprints")
     points = light.groupBy("fp").agg(F.min("doc_id").alias("least"))
     points = materialise(points, "points")
     labels = components(links(points, radius)).withColumnRenamed("node", "fp")
@@ -209,13 +214,13 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, distinct: bool = False) -> DataFrame:
     """One document of each component, that with the least id, with its own columns.
 
     Null ids come last. Of rows that agree in id and text one stays.
     """
     docs, whole = packed(docs), docs
-    found = near_duplicates(docs, shingle, radius)
+    found = near_duplicates(docs, shingle, radius, distinct)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     keep = found.groupBy("label").agg(F.min(place).alias("k")).select(
         F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))

@@ -226,12 +226,14 @@ def test_links_with_split_buckets(spark, most):
 
 
 def test_masks_cover_every_pair_within_the_radius():
-    for positions in (list(range(64)), list(range(5, 36)), [1, 4, 9]):
-        masks = simhash.covering(positions, 3, 1)
+    for positions, radius in ((list(range(64)), 3), (list(range(5, 36)), 3), ([1, 4, 9], 3), (list(range(64)), 7)):
+        masks = simhash.covering(positions, radius, 1)
+        assert len(masks) == 2 ** (radius + 1) - 1
         rng = np.random.default_rng(0)
         for _ in range(300):
-            bits = sum(1 << int(b) for b in rng.choice(positions, min(3, len(positions)), replace=False))
+            bits = sum(1 << int(b) for b in rng.choice(positions, min(radius, len(positions)), replace=False))
             assert any(not m & bits for m in masks)
+    assert min(m.bit_count() for m in simhash.covering(list(range(64)), 7, 64)) >= 20
 
 
 def test_components(spark):
@@ -528,7 +530,7 @@ def test_encoding(spark):
 def test_pipeline(spark):
     docs = {r.doc_id: r for r in given(spark, "documents").collect()}
     kept9 = {r.doc_id for r in queries.queries()["op9_quality_rules"](spark, FOLDER).collect() if r.kept}
-    groups = linked({i: fingerprint(docs[i].text) for i in kept9})
+    groups = linked({i: simhash.fingerprint(docs[i].text, 2, True) for i in kept9}, 7)
     kept4 = {i for i in kept9 if groups[i] == i}
     items = [(r.item_id, r.text) for r in given(spark, "benchmark").collect()]
     kept1 = {r[0] for r in contamination([(i, docs[i].text) for i in kept4], items) if not r[5]}
