@@ -219,8 +219,12 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, d
 
     Null ids come last. Of rows that agree in id and text one stays.
     """
+    return least_of_each(docs, near_duplicates(packed(docs), shingle, radius, distinct))
+
+
+def least_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their group; ``found`` has doc_id, text_hash and label."""
     docs, whole = packed(docs), docs
-    found = near_duplicates(docs, shingle, radius, distinct)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     keep = found.groupBy("label").agg(F.min(place).alias("k")).select(
         F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))

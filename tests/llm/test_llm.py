@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from airtrace.llm import bpe, decontam, licenses, quality, queries, secrets, sharding, simhash, suffix, toolcalls, vocabulary, warc
+from airtrace.llm import bpe, decontam, licenses, neardup, quality, queries, secrets, sharding, simhash, suffix, toolcalls, vocabulary, warc
 from airtrace.llm.common import indexed
 from airtrace.llm.components import components
 
@@ -524,6 +524,46 @@ def test_encoding(spark):
     assert got == want
 
 
+# ---------------------------------------------------------------- near-duplicates
+
+
+def test_near_duplicates_by_jaccard(spark):
+    deal = np.random.default_rng(5)
+    line = " ".join(f"common{i}" for i in range(30))
+    rows = []
+
+    def add(words):
+        rows.append((len(rows), " ".join(words)))
+
+    for group in range(12):
+        words = [f"w{group}x{i}" for i in deal.integers(0, 400, 120)]
+        for _ in range(9):  # a chain of edits: neighbours are alike, the ends are not
+            add(words)
+            words = list(words)
+            for at in deal.integers(0, len(words), int(deal.integers(0, 4))):
+                words[at] = f"new{len(rows)}y{at}"
+        # much in common, but below the similarity: fingerprints of word pairs link these
+        add(words[:96] + [f"z{group}y{i}" for i in range(30)])
+        add([*line.split(), *(f"u{group}y{i}" for i in range(8))])
+    rows += [(200, None), (201, ""), (202, " \n"), (203, "a b c d"), (204, "A  b c\td"), (205, "a b c e"), (None, line), (206, line)]
+    sets = [set(neardup.shingle_set(t).tolist()) for _, t in rows]
+    up = list(range(len(rows)))
+    for x, a in enumerate(sets):
+        for y, b in enumerate(sets[:x]):
+            if 5 * len(a & b) >= 4 * len(a | b) and up[x] != up[y]:
+                low, high = sorted((up[x], up[y]))
+                up = [low if u == high else u for u in up]
+    groups = {}
+    for u, (i, _) in zip(up, rows):
+        groups.setdefault(u, []).append((i is None, i or 0))
+    want = Counter(None if g[0] else g[1] for g in map(min, groups.values()))
+    assert 24 < want.total() < len(rows)
+    docs = documents(spark, rows)
+    got = corpus_pipeline.near_dedup(spark, docs, FOLDER)
+    assert got.columns == docs.columns and Counter(r.doc_id for r in got.collect()) == want
+    assert corpus_pipeline.near_dedup(spark, documents(spark, []), FOLDER).count() == 0
+
+
 # ---------------------------------------------------------------- pipeline
 
 
