@@ -6,10 +6,12 @@ pointer doubling, in as many rounds as the logarithm of the longest chain, so
 that a conversation of any length is never gathered. Order in a conversation is
 by depth, then turn, then id: a call always comes after the one it depends on.
 
-Nulls, empty and odd input: calls without id are invalid and get no result; of
-calls with one id the first turn counts, further ones are ``duplicate``; of
-results with one id the first turn counts; results without a call are
-``orphan``; a parent that does not exist makes a call a root with status
+Nulls, empty and odd input: every call has a row, and so has every result that
+no call was given. Calls and results without id are ``no_id``; of calls with
+one id the first turn is linked, further ones are ``duplicate``, with their own
+arguments checked and no result, level or place; of results with one id the
+first turn is linked, further ones are ``duplicate``; results without a call
+are ``orphan``, each of them. ``kind`` tells calls and results apart. A parent that does not exist makes a call a root with status
 ``no_parent``; calls on a cycle or below one get ``cycle``, a null level and
 the last places. Arguments that are no JSON object are invalid. Further columns
 do not matter.
@@ -98,7 +100,7 @@ def depths(calls: DataFrame) -> DataFrame:
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call and per orphan result, with order, validity and canonical JSON.
+    """One row per call and per result not linked to one, with order, validity and canonical JSON.
 
     ``calls``: conv_id, turn, call_id, parent_id, name, arguments (JSON text).
     ``results``: conv_id, turn, call_id, content.
@@ -106,12 +108,17 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     require(calls, "conv_id", "turn", "call_id", "parent_id", "name", "arguments")
     require(results, "conv_id", "turn", "call_id", "content")
     calls = calls.select("conv_id", "turn", "call_id", "parent_id", "name", "arguments")
-    body = F.struct(F.col("turn").isNull().alias("_late"), "turn", "parent_id", "name", "arguments")
-    keyed = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
-    first = keyed.groupBy(*KEY).agg(F.min(body).alias("c"), F.count("*").alias("n_calls"))
-    first = materialise(first.select(*KEY, "c.turn", "c.parent_id", "c.name", "c.arguments", "n_calls"), "calls")
-    answer = results.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy(*KEY).agg(
-        F.min(F.struct(F.col("turn").isNull().alias("_late"), "turn", "content")).alias("r"))
+    calls = materialise(calls.withColumn("_row", F.monotonically_increasing_id()), "all-calls")
+    results = results.select("conv_id", "turn", "call_id", "content")
+    results = materialise(results.withColumn("_row", F.monotonically_increasing_id()), "all-results")
+    has_id = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    late = F.col("turn").isNull().alias("_late")
+    body = F.struct(late, "turn", "parent_id", "name", "arguments", "_row")
+    first = calls.where(has_id).groupBy(*KEY).agg(F.min(body).alias("c"), F.count("*").alias("n_calls"))
+    first = first.select(*KEY, "c.turn", "c.parent_id", "c.name", "c.arguments", "c._row", "n_calls")
+    first = materialise(first, "calls")
+    answer = results.where(has_id).groupBy(*KEY).agg(F.min(F.struct(late, "turn", "content", "_row")).alias("r"))
+    answer = materialise(answer, "answers")
     linked = first.join(answer.hint("shuffle_hash"), KEY, "left").join(depths(first), KEY)
     parent = first.select("conv_id", F.col("call_id").alias("parent_id"), F.lit(True).alias("has_parent"))
     linked = linked.join(parent, ["conv_id", "parent_id"], "left")
@@ -125,11 +132,15 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     out = materialise(out, "linked")
     begins = out.groupBy("conv_id").agg(F.min("index").alias("begin"))
     out = out.join(begins, "conv_id").withColumn("place", F.col("index") - F.col("begin")).drop("index", "begin")
-    orphans = answer.join(first.select(*KEY), KEY, "left_anti").select(
-        *KEY, F.col("r.turn").alias("turn"), F.col("r.content").alias("content"), F.lit("orphan").alias("status"))
-    nameless = calls.where(F.col("conv_id").isNull() | F.col("call_id").isNull()).select(
-        *KEY, "turn", "name", "arguments", F.lit("no_id").alias("status"))
-    out = out.unionByName(orphans, allowMissingColumns=True).unionByName(nameless, allowMissingColumns=True)
+    out = out.withColumn("kind", F.lit("call"))
+    used = answer.join(first.select(*KEY), KEY, "left_semi").select("r._row")
+    more_calls = calls.join(first.select("_row"), "_row", "left_anti").select(
+        *KEY, "turn", "name", "arguments", F.when(has_id, "duplicate").otherwise("no_id").alias("status"), F.lit("call").alias("kind"))
+    known = first.select(*KEY, F.lit(True).alias("known"))
+    more_results = results.join(used, "_row", "left_anti").join(known, KEY, "left").select(
+        *KEY, "turn", "content", F.lit("result").alias("kind"),
+        F.when(~has_id, "no_id").when(F.col("known"), "duplicate").otherwise("orphan").alias("status"))
+    out = more_calls.unionByName(more_results, allowMissingColumns=True).unionByName(out, allowMissingColumns=True)
     return _serialised(out, schemas)
 
 
@@ -169,7 +180,8 @@ def replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain conversations as calls and results.
 
     A user turn calls ``reply`` and depends on the user turn two before; an
-    assistant turn is the result of the call one turn before.
+    assistant turn is the result of the call one turn before. Turns of other
+    roles, such as system, neither call nor answer and are not in either table.
     """
     require(conversations, "conv_id", "turn", "role", "text")
     name = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))

@@ -143,6 +143,28 @@ def test_tool_calls(spark):
         '{"call":{"arguments":{"b":[2,null],"x":1},"id":"a","name":"t"},"level":0,"place":0,"result":"ok","status":"ok"}')
 
 
+def test_every_call_and_result_has_a_row(spark):
+    schema = {"t": {"type": "object", "properties": {"x": {"type": "integer", "maximum": 5}}}}
+    calls = [
+        (1, 0, "a", None, "t", '{"x": 1}'), (1, 2, "a", None, "t", '{"x": 9}'), (1, 2, "a", None, "t", '{"x": 9}'), (1, None, "a", "a", "t", "no"),
+        (1, 3, None, None, "t", "{}"), (None, 3, "b", None, "t", "{}"), (2, 0, "b", None, "t", "{}")]
+    results = [
+        (1, 1, "a", "first"), (1, 4, "a", "second"), (1, 4, "a", "second"), (1, None, "a", None), (1, 5, "z", "lost"), (1, 6, "z", "lost again"),
+        (None, 1, "a", "x"), (1, 1, None, "y"), (None, None, None, None)]
+    got = toolcalls.link_tool_calls(
+        spark.createDataFrame(calls, "conv_id long, turn long, call_id string, parent_id string, name string, arguments string"),
+        spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"), schema).collect()
+    results_linked = sum(json.loads(r.canonical)["result"] is not None for r in got if r.kind == "call")
+    assert results_linked == 1 and len(got) == len(calls) + len(results) - results_linked
+    assert Counter((r.kind, r.conv_id, r.turn, r.call_id) for r in got) == (
+        Counter(("call", *c[:3]) for c in calls) + Counter(("result", *r[:3]) for r in results) - Counter([("result", 1, 1, "a")]))
+    assert Counter((r.kind, r.status) for r in got) == {
+        ("call", "ok"): 1, ("call", "no_result"): 1, ("call", "duplicate"): 3, ("call", "no_id"): 2,
+        ("result", "duplicate"): 3, ("result", "orphan"): 2, ("result", "no_id"): 3}
+    checked = Counter((r.turn, r.problem) for r in got if r.kind == "call" and r.status == "duplicate")
+    assert checked == {(2, "$.x: out of range"): 2, (None, "$: no JSON"): 1}
+
+
 def test_tool_calls_of_given_tables(spark):
     turns = {(r.conv_id, r.turn): r for r in given(spark, "conversations").collect()}
     asked = sorted(k for k, r in turns.items() if r.role == "user")
