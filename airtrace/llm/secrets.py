@@ -1,11 +1,17 @@
 """Secret scan: patterns first, then candidates confirmed by their structure.
 
 The base patterns (assignments, access keys, long hex) are reported as they
-match. Beyond them, base64 and hex candidates are decoded and reported only if
-what comes out has the nested structure of a key: DER with lengths that fit
-inside each other and the fields of a private key, the length-prefixed strings
-of an OpenSSH key, or a signed token whose header is JSON that names an
-algorithm.
+match. Beyond them, base64 (of either alphabet) and hex candidates are decoded
+and reported only if what comes out has the nested structure of a key: DER with
+lengths that fit inside each other and the fields of a private key, the
+length-prefixed strings of an OpenSSH key, or a signed token whose header is
+JSON that names an algorithm.
+
+A key is tried wherever its first characters stand, also within a longer run,
+and read across line breaks (also written as \\n) as far as its own lengths say.
+Of dotted parts every three neighbours are tried as a token. A PEM key whose
+header lines say that it is encrypted cannot be decoded; it counts if these
+lines are complete and the body is whole cipher blocks.
 
 Nulls, empty and odd input: a null text is empty and has no finding; texts of
 any length are scanned whole; rows are judged one by one, so null or repeated
@@ -36,10 +42,20 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
-HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]{40,}?)-----END \1-----")
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+#: A header starts with a brace, if it does not start where its part does.
+HEADER = re.compile(r"e[w-z0-9_-]")
+#: Where a key can start: 0x30 and a length from 32 on, or the magic of OpenSSH.
+STARTS = (
+    ("base64", re.compile(r"M[C-I]|b3BlbnNzaC")),
+    ("hex", re.compile(r"(?=30[2-8][0-9A-Fa-f]|6[Ff]70656[Ee]7373682[Dd])")),
+)
+SYMBOLS = {"base64": re.compile(r"[A-Za-z0-9+/_-]+"), "hex": re.compile(r"[0-9A-Fa-f]+")}
+BREAK = re.compile(r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n|\\r)[ \t]*")
+PADDING = re.compile(r"={0,2}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+PEM_HEADERS = re.compile(r"(?:\s|\\[nr])*((?:[A-Za-z0-9-]+:[^\n\\]*(?:\n|\\r|\\n)+[\r\n]*)+)")
+ENCRYPTED = re.compile(r"Proc-Type:[ \t]*4,[ \t]*ENCRYPTED"), re.compile(r"DEK-Info:[ \t]*[A-Z0-9-]+,[ \t]*[0-9A-Fa-f]{16,}")
 OPENSSH = b"openssh-key-v1\0"
 
 SEQUENCE, INTEGER, OCTETS, OBJECT_ID = 0x30, 0x02, 0x04, 0x06
@@ -89,10 +105,10 @@ def is_private_der(data: bytes) -> bool:
     return False
 
 
-def is_openssh(data: bytes) -> bool:
-    """Whether length-prefixed strings follow the magic and stay inside the data."""
+def openssh_end(data: bytes) -> int:
+    """Where the length-prefixed strings after the magic end, or -1 if they do not stay inside the data."""
     if not data.startswith(OPENSSH):
-        return False
+        return -1
     at = len(OPENSSH)
 
     def skip(at: int) -> int:
@@ -102,15 +118,19 @@ def is_openssh(data: bytes) -> bool:
     for _ in range(3):  # cipher, key derivation and its options
         at = skip(at)
         if at < 0:
-            return False
+            return -1
     keys, at = int.from_bytes(data[at:at + 4], "big"), at + 4
     if not 1 <= keys <= 16:
-        return False
+        return -1
     for _ in range(keys + 1):  # public keys, then the private block
         at = skip(at)
         if at < 0:
-            return False
-    return True
+            return -1
+    return at
+
+
+def is_openssh(data: bytes) -> bool:
+    return openssh_end(data) >= 0
 
 
 def decoded(text: str) -> bytes:
@@ -146,22 +166,105 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
+def gathered(text: str, at: int, form: str, most: int) -> tuple[str, int]:
+    """Up to ``most`` symbols from ``at`` on, across line breaks, and where they end."""
+    parts, size, end = [], 0, at
+    while size < most and (m := SYMBOLS[form].match(text, at)):
+        part = m[0][: most - size]
+        parts.append(part)
+        size += len(part)
+        end = m.start() + len(part)
+        if not (gap := BREAK.match(text, m.end())):
+            break
+        at = gap.end()
+    return "".join(parts), end
+
+
+def unpack(symbols: str, form: str) -> bytes:
+    return decoded(symbols) if form == "base64" else bytes.fromhex(symbols[: len(symbols) // 2 * 2])
+
+
+def symbols_of(n: int, form: str) -> int:
+    return -(-n * 4 // 3) if form == "base64" else 2 * n
+
+
+def key_at(text: str, at: int, form: str) -> tuple[str, int] | None:
+    """Kind and end of the key that starts at ``at``."""
+    head, _ = gathered(text, at, form, symbols_of(9, form))
+    data = unpack(head, form)
+    if len(data) < 9:
+        return None
+    if data[0] == SEQUENCE:
+        width = data[1] & 0x7F if data[1] & 0x80 else 0
+        if width > 4 or data[1] == 0x80 or data[2 + width] not in (INTEGER, SEQUENCE):
+            return None
+        size = 2 + width + (int.from_bytes(data[2:2 + width], "big") if width else data[1])
+        symbols, end = gathered(text, at, form, symbols_of(size, form))
+        data = unpack(symbols, form)
+        if len(data) != size or not is_private_der(data):
+            return None
+        kind = "der"
+    elif data == OPENSSH[:9]:
+        symbols, _ = gathered(text, at, form, len(text))
+        spare = len(symbols) % 4 == 1 and form == "base64"  # what follows the key may not fill a byte
+        size = openssh_end(unpack(symbols[:-1] if spare else symbols, form))
+        if size < 0:
+            return None
+        _, end = gathered(text, at, form, symbols_of(size, form))
+        kind = "openssh"
+    else:
+        return None
+    return kind, PADDING.match(text, end).end() if form == "base64" else end
+
+
+def token_spans(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """Signed tokens among the dotted parts of a run."""
     found = []
+    for run in DOTTED.finditer(text, start, end):
+        parts, at = run[0].split("."), run.start()
+        for header, payload, signature in zip(parts, parts[1:], parts[2:]):
+            if len(header) >= 8 and len(payload) >= 2 and decoded(payload).strip()[:1] == b"{":
+                for i in (0, *(m.start() for m in HEADER.finditer(header, 1))):
+                    if len(header) - i >= 8 and is_signed_token(header[i:], payload):
+                        found.append(("jwt", at + i, at + len(header) + len(payload) + len(signature) + 2))
+                        break
+            at += len(header) + 1
+    return found
+
+
+def pem_spans(text: str) -> list[tuple[str, int, int]]:
+    """Keys between BEGIN and END lines, with or without header lines."""
+    found = []
+    begins = list(PEM.finditer(text))
+    for m, after in zip(begins, [b.start() for b in begins[1:]] + [len(text)]):
+        last = f"-----END {m[1]}-----"
+        end = text.find(last, m.end(), after)
+        if end < 0:
+            continue
+        headers = PEM_HEADERS.match(text, m.end(), end)
+        data = decoded(re.sub(r"\s|\\[nr]", "", text[headers.end() if headers else m.end():end]))
+        kind = key_kind(data)
+        if headers and not kind and data and len(data) % 8 == 0 and all(p.search(headers[1]) for p in ENCRYPTED):
+            kind = "der"
+        if kind:
+            found.append((kind, m.start(), end + len(last)))
+    return found
+
+
+def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
+    found = pem_spans(text) if "-----BEGIN " in text else []
+    pems = [(a, b) for _, a, b in found]
     for run in RUN.finditer(text):
-        for m in TOKEN.finditer(text, *run.span()):
-            if is_signed_token(m[1], m[2]):
-                found.append(("jwt", *m.span()))
-        for m in BASE64.finditer(text, *run.span()):
-            if kind := key_kind(decoded(m[0])):
-                found.append((kind, *m.span()))
-        for m in HEX_KEY.finditer(text, *run.span()):
-            if kind := key_kind(bytes.fromhex(m[0])):
-                found.append((kind, *m.span()))
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            if kind := key_kind(decoded(re.sub(r"\s|\\[nr]", "", m[2]))):
-                found.append((kind, *m.span()))
+        found += token_spans(text, *run.span())
+    for form, starts in STARTS:
+        upto = 0
+        for m in starts.finditer(text):
+            if m.start() < upto or not (key := key_at(text, m.start(), form)):
+                continue
+            kind, upto = key
+            within = any(a <= m.start() and upto <= b for a, b in pems)
+            if not (within and BREAK.search(text, m.start(), upto)):  # lines of a key that is listed already
+                found.append((kind, m.start(), upto))
     return sorted(set(found))
 
 

@@ -431,6 +431,36 @@ def test_secrets(spark):
     assert by_id[5].spans == f"der:4:{4 + len(b64(RSA))}"
 
 
+def wrapped(text, width, by="\n"):
+    return by.join(text[i:i + width] for i in range(0, len(text), width))
+
+
+def test_secrets_in_odd_places():
+    token, url = jwt({"alg": "none"}), base64.urlsafe_b64encode
+    encrypted = (
+        "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n" + wrapped(b64(b"\x9d" * 320), 64)
+        + "\n-----END RSA PRIVATE KEY-----")
+    commented = "-----BEGIN PRIVATE KEY-----\nComment: a, b\n\n" + wrapped(b64(RSA), 64) + "\n-----END PRIVATE KEY-----"
+    dashes = der(0x30, der(2, b"\0") + b"".join(der(2, b"\xfb\xff\xbf" * 13) for _ in range(8)))
+    assert {"-", "_"} <= set(url(dashes).decode())
+    forms = [
+        ("der", wrapped(b64(RSA), 64)), ("der", wrapped(b64(RSA), 76, "\r\n")), ("der", wrapped(b64(RSA), 64, "\\n")), ("der", wrapped(b64(RSA), 70, "\n  ")),
+        ("openssh", wrapped(b64(SSH), 70)), ("der", url(dashes).decode()), ("openssh", url(SSH).decode()), ("der", wrapped(RSA.hex().upper(), 64)),
+        ("openssh", SSH.hex()), ("jwt", token), ("der", encrypted), ("der", commented)]
+    for kind, form in forms:
+        for before, after in (("", ""), ("key:\n", "\nmore text"), ("word ", " word"), ("host.", " x"), ("customer_session.", ""), ("a.b.c.", "")):
+            spans = [s for s in secrets.confirmed_spans(before + form + after) if s[0] != "assign"]
+            assert (kind, len(before), len(before) + len(form)) in spans, (kind, before, form[:40])
+            assert "[SECRET]" in secrets.masked(before + form + after) and form[:30] not in secrets.masked(before + form + after)
+    for glued in ("is", "prefix", "0x", "ab/"):
+        assert [s[:2] for s in secrets.confirmed_spans(glued + b64(RSA))] == [("der", len(glued))]
+        assert ("der", len(glued)) in [s[:2] for s in secrets.confirmed_spans(glued + RSA.hex())]
+    assert [s[:2] for s in secrets.confirmed_spans("id-" + token)] == [("jwt", 3)]
+    for clean in (wrapped(b64(PUBLIC), 64), wrapped(b64(RSA[:-5]), 64), "a." + jwt({"typ": "none"}), commented.replace("MI", "NI"), encrypted.replace("DEK-", "D"),
+                  b64(b"0" * 900), "MIT MIME\nMEMO\nwords.and.dots " * 50):
+        assert not secrets.confirmed_spans(clean)
+
+
 def test_masking(spark):
     docs = documents(spark, SECRETS).withColumn("n_chars", F.length("text"))
     got = {r.doc_id: r for r in secrets.mask_secrets(docs).collect()}
