@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airtrace.llm import bpe, decontam, licenses, quality, secrets, sharding, simhash, suffix, toolcalls, vocabulary, warc
+from airtrace.llm import (
+    bitsliced, bpe, decontam, licenses, merkle, oracles as sql, quality, runs, secrets, sharding, simhash, suffix, toolcalls,
+    vocabulary, warc,
+)
 from airtrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,13 +65,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary.word_bpe())
 
 
+def op11_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_k(table(spark, sf_dir, "embeddings"), every=100)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_received(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.collapse_runs(table(spark, sf_dir, "documents"), runs.planted))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_benchmark_decontamination, op2_license_scan, op3_chat_formatting, op4_simhash, op5_suffix_array,
         op6_warc, op7_secret_scan, op8_sharding, op9_quality_rules, op10_bpe,
+        op11_bit_sliced_top_k, op12_merkle_manifest, op13_periodic_runs,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return sql.oracles()
