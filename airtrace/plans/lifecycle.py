@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from airtrace import schemas
@@ -16,7 +17,8 @@ from airtrace.operators.contacts import (
     FLIGHT_KEY, aircraft_metrics, atc_contact_metrics, flight_keys, match_controller_flight, match_flight_atc,
 )
 from airtrace.operators.sectors import primary_sector, sector_breakdown
-from airtrace.session import materialise
+from airtrace.session import materialise, owned_files
+from airtrace.sources import tables
 
 COMPLETED_KEY = ["callsign", "departure", "arrival", "cid", "deptime"]
 SESSION = ["callsign", "cid", "logon_time"]
@@ -290,6 +292,130 @@ def process_counts(run: Processed) -> DataFrame:
     return out
 
 
+# --- runs that change the stored tables ----------------------------------------------
+
+# The column by whose date each stored table is partitioned.
+STORED_TIME = {
+    "flights": "last_updated", "controllers": "last_updated", "transceivers": "timestamp",
+    "flight_summaries": "completion_time", "flights_archive": "last_updated",
+    "controller_summaries": "session_end_time", "controllers_archive": "last_updated",
+    "flight_sector_occupancy": "entry_timestamp",
+}
+# Summaries are few rows a day, so a partition holds a month of them.
+STORED_GRAIN = {"flight_summaries": "month", "controller_summaries": "month"}
+
+
+def load_table(df: DataFrame, store: str, table: str) -> tables.Version:
+    """Put rows into a table of a store as a run of their own."""
+    return tables.load(df, store, table, STORED_TIME[table], grain=STORED_GRAIN.get(table, "day"))
+
+
+@dataclass(frozen=True)
+class Staged:
+    """A run whose files are written but which no reader sees yet."""
+
+    store: str
+    change: tables.Change
+    summaries: int = 0
+    archived: int = 0
+
+    def publish(self, spark: SparkSession) -> tables.Version:
+        return tables.publish(spark, self.store, self.change)
+
+
+def _staged_run(
+    spark: SparkSession, store: str, kind: str, run: str, now: tables.Version, names: tuple[str, str, str],
+    built: DataFrame, archived: DataFrame, remaining: Callable[[DataFrame], DataFrame],
+) -> Staged:
+    """Stage the summaries, the archived rows and the rest of each partition that loses rows.
+
+    Only partitions with archived rows are written again; all others stay as they are.
+    """
+    live, summary, archive = names
+    made, n_made = tables.stage(built, store, summary, run, STORED_TIME[summary], grain=STORED_GRAIN[summary])
+    moved, n_moved = tables.stage(archived, store, archive, run, STORED_TIME[archive])
+    touched = {e.part for e in moved}
+    old = [e for e in now.of(live) if e.part in touched]
+    rest, _ = tables.stage(remaining(tables.read(spark, store, live, now, old)), store, live, run, STORED_TIME[live])
+    change = tables.Change(
+        kind, run, (*made, *moved, *rest), tuple(old), {summary: built.schema, archive: archived.schema})
+    return Staged(store, change, n_made, n_moved)
+
+
+def _or_empty(spark: SparkSession, store: str, table: str, now: tables.Version) -> DataFrame:
+    if table in now.schemas:
+        return tables.read(spark, store, table, now)
+    return spark.createDataFrame([], schemas.TABLES[table])
+
+
+def stage_flights_run(
+    spark: SparkSession, store: str, as_of, hours: int = FLIGHT_HOURS, window: str = "logon",
+) -> Staged | None:
+    """Summarise and archive the completed flights of a store, and take their rows out of ``flights``.
+
+    Nothing is visible before ``publish``. None where there is no work: no
+    completed flight, or this run has been published already.
+    """
+    run = f"flights-{_run_name(as_of)}"
+    now = tables.latest(spark, store)
+    if now.marks.get("process_flights") == run:
+        return None
+    with owned_files(spark):
+        flights, radios, staff, stays, summaries = (
+            _or_empty(spark, store, name, now)
+            for name in ("flights", "transceivers", "controllers", "flight_sector_occupancy", "flight_summaries"))
+        completed = materialise(completed_flights(flights, summaries, as_of, hours), "completed-flights")
+        built = materialise(build_flight_summaries(
+            flights, radios, staff, stays, summaries, as_of, hours, window=window, completed=completed), "flight-summaries")
+        if built.isEmpty():
+            return None
+        archived = with_summary_columns(archive_flights(flights, completed), built)
+        return _staged_run(
+            spark, store, "process_flights", run, now, ("flights", "flight_summaries", "flights_archive"), built, archived,
+            lambda rows: remaining_flights(rows, completed))
+
+
+def stage_controllers_run(spark: SparkSession, store: str, as_of, minutes: int = SESSION_MINUTES) -> Staged | None:
+    """The same for controller sessions. Only sessions that got a summary are archived and removed."""
+    run = f"controllers-{_run_name(as_of)}"
+    now = tables.latest(spark, store)
+    if now.marks.get("process_controllers") == run:
+        return None
+    with owned_files(spark):
+        staff, radios, summaries = (
+            _or_empty(spark, store, name, now) for name in ("controllers", "transceivers", "controller_summaries"))
+        completed = materialise(completed_controllers(staff, summaries, as_of, minutes), "completed-sessions")
+        built = materialise(build_controller_summaries(
+            staff, radios, summaries, as_of, minutes, completed=completed), "controller-summaries")
+        if built.isEmpty():
+            return None
+        done = completed.where(F.col("cid").isNotNull())
+        archived = archive_controllers(staff, done)
+        return _staged_run(
+            spark, store, "process_controllers", run, now, ("controllers", "controller_summaries", "controllers_archive"),
+            built, archived, lambda rows: remaining_controllers(rows, done))
+
+
+def _run_name(as_of) -> str:
+    return re.sub(r"[^0-9]", "", str(as_of))
+
+
+def process_flights_written(spark: SparkSession, store: str, as_of, **options) -> dict[str, int]:
+    """Stage and publish; the numbers of the run, all 0 where there was no work."""
+    return _published(spark, stage_flights_run(spark, store, as_of, **options))
+
+
+def process_controllers_written(spark: SparkSession, store: str, as_of, **options) -> dict[str, int]:
+    return _published(spark, stage_controllers_run(spark, store, as_of, **options))
+
+
+def _published(spark: SparkSession, run: Staged | None) -> dict[str, int]:
+    if run is None:
+        return {"summaries_created": 0, "records_archived": 0, "records_deleted": 0}
+    run.publish(spark)
+    return {"summaries_created": run.summaries, "records_archived": run.archived, "records_deleted": run.archived}
+
+
 # --- archives ----------------------------------------------------------------------
 
 SUMMARY_COLUMNS = [

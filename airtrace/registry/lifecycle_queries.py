@@ -9,8 +9,10 @@ from airtrace.operators.sectors import stale_sector_close
 from airtrace.plans import lifecycle as L
 from airtrace.registry.base import query, ratio_sql, shared_cte
 from airtrace.registry.derived import AS_OF_EVENTS as NOW, AS_OF_ORDERS as ORDERS_NOW
-from airtrace.registry.match_queries import LIMIT_CASE, NM
+from airtrace.registry.match_queries import LIMIT_CASE, NM, TYPE_CASE
 from airtrace.registry.sector_queries import LATE, stays
+from airtrace.session import shared_folder
+from airtrace.sources import tables
 
 E_NOW = f"timestamp '{NOW}'"
 O_NOW = f"timestamp '{ORDERS_NOW}'"
@@ -53,7 +55,8 @@ def remaining_flights(t):
 shared_cte(
     "flight_base",
     f"""select f.callsign, f.departure, f.arrival, f.cid, f.deptime, arg_min(f.logon_time, struct_pack(a := f.last_updated, b := f.id)) as logon_time,
- arg_min(f.aircraft_type, struct_pack(a := f.last_updated, b := f.id)) as aircraft_type, max(f.last_updated) as completion_time,
+ arg_min(f.aircraft_type, struct_pack(a := f.last_updated, b := f.id)) as aircraft_type,
+ arg_min(f.flight_rules, struct_pack(a := f.last_updated, b := f.id)) as flight_rules, arg_min(f.name, struct_pack(a := f.last_updated, b := f.id)) as name, max(f.last_updated) as completion_time,
  cast((epoch(max(f.last_updated)) - epoch(min(f.last_updated))) // 60 as int) as time_online_minutes
 from fx_flights f join done_flights d on {_SAME} group by 1, 2, 3, 4, 5""",
 )
@@ -71,31 +74,81 @@ from whole_pairs group by 1, 2, 3, 4""",
 )
 
 
-@query(
-    "build_flight_summaries",
-    f"""select b.callsign, b.departure, b.arrival, b.cid, b.deptime, b.logon_time, b.aircraft_type, b.completion_time, b.time_online_minutes,
- coalesce(c.controllers, 0) as controllers, least(100e0, coalesce({ratio_sql('c.n', 'k.n', 1, 100)}, 0)) as controller_time_percentage,
+# All columns of a summary. Maps are written as text in order of their keys.
+for _window, _pairs in (("whole", "whole_pairs"), ("logon", "logon_pairs")):
+    shared_cte(
+        f"{_window}_contacts",
+        f"""select callsign, departure, arrival, logon_time, cast(sum(n) as bigint) as n, string_agg(concat_ws('/', atc_callsign, type, n, n,
+  strftime(first_contact, '%Y-%m-%d %H:%M:%S'), strftime(last_contact, '%Y-%m-%d %H:%M:%S')), ';' order by atc_callsign) as controllers
+from (select flight_callsign as callsign, departure, arrival, logon_time, atc_callsign, {TYPE_CASE.format(c='atc_callsign')} as type,
+  count(*) as n, min(flight_time) as first_contact, max(flight_time) as last_contact from {_pairs} group by 1, 2, 3, 4, 5) group by 1, 2, 3, 4""",
+    )
+    _SHARE = f"cast(least(100e0, coalesce({ratio_sql('c.n', 'k.n', 1, 100)}, 0)) as double)"
+    shared_cte(
+        f"{_window}_summaries",
+        f"""select b.callsign, b.departure, b.arrival, b.cid, b.deptime, b.logon_time, b.aircraft_type, b.aircraft_type as aircraft_short,
+ b.flight_rules, b.name, cast(null as varchar) as route, b.completion_time, b.time_online_minutes, {E_NOW} as created_at,
+ coalesce(c.controllers, '') as controllers, {_SHARE} as controller_time_percentage, {_SHARE} as airborne_controller_time_percentage,
  s.primary_sector as primary_enroute_sector, cast(coalesce(s.total_sectors, 0) as int) as total_enroute_sectors,
- cast(coalesce(s.total_minutes, 0) as int) as total_enroute_time_minutes
+ cast(coalesce(s.total_minutes, 0) as int) as total_enroute_time_minutes, coalesce(s.sectors, '') as sectors
 from flight_base b
-left join base_contacts c on c.callsign = b.callsign and c.departure = b.departure and c.arrival = b.arrival and c.logon_time = b.logon_time
+left join {_window}_contacts c on c.callsign = b.callsign and c.departure = b.departure and c.arrival = b.arrival and c.logon_time = b.logon_time
 left join flight_keys k on k.callsign = b.callsign and k.departure = b.departure and k.arrival = b.arrival and k.logon_time = b.logon_time
 left join (select callsign, logon_time, completion_time, (array_agg(sector_name order by minutes desc, sector_name))[1] as primary_sector,
-  count(*) as total_sectors, sum(minutes) as total_minutes from base_breakdown group by 1, 2, 3) s
+  count(*) as total_sectors, sum(minutes) as total_minutes,
+  string_agg(concat(sector_name, ':', cast(minutes as bigint)), ',' order by sector_name) as sectors from base_breakdown group by 1, 2, 3) s
  on s.callsign = b.callsign and s.logon_time = b.logon_time and s.completion_time = b.completion_time""",
-)
-def build_flight_summaries(t):
-    closed = stale_sector_close(stays(t), t.flights, at(LATE))
-    out = L.build_flight_summaries(
-        t.flights, t.transceivers, t.controllers, closed, known(t), NOW, HOURS, window="flight"
-    )
-    return out.select(
-        *KEY.split(", "), "logon_time", "aircraft_type", "completion_time", "time_online_minutes",
-        F.size("controller_callsigns").cast("long").alias("controllers"),
-        F.col("controller_time_percentage").cast("double").alias("controller_time_percentage"),
-        "primary_enroute_sector", "total_enroute_sectors", "total_enroute_time_minutes",
     )
 
+SUMMARY_ROW = [
+    *KEY.split(", "), "logon_time", "aircraft_type", "aircraft_short", "flight_rules", "name", "route", "completion_time",
+    "time_online_minutes", "created_at", "controllers", "controller_time_percentage", "airborne_controller_time_percentage",
+    "primary_enroute_sector", "total_enroute_sectors", "total_enroute_time_minutes", "sectors",
+]
+
+
+def summary_text(df):
+    """A summary with its maps as text and its shares as numbers."""
+
+    def contact(e):
+        v = e["value"]
+        clock = [F.date_format(v[n], "yyyy-MM-dd HH:mm:ss") for n in ("first_contact", "last_contact")]
+        minutes = F.round(v["time_minutes"]).cast("long").cast("string")
+        return F.concat_ws("/", e["key"], v["type"], minutes, v["contact_count"].cast("string"), *clock)
+
+    def sector(e):
+        return F.concat_ws(":", e["key"], e["value"].cast("string"))
+
+    def text(name, entry, by):
+        # an archived row without a summary has no map
+        return F.array_join(F.array_sort(F.transform(F.map_entries(name), entry)), by)
+
+    return df.withColumns({
+        "controllers": text("controller_callsigns", contact, ";"), "sectors": text("sector_breakdown", sector, ","),
+        "controller_time_percentage": F.col("controller_time_percentage").cast("double"),
+    })
+
+
+def closed_stays(t):
+    return stale_sector_close(stays(t), t.flights, at(LATE))
+
+
+def _build_flight_summaries(t, window):
+    out = L.build_flight_summaries(
+        t.flights, t.transceivers, t.controllers, closed_stays(t), known(t), NOW, HOURS, window=window)
+    share = F.col("airborne_controller_time_percentage").cast("double")
+    return summary_text(out).withColumn("airborne_controller_time_percentage", share).select(*SUMMARY_ROW)
+
+
+@query("build_flight_summaries", "select * from whole_summaries")
+def build_flight_summaries(t):
+    return _build_flight_summaries(t, "flight")
+
+
+@query("build_flight_summaries_logon", "select * from logon_summaries")
+def build_flight_summaries_logon(t):
+    return _build_flight_summaries(t, "logon")
+
 
 @query(
     "process_flights",
@@ -108,6 +161,50 @@ def process_flights(t):
     return L.process_counts(run)
 
 
+_FLIGHT_ROW = "f.callsign, f.departure, f.arrival, f.cid, f.deptime, f.logon_time, f.aircraft_type, f.flight_rules, f.name, f.last_updated"
+_FILLED = (
+    "completion_time", "time_online_minutes", "controllers", "controller_time_percentage", "primary_enroute_sector",
+    "total_enroute_sectors", "total_enroute_time_minutes", "sectors",
+)
+
+
+@query(
+    "process_flights_written",
+    f"""select 'flights' as part, f.id, {_FLIGHT_ROW}, {', '.join(f'null as {c}' for c in _FILLED)}
+from fx_flights f where not exists (select 1 from done_flights d where {_SAME})
+union all select 'flights_archive', f.id, {_FLIGHT_ROW}, {', '.join(f's.{c}' for c in _FILLED)}
+from fx_flights f join done_flights d on {_SAME} left join logon_summaries s on {' and '.join(f's.{c} = f.{c}' for c in KEY.split(', '))}
+union all select 'flight_summaries', null, callsign, departure, arrival, cid, deptime, logon_time, aircraft_type, flight_rules, name, null, {', '.join(_FILLED)}
+from logon_summaries
+union all select 'flight_summaries', id, callsign, departure, arrival, cid, deptime, logon_time, aircraft_type, flight_rules, name, null, completion_time,
+ {', '.join('null' for _ in _FILLED[1:])} from known_summaries""",
+)
+def process_flights_written(t):
+    """The three tables of a store after a run that was given up, the run, and the run once more."""
+    store = shared_folder(t.spark, "store")
+    earlier = known(t).select(
+        "id", *KEY.split(", "), "logon_time", "aircraft_type", "flight_rules", "name", "completion_time")
+    for name, df in (
+        ("flights", t.flights), ("transceivers", t.transceivers), ("controllers", t.controllers),
+        ("flight_sector_occupancy", closed_stays(t)), ("flight_summaries", earlier),
+    ):
+        L.load_table(df, store, name)
+    L.stage_flights_run(t.spark, store, NOW, hours=HOURS)  # not published: leaves nothing but files
+    for _ in range(2):
+        L.process_flights_written(t.spark, store, NOW, hours=HOURS)
+
+    def rows(name):
+        df = tables.read(t.spark, store, name)
+        df = summary_text(df) if name != "flights" else df
+        columns = ["id", *KEY.split(", "), "logon_time", "aircraft_type", "flight_rules", "name", "last_updated", *_FILLED]
+        own = F.col("id") if name != "flight_summaries" else F.when(F.col("created_at").isNull(), F.col("id"))
+        df = df.withColumn("id", own)
+        return df.select(F.lit(name).alias("part"), *[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
+
+    out = rows("flights_archive").unionByName(rows("flight_summaries")).unionByName(rows("flights"))
+    return out
+
+
 # --- controllers ---
 
 # Summaries already made: the sessions of stations 0 and 5 (station 5 has no cid).
@@ -190,24 +287,56 @@ def session_frequencies(t):
     return out.withColumn("frequencies_used", F.array_join("frequencies_used", ","))
 
 
-@query(
-    "build_controller_summaries",
-    f"""select m.callsign, m.cid, m.name, m.rating, m.session_start_time, m.session_end_time, m.session_duration_minutes,
- cast(coalesce(a.n, 0) as int) as total_aircraft_handled, cast(coalesce(a.n, 0) as int) as peak_aircraft_count, coalesce(u.frequencies, '') as frequencies_used
+shared_cte(
+    "merged_pairs",
+    f"""select s.callsign, s.logon_time, s.unmerged_end, f.callsign as aircraft, min(f.ts) as first_seen, max(f.ts) as last_seen, count(*) as n,
+ arg_min(a.frequency, struct_pack(a := f.ts, b := a.ts, c := a.frequency)) as frequency
+from (select distinct callsign, logon_time, unmerged_end from merged_sessions) s
+join fx_transceivers a on a.entity_type = 'atc' and a.callsign = s.callsign and a.ts between s.logon_time and s.unmerged_end
+join fx_transceivers f on f.entity_type = 'flight' and f.ts between s.logon_time and s.unmerged_end
+ and abs(f.frequency - a.frequency) <= 5000 and abs(epoch(f.ts) - epoch(a.ts)) <= 180
+where {NM.format(a='a.position_lat', b='a.position_lon', c='f.position_lat', d='f.position_lon')} <= {LIMIT_CASE.format(c='s.callsign')}
+group by 1, 2, 3, 4""",
+)
+_HOURS = " || ',' || ".join(
+    f"cast(count(case when {h} between hour(first_seen) and hour(last_seen) then 1 end) as varchar)" for h in range(24))
+shared_cte(
+    "full_controller_summaries",
+    f"""select m.callsign, m.cid, m.name, m.rating, m.session_start_time, m.session_end_time, m.session_duration_minutes, {E_NOW} as created_at,
+ cast(coalesce(a.n, 0) as int) as total_aircraft_handled, cast(coalesce(a.n, 0) as int) as peak_aircraft_count, coalesce(u.frequencies, '') as frequencies_used,
+ coalesce(a.hours, '') as hours, coalesce(a.details, '') as details
 from merged_sessions m left join used_frequencies u on u.callsign = m.callsign and u.logon_time = m.logon_time and u.unmerged_end = m.unmerged_end
-left join (select s.callsign, s.logon_time, s.unmerged_end, count(distinct f.callsign) as n
- from (select distinct callsign, logon_time, unmerged_end from merged_sessions) s
- join fx_transceivers a on a.entity_type = 'atc' and a.callsign = s.callsign and a.ts between s.logon_time and s.unmerged_end
- join fx_transceivers f on f.entity_type = 'flight' and f.ts between s.logon_time and s.unmerged_end
-  and abs(f.frequency - a.frequency) <= 5000 and abs(epoch(f.ts) - epoch(a.ts)) <= 180
- where {NM.format(a='a.position_lat', b='a.position_lon', c='f.position_lat', d='f.position_lon')} <= {LIMIT_CASE.format(c='s.callsign')}
- group by 1, 2, 3) a on a.callsign = m.callsign and a.logon_time = m.logon_time and a.unmerged_end = m.unmerged_end""",
+left join (select callsign, logon_time, unmerged_end, count(*) as n, {_HOURS} as hours,
+  string_agg(concat_ws('/', aircraft, frequency, strftime(first_seen, '%Y-%m-%d %H:%M:%S'), strftime(last_seen, '%Y-%m-%d %H:%M:%S'),
+   cast((epoch(last_seen) - epoch(first_seen)) // 60 as bigint), n), ';' order by aircraft) as details
+ from merged_pairs group by 1, 2, 3) a on a.callsign = m.callsign and a.logon_time = m.logon_time and a.unmerged_end = m.unmerged_end""",
 )
+
+SESSION_ROW = [
+    "callsign", "cid", "name", "rating", "session_start_time", "session_end_time", "session_duration_minutes", "created_at",
+    "total_aircraft_handled", "peak_aircraft_count", "frequencies_used", "hours", "details",
+]
+
+
+def session_text(df):
+    """A session's summary with its lists as text."""
+
+    def detail(d):
+        clock = [F.date_format(d[n], "yyyy-MM-dd HH:mm:ss") for n in ("first_seen", "last_seen")]
+        hz = F.round(d["frequency_mhz"] * 1_000_000).cast("long").cast("string")
+        counts = [d[n].cast("string") for n in ("time_on_frequency_minutes", "updates_count")]
+        return F.concat_ws("/", d["callsign"], hz, *clock, *counts)
+
+    hours = F.transform(F.array_sort(F.map_entries("hourly_aircraft_breakdown")), lambda e: e["value"].cast("string"))
+    return df.withColumns({
+        "frequencies_used": F.array_join("frequencies_used", ","), "hours": F.array_join(hours, ","),
+        "details": F.array_join(F.transform("aircraft_details", detail), ";"),
+    })
+
+
+@query("build_controller_summaries", "select * from full_controller_summaries")
 def build_controller_summaries(t):
-    out = L.build_controller_summaries(t.controllers, t.transceivers, known_sessions(t), NOW)
-    return out.withColumn("frequencies_used", F.array_join("frequencies_used", ",")).drop(
-        "id", "created_at", "facility", "hourly_aircraft_breakdown", "aircraft_details"
-    )
+    return session_text(L.build_controller_summaries(t.controllers, t.transceivers, known_sessions(t), NOW)).select(*SESSION_ROW)
 
 
 _SESSION_DONE = "exists (select 1 from done_sessions d where d.callsign = c.callsign and d.logon_time = c.logon_time)"
@@ -236,6 +365,39 @@ def process_controllers(t):
     return L.process_counts(L.process_controllers(t.controllers, t.transceivers, known_sessions(t), NOW))
 
 
+_CONTROLLER_ROW = "c.id, c.callsign, c.cid, c.name, c.rating, c.frequency, c.logon_time, c.last_updated"
+
+
+@query(
+    "process_controllers_written",
+    f"""select 'controllers' as part, {_CONTROLLER_ROW}, {', '.join(f'null as {c}' for c in SESSION_ROW[4:])} from fx_controllers c where not {_SUMMARISED}
+union all select 'controllers_archive', {_CONTROLLER_ROW}, {', '.join('null' for _ in SESSION_ROW[4:])} from fx_controllers c where {_SUMMARISED}
+union all select 'controller_summaries', null, callsign, cid, name, rating, null, null, null, {', '.join(SESSION_ROW[4:])} from full_controller_summaries
+union all select 'controller_summaries', null, callsign, cid, null, null, null, null, null, session_start_time, session_start_time,
+ {', '.join('null' for _ in SESSION_ROW[6:])} from known_sessions""",
+)
+def process_controllers_written(t):
+    """The three tables of a store after a run that was given up, the run, and the run once more."""
+    store = shared_folder(t.spark, "store")
+    earlier = known_sessions(t).withColumn("session_end_time", F.col("session_start_time"))
+    for name, df in (("controllers", t.controllers), ("transceivers", t.transceivers), ("controller_summaries", earlier)):
+        L.load_table(df, store, name)
+    L.stage_controllers_run(t.spark, store, NOW)  # not published: leaves nothing but files
+    for _ in range(2):
+        L.process_controllers_written(t.spark, store, NOW)
+
+    def rows(name):
+        df = tables.read(t.spark, store, name)
+        if name == "controller_summaries":
+            df = session_text(df).withColumn("id", F.lit(None).cast("long"))
+            # array_join gives the empty text for a list that is not there
+            df = df.withColumns({c: F.when(F.col("created_at").isNotNull(), F.col(c)) for c in ("frequencies_used", "hours", "details")})
+        columns = ["id", "callsign", "cid", "name", "rating", "frequency", "logon_time", "last_updated", *SESSION_ROW[4:]]
+        return df.select(F.lit(name).alias("part"), *[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
+
+    return rows("controller_summaries").unionByName(rows("controllers_archive")).unionByName(rows("controllers"))
+
+
 # --- archives ---
 
 _FILL = ["time_online_minutes", "total_enroute_time_minutes", "completion_time"]

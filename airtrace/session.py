@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# Folders of intermediate files of the run that is under way.
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
 # A side is broadcast by hint only up to this number of rows, which are counted.
 BROADCAST_ROWS = 100_000
 
@@ -51,10 +57,43 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     the loss of an executor and cut the lineage.
     """
     path = shared_folder(df.sparkSession, purpose)
+    if (owned := _OWNED.get()) is not None:
+        owned.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it; one that is not there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none where it is not there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    return [s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()]
+
+
+@contextmanager
+def owned_files(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate files made inside when the work is done or has failed.
+
+    For runs that write their results: frames over such files are of no use afterwards.
+    """
+    token = _OWNED.set([])
+    try:
+        yield
+    finally:
+        made = _OWNED.get() or []
+        _OWNED.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
 def broadcast_if_few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast where the frame is counted to have few rows.
 
