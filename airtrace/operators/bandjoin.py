@@ -19,6 +19,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from airtrace.session import materialise
+
 
 @dataclass(frozen=True)
 class Band:
@@ -90,6 +92,25 @@ def band_join(
     return joined.select(*[(l(c) if c in own else r(c)) for c in kept])
 
 
+def within_span(df: DataFrame, time: str, spans: DataFrame, start: str, end: str | None, secs: int = 0) -> DataFrame:
+    """Rows whose time lies between the first start and the last end of ``spans``, give or take ``secs``.
+
+    The two bounds are scalar subqueries: they are found at run time and reach
+    the scan as filters on its row groups. Without an ``end`` there is a lower
+    bound only. No spans, no rows.
+
+    The last end is a top-one and not a maximum, since Spark would merge two
+    aggregates of one table into a struct, which is no bound for a scan.
+    """
+    slack = F.make_interval(secs=F.lit(secs))
+    first = spans.agg(F.min(start).alias("_from")).select(F.col("_from") - slack)
+    out = df.where(F.col(time) >= first.scalar())
+    if end:
+        last = spans.select((F.col(end) + slack).alias("_to")).orderBy(F.col("_to").desc_nulls_last()).limit(1)
+        out = out.where(F.col(time) <= last.scalar())
+    return out
+
+
 def range_join(
     points: DataFrame,
     ranges: DataFrame,
@@ -124,3 +145,50 @@ def range_join(
     own = set(points.columns)
     joined = p.alias("p").join(r.alias("r"), test, how)
     return joined.select(*[F.col(f"p.{c}" if c in own else f"r.{c}") for c in kept])
+
+
+#: Points of one piece of a sweep.
+PIECE_ROWS = 50_000
+
+
+def swept(points: DataFrame, point: str, rows: int = PIECE_ROWS) -> DataFrame:
+    """Points cut into pieces of at most so many rows that follow each other in time (``_piece``).
+
+    Rows are dealt out over ranges of time and a hash of the row, so that a busy
+    hour, or one instant with very many rows, is cut as well. They are written
+    once, so that the pieces stay what they are.
+    """
+    dealt = points.withColumn("_tie", F.xxhash64(*points.columns))
+    dealt = dealt.repartitionByRange(point, "_tie").sortWithinPartitions(point, "_tie").drop("_tie")
+    # the number holds the partition in its upper and the row in its lower 33 bits
+    number = dealt.withColumn("_n", F.monotonically_increasing_id())
+    part, row = F.shiftright("_n", 33), F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+    return materialise(number.withColumn("_piece", F.struct(part.alias("part"), F.floor(row / rows).alias("nth"))).drop("_n"), "swept")
+
+
+def sweep_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, hours: int = 6, rows: int = PIECE_ROWS) -> DataFrame:
+    """Rows of ``points`` whose time lies in [start, end] of a range, without any key in common.
+
+    A sweep over time in pieces of equal numbers of points: every piece is handed
+    the ranges that are open at its lower border or begin inside it, and the join
+    is on the piece. However many points one hour holds, no piece has more than
+    others. Ranges and the few borders of pieces meet by time slots, in the first
+    slot that both touch. Column names of the sides must differ.
+    """
+    width = hours * 3600
+
+    def slots(first: str, last: str) -> Column:
+        low, high = (F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / width) for c in (first, last))
+        return F.explode(F.sequence(low, high))
+
+    kept = points.columns + ranges.columns
+    cut = swept(points.where(F.col(point).isNotNull()), point, rows)
+    borders = cut.groupBy("_piece").agg(F.min(point).alias("_from"), F.max(point).alias("_to"))
+    borders = borders.withColumn("_slot", slots("_from", "_to"))
+    spans = ranges.where(F.col(start) <= F.col(end)).withColumns({
+        "_slot": slots(start, end), "_first": F.floor(F.unix_seconds(F.col(start).cast("timestamp")) / width)})
+    first = F.greatest(F.col("_first"), F.floor(F.unix_seconds("_from") / width))
+    handed = spans.join(borders, "_slot").where(
+        (F.col("_from") <= F.col(end)) & (F.col("_to") >= F.col(start)) & (F.col("_slot") == first)
+    ).select("_piece", *[F.col(c) for c in ranges.columns])
+    return cut.join(handed, "_piece").where(F.col(point).between(F.col(start), F.col(end))).select(*kept)

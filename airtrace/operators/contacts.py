@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from airtrace.functions.callsign import contact_type, controller_type, proximity_nm
 from airtrace.functions.exact import micros, rounded_ratio, whole_minutes
 from airtrace.functions.geo import deg_within, nm_within
-from airtrace.operators.bandjoin import Band, band_join, range_join
+from airtrace.operators.bandjoin import Band, band_join, range_join, sweep_join, within_span
+from airtrace.operators.grid import place_cell, with_reach_cells
 
 # Two radios match within 5 kHz and 180 s; reports use 300 degrees.
 FREQUENCY_HZ = 5000
@@ -221,6 +222,15 @@ def _last_heard(radios: DataFrame) -> DataFrame:
     return radios.groupBy("callsign").agg(F.max("timestamp").alias("heard_until"))
 
 
+def _stations_in_reach(flights: DataFrame, stations: DataFrame, secs: int, condition, pieces: int) -> DataFrame:
+    """Flight and station rows close in frequency, time and place; the cells keep far pairs apart before any is made."""
+    return band_join(
+        flights.withColumn("_cell", place_cell(F.col("flight_lat"), F.col("flight_lon"))),
+        with_reach_cells(stations, "atc_lat", "atc_lon", "limit_nm", "_reach"),
+        [_FREQUENCY_BAND, _time_band(secs)], on=[("_cell", "_reach")], condition=condition, pieces=pieces,
+    )
+
+
 def match_flight_atc(
     flights: DataFrame,
     transceivers: DataFrame,
@@ -238,34 +248,41 @@ def match_flight_atc(
     limit follows the controller type. A controller counts if it was seen, and
     on the radio, at or after the log-on, an aircraft if it was on the radio.
     """
+    # The scans of all tables are cut to the times that can matter, by one and the
+    # same pair of bounds, which Spark then computes once.
     own = flight_radios(transceivers)
     if window == "logon":
-        spans = _named_keys(flight_keys(flights) if keys is None else keys)
-        heard = _last_heard(own).withColumnRenamed("callsign", "key_callsign")
+        known = flight_keys(flights) if keys is None else keys
+        source, last, slack = (flights if keys is None else keys), "logon_time", 2 * secs
+        spans = _named_keys(known)
+        heard = _last_heard(within_span(own, "timestamp", source, "logon_time", None, slack)).withColumnRenamed("callsign", "key_callsign")
         spans = spans.join(heard, "key_callsign").where(F.col("heard_until") >= F.col("logon_time"))
         spans = spans.drop("heard_until").withColumn("_logon_us", micros(F.col("logon_time")))
+        near = within_span(own, "timestamp", source, "logon_time", last, slack)
         radios = band_join(
-            own.withColumn("_us", micros(F.col("timestamp"))), spans,
+            near.withColumn("_us", micros(F.col("timestamp"))), spans,
             [Band("_us", "_logon_us", secs * 1_000_000)],
             on=[("callsign", "key_callsign")], pieces=pieces,
         ).drop("_us", "_logon_us", "key_callsign")
     elif window == "flight":
-        rows = flights.dropna(subset=FLIGHT_KEY)
+        source, last, slack = flights.dropna(subset=FLIGHT_KEY), "last_updated", 2 * secs
         if keys is not None:
-            rows = rows.join(keys.select(*FLIGHT_KEY).distinct(), FLIGHT_KEY, "left_semi")
-        spans = _named_keys(rows.groupBy(*FLIGHT_KEY).agg(F.max("last_updated").alias("flight_end")))
+            source = source.join(keys.select(*FLIGHT_KEY).distinct(), FLIGHT_KEY, "left_semi")
+        spans = _named_keys(source.groupBy(*FLIGHT_KEY).agg(F.max("last_updated").alias("flight_end")))
         radios = range_join(
-            own, spans, "timestamp", "logon_time", "flight_end", on=[("callsign", "key_callsign")]
+            within_span(own, "timestamp", source, "logon_time", last, slack), spans, "timestamp", "logon_time", "flight_end",
+            on=[("callsign", "key_callsign")],
         ).drop("key_callsign", "flight_end")
     else:
         raise ValueError(window)
-    seen = controllers.where(F.col("facility") != 0).groupBy("callsign").agg(
-        F.max("last_updated").alias("seen_until")
-    )
+    staff = within_span(controllers.where(F.col("facility") != 0), "last_updated", source, "logon_time", None, slack)
+    seen = staff.groupBy("callsign").agg(F.max("last_updated").alias("seen_until"))
     atc = transceivers.where(F.col("entity_type") == "atc")
-    seen = seen.join(_last_heard(atc), "callsign").select(
+    heard = _last_heard(within_span(atc, "timestamp", source, "logon_time", None, slack))
+    seen = seen.join(heard, "callsign").select(
         "callsign", F.least("seen_until", "heard_until").alias("active_until")
     )
+    atc = within_span(atc, "timestamp", source, "logon_time", last, slack)
     atc = _atc_side(atc.join(seen, "callsign"), "active_until").withColumn(
         "limit_nm", proximity_nm(controller_type(F.col("atc_callsign")), limits)
     )
@@ -274,9 +291,8 @@ def match_flight_atc(
         near = nm_within(l("flight_lat"), l("flight_lon"), r("atc_lat"), r("atc_lon"), r("limit_nm"))
         return near & (r("active_until") >= l("logon_time"))
 
-    return band_join(
-        _flight_side(radios, "departure", "arrival", "logon_time"),
-        atc, [_FREQUENCY_BAND, _time_band(secs)], condition=close, pieces=pieces,
+    return _stations_in_reach(
+        _flight_side(radios, "departure", "arrival", "logon_time"), atc, secs, close, pieces
     ).select(
         "flight_callsign", "departure", "arrival", "logon_time", "atc_callsign", "frequency",
         "flight_time", "atc_time", "flight_lat", "flight_lon", "atc_lat", "atc_lon",
@@ -291,9 +307,10 @@ def session_radio_rows(sessions: DataFrame, transceivers: DataFrame, entity_type
     """
     rows = transceivers.where(F.col("entity_type") == entity_type)
     spans = sessions.withColumnRenamed("callsign", "session_callsign")
-    on = [("callsign", "session_callsign")] if entity_type == "atc" else []
-    # without a callsign to join on, the time slots alone spread the work
-    return range_join(rows, spans, "timestamp", "session_start", "session_end", on=on, hours=6 if on else 1)
+    if entity_type == "atc":
+        return range_join(rows, spans, "timestamp", "session_start", "session_end", on=[("callsign", "session_callsign")])
+    # no callsign to join on: a busy hour is cut into pieces of its own
+    return sweep_join(rows, spans, "timestamp", "session_start", "session_end")
 
 
 def match_controller_flight(
@@ -304,6 +321,8 @@ def match_controller_flight(
     pieces: int = 1,
 ) -> DataFrame:
     """Pairs of flight and ATC radio rows, both inside the controller's session."""
+    # nothing outside the sessions' times is read
+    transceivers = within_span(transceivers, "timestamp", sessions, "session_start", "session_end")
     own = session_radio_rows(sessions.select("callsign", "session_start", "session_end"), transceivers)
     atc = _atc_side(own, "session_start", "session_end").withColumn(
         "limit_nm", proximity_nm(controller_type(F.col("atc_callsign")), limits)
@@ -313,9 +332,8 @@ def match_controller_flight(
         near = nm_within(l("flight_lat"), l("flight_lon"), r("atc_lat"), r("atc_lon"), r("limit_nm"))
         return near & l("flight_time").between(r("session_start"), r("session_end"))
 
-    return band_join(
-        _flight_side(flight_radios(transceivers)), atc,
-        [_FREQUENCY_BAND, _time_band(secs)], condition=close, pieces=pieces,
+    return _stations_in_reach(
+        _flight_side(flight_radios(transceivers)), atc, secs, close, pieces
     ).select(
         F.col("atc_callsign").alias("callsign"), "session_start", "session_end",
         "flight_callsign", F.col("atc_frequency").alias("frequency"), "flight_time", "atc_time",
@@ -323,8 +341,10 @@ def match_controller_flight(
     )
 
 
-def flight_record_count(flights: DataFrame) -> DataFrame:
-    """Stored rows per flight key."""
+def flight_record_count(flights: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Stored rows per flight key, of the given keys or of all."""
+    if keys is not None:
+        flights = flights.join(keys.select(*FLIGHT_KEY).distinct(), FLIGHT_KEY, "left_semi")
     return flights.dropna(subset=FLIGHT_KEY).groupBy(*FLIGHT_KEY).agg(F.count(F.lit(1)).alias("record_count"))
 
 
@@ -342,8 +362,13 @@ def contacts_per_controller(matches: DataFrame, poll_secs: int = 60) -> DataFram
     )
 
 
-def atc_contact_metrics(matches: DataFrame, flights: DataFrame, poll_secs: int = 60) -> DataFrame:
-    """Per flight with contact: the controller map and the share of time."""
+def atc_contact_metrics(
+    matches: DataFrame, flights: DataFrame, poll_secs: int = 60, keys: DataFrame | None = None
+) -> DataFrame:
+    """Per flight with contact: the controller map and the share of time.
+
+    With ``keys`` only the rows of those flights are counted.
+    """
     per_controller = contacts_per_controller(matches, poll_secs)
     entry = F.struct(
         F.col("atc_callsign").alias("key"),
@@ -361,7 +386,7 @@ def atc_contact_metrics(matches: DataFrame, flights: DataFrame, poll_secs: int =
         F.lit(100.0), rounded_ratio(F.col("interactions_detected") * poll_secs, F.col("record_count") * 60, 1, 100)
     )
     return (
-        per_flight.join(flight_record_count(flights), FLIGHT_KEY)
+        per_flight.join(flight_record_count(flights, keys), FLIGHT_KEY)
         .withColumn("total_controller_time_minutes", F.col("interactions_detected") * F.lit(poll_secs / 60.0))
         .withColumn("controller_time_percentage", share)
         .withColumn("airborne_controller_time_percentage", F.col("controller_time_percentage"))

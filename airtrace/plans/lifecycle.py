@@ -97,7 +97,7 @@ def build_flight_summaries(
     base = materialise(base, "flight-base")
     keys = base.select(*FLIGHT_KEY).dropna().distinct()
     matches = match_flight_atc(flights, transceivers, controllers, window=window, keys=keys)
-    contacts = atc_contact_metrics(matches, flights, poll_secs).select(
+    contacts = atc_contact_metrics(matches, flights, poll_secs, keys).select(
         *FLIGHT_KEY, "controller_callsigns", "controller_time_percentage", "airborne_controller_time_percentage"
     )
     sectors = primary_sector(sector_breakdown(stays, base))
@@ -487,7 +487,7 @@ def backfill_contacts(
     empty = summaries.where(text.isNull() | (text == "{}"))
     keys = empty.select(*FLIGHT_KEY).dropna().distinct()
     matches = match_flight_atc(flights, transceivers, controllers, window=window, keys=keys)
-    found = atc_contact_metrics(matches, flights)
+    found = atc_contact_metrics(matches, flights, keys=keys)
     return empty.select("id", *FLIGHT_KEY).join(found, FLIGHT_KEY, "left").select(
         "id", *FLIGHT_KEY, "controller_callsigns",
         F.coalesce("interactions_detected", F.lit(0)).alias("interactions_detected"),

@@ -12,6 +12,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from airtrace.session import sortable_times
+
 AS_OF_EVENTS = "2024-01-01 03:00:00"
 AS_OF_ORDERS = "2001-08-01 00:00:00"
 
@@ -127,8 +129,9 @@ def store(spark: SparkSession, sf_dir: str, out: str, parts: int = 8) -> None:
     """Write the large derived tables, in time order, and read them from there
     on: they then are stored tables, as in use, and not views over others."""
     tables = Derived(spark, sf_dir)
-    for name, time in TIMES.items():
-        tables.derived(name).repartitionByRange(parts, time).sortWithinPartitions(time).write.parquet(f"{out}/{name}")
+    with sortable_times(spark):
+        for name, time in TIMES.items():
+            tables.derived(name).repartitionByRange(parts, time).sortWithinPartitions(time).write.parquet(f"{out}/{name}")
     STORED[sf_dir] = out
 
 

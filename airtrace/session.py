@@ -63,6 +63,21 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def sortable_times(spark: SparkSession) -> Iterator[None]:
+    """Write timestamps in a form of which Parquet keeps minima and maxima.
+
+    The default form has none, so no filter on time could skip a row group.
+    """
+    name = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "TIMESTAMP_MICROS")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system holds it; one that is not there is no error."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from airtrace import schemas
 from airtrace.functions.values import parse_utc
 from airtrace.operators.filters import join_atis
+from airtrace.session import sortable_times
 
 
 def src_snapshots(spark: SparkSession, path: str, schema: str = schemas.SNAPSHOT, multi_line: bool = False) -> DataFrame:
@@ -126,7 +127,8 @@ def sink_append(df: DataFrame, path: str, time: str, extra_partitions: tuple[str
     """
     columns = ["date", *extra_partitions]
     out = df.withColumn("date", F.to_date(time))
-    out.hint("rebalance", *columns).write.mode("append").partitionBy(*columns).parquet(path)
+    with sortable_times(df.sparkSession):
+        out.hint("rebalance", *columns).write.mode("append").partitionBy(*columns).parquet(path)
 
 
 def sink_csv_report(df: DataFrame, path: str) -> None:

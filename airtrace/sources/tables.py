@@ -26,7 +26,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from airtrace.session import folders, remove
+from airtrace.session import folders, remove, sortable_times
 
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 MANIFEST = "table string, part string, run string, mark string, made_by string, columns string"
@@ -117,8 +117,9 @@ def stage(
         names = names.repartitionByRange(*keys, time).sortWithinPartitions(*keys, "run", time)
     else:
         names = names.hint("rebalance", *keys)
-    (names.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys, "run")
-     .parquet(f"{store}/{table}"))
+    with sortable_times(df.sparkSession):
+        writer = names.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*keys, "run").parquet(f"{store}/{table}")
     try:
         counted = seen.get
     except Py4JJavaError:

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from airtrace.operators.bandjoin import Band, band_join, range_join
+from airtrace.operators.bandjoin import Band, band_join, range_join, sweep_join, swept
 
 T0 = datetime(2024, 1, 1)
 
@@ -76,3 +76,34 @@ def test_unknown_kind_is_refused(spark):
     _, _, l, r = frames(spark, 1, 4)
     with pytest.raises(ValueError):
         band_join(l, r, BANDS, how="left_anti")
+
+
+def busy(spark, n):
+    """Nine tenths of all points in one hour, a third of them in one instant."""
+    at = lambda i: T0 + (timedelta(hours=5) if i % 3 == 0 else timedelta(hours=5, seconds=i % 3600) if i % 10 else timedelta(minutes=37 * i))
+    return [(i, at(i)) for i in range(n)]
+
+
+@pytest.mark.parametrize("rows", [7, 50_000])
+def test_sweep_join(spark, rows):
+    rng = random.Random(5)
+    points = busy(spark, 400) + [(1000, None)]
+    ranges = [(i, T0 + timedelta(minutes=a), T0 + timedelta(minutes=a + rng.randrange(-5, 900))) for i, a in ((i, rng.randrange(14_000)) for i in range(40))]
+    ranges += [(90, T0 + timedelta(hours=5), T0 + timedelta(hours=5)), (91, T0 - timedelta(days=3), T0 + timedelta(days=90)), (92, None, T0), (91, T0 - timedelta(days=3), T0 + timedelta(days=90))]
+    p = spark.createDataFrame(points, "id int, at timestamp")
+    r = spark.createDataFrame(ranges, "rid int, a timestamp, b timestamp")
+    want = sorted((x[0], y[0]) for x in points for y in ranges if x[1] and y[1] and y[1] <= x[1] <= y[2])
+    got = sweep_join(p, r, "at", "a", "b", rows=rows)
+    assert got.columns == ["id", "at", "rid", "a", "b"] and sorted((x.id, x.rid) for x in got.collect()) == want
+    assert sweep_join(p.limit(0), r, "at", "a", "b").count() == 0 and sweep_join(p, r.limit(0), "at", "a", "b").count() == 0
+
+
+def test_pieces_of_a_busy_hour_are_even(spark):
+    p = spark.range(200_000).selectExpr(
+        "id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 5, 0, case when id % 3 = 0 then 0 when id % 10 > 0 then id % 3600 else 97 * id end) as at")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sorted(r["count"] for r in swept(p, "at", 1000).groupBy("_piece").count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 200_000 and sizes[-1] <= 2 * sizes[len(sizes) // 2] and len(sizes) >= 200
