@@ -579,6 +579,26 @@ def test_encoding(spark):
 # ---------------------------------------------------------------- near-duplicates
 
 
+def five_word_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i:i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def first_of_each(rows):
+    """The least id of every component of rows (id, text) whose five-word shingles have a Jaccard similarity of 0.8."""
+    sets = [five_word_shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+    for x, a in enumerate(sets):
+        for y, b in enumerate(sets[:x]):
+            if min(len(a), len(b)) * 5 >= max(len(a), len(b)) * 4 and 5 * len(a & b) >= 4 * len(a | b) and up[x] != up[y]:
+                low, high = sorted((up[x], up[y]))
+                up = [low if u == high else u for u in up]
+    groups = {}
+    for u, (i, _) in zip(up, rows):
+        groups.setdefault(u, []).append((i is None, i or 0))
+    return [None if g[0] else g[1] for g in map(min, groups.values())]
+
+
 def test_near_duplicates_by_jaccard(spark):
     deal = np.random.default_rng(5)
     line = " ".join(f"common{i}" for i in range(30))
@@ -598,17 +618,7 @@ def test_near_duplicates_by_jaccard(spark):
         add(words[:96] + [f"z{group}y{i}" for i in range(30)])
         add([*line.split(), *(f"u{group}y{i}" for i in range(8))])
     rows += [(200, None), (201, ""), (202, " \n"), (203, "a b c d"), (204, "A  b c\td"), (205, "a b c e"), (None, line), (206, line)]
-    sets = [set(neardup.shingle_set(t).tolist()) for _, t in rows]
-    up = list(range(len(rows)))
-    for x, a in enumerate(sets):
-        for y, b in enumerate(sets[:x]):
-            if 5 * len(a & b) >= 4 * len(a | b) and up[x] != up[y]:
-                low, high = sorted((up[x], up[y]))
-                up = [low if u == high else u for u in up]
-    groups = {}
-    for u, (i, _) in zip(up, rows):
-        groups.setdefault(u, []).append((i is None, i or 0))
-    want = Counter(None if g[0] else g[1] for g in map(min, groups.values()))
+    want = Counter(first_of_each(rows))
     assert 24 < want.total() < len(rows)
     docs = documents(spark, rows)
     got = corpus_pipeline.near_dedup(spark, docs, FOLDER)
@@ -622,8 +632,7 @@ def test_near_duplicates_by_jaccard(spark):
 def test_pipeline(spark):
     docs = {r.doc_id: r for r in given(spark, "documents").collect()}
     kept9 = {r.doc_id for r in queries.queries()["op9_quality_rules"](spark, FOLDER).collect() if r.kept}
-    groups = linked({i: simhash.fingerprint(docs[i].text, 2, True) for i in kept9}, 7)
-    kept4 = {i for i in kept9 if groups[i] == i}
+    kept4 = set(first_of_each([(i, docs[i].text) for i in sorted(kept9)]))
     items = [(r.item_id, r.text) for r in given(spark, "benchmark").collect()]
     kept1 = {r[0] for r in contamination([(i, docs[i].text) for i in kept4], items) if not r[5]}
     coder = bpe.encoder(vocabulary.word_bpe())
