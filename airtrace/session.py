@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -56,8 +56,12 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     Used where one result feeds several later steps; the written files survive
     the loss of an executor and cut the lineage.
     """
+    return _written(df, purpose, _OWNED.get())
+
+
+def _written(df: DataFrame, purpose: str, owned: list[str] | None) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
-    if (owned := _OWNED.get()) is not None:
+    if owned is not None:
         owned.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -94,14 +98,16 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 
 
 @contextmanager
-def owned_files(spark: SparkSession) -> Iterator[None]:
+def owned_files(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Remove the intermediate files made inside when the work is done or has failed.
 
-    For runs that write their results: frames over such files are of no use afterwards.
+    Frames over such files are of no use afterwards. What is given writes a
+    frame that is still needed, as ``materialise`` does outside.
     """
+    outer = _OWNED.get()
     token = _OWNED.set([])
     try:
-        yield
+        yield lambda df, purpose: _written(df, purpose, outer)
     finally:
         made = _OWNED.get() or []
         _OWNED.reset(token)
