@@ -6,10 +6,10 @@ from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from airtrace.operators.sectors import ENTRY_KNOTS, GAP_SECONDS, sector_for_point
+from airtrace.operators.sectors import ENTRY_KNOTS, GAP_SECONDS, newest_rows, sector_for_point
 
 STATE = (
     "sector string, entry_us bigint, entry_lat double, entry_lon double, entry_altitude int,"
@@ -106,12 +106,58 @@ class SectorStays(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._settle(key[0], self._rows(), timerValues.getCurrentWatermarkInMs() * 1000)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        frame = initialState[STATE_COLUMNS].astype(object)
+        frame = frame.where(frame.notna(), None)
+        state = tuple(next(frame.itertuples(index=False)))
+        self.state.update(state)
+        # an aircraft that never comes again ends its stay as well
+        self.handle.registerTimer((state[5] + GAP_SECONDS * 1_000_000) // 1000 + 1)
+
     def close(self) -> None:
         pass
 
 
-def sector_stays_stream(flights: DataFrame, sectors: DataFrame, delay: str = "2 minutes") -> DataFrame:
-    """Closed stays of a stream of stored positions.
+STATE_COLUMNS = [part.split()[0] for part in STATE.split(",")]
+
+
+def state_of(stays: DataFrame, flights: DataFrame) -> DataFrame:
+    """The open ones of batch stays as the state of a stream that goes on from there.
+
+    ``flights`` are the rows the stays were made from: a stay goes on from the
+    newest row of its aircraft.
+    """
+    return stays.where(F.col("exit_timestamp").isNull()).join(newest_rows(flights), "callsign").select(
+        "callsign", F.col("sector_name").alias("sector"), F.unix_micros(F.col("entry_timestamp").cast("timestamp")).alias("entry_us"),
+        "entry_lat", "entry_lon", "entry_altitude", F.unix_micros(F.col("newest").cast("timestamp")).alias("last_us"),
+        F.col("new_lat").alias("last_lat"), F.col("new_lon").alias("last_lon"), F.col("new_altitude").alias("last_altitude"),
+    )
+
+
+def open_stays(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The stays that are open after the last finished batch, read from the stream's own state.
+
+    They have the columns of closed stays and no exit, as the batch operator
+    gives them, so ``stale_sector_close`` and reports run on both together.
+    """
+    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "stay").load()
+    v = F.col("value")
+    none = {"exit_lat": "double", "exit_lon": "double", "exit_altitude": "int"}
+    return held.where(v["sector"] != "").select(
+        F.col("key.callsign").alias("callsign"), v["sector"].alias("sector_name"),
+        F.timestamp_micros(v["entry_us"]).alias("entry_timestamp"), F.lit(None).cast("timestamp").alias("exit_timestamp"),
+        F.lit(0).cast("int").alias("duration_seconds"), v["entry_lat"].alias("entry_lat"), v["entry_lon"].alias("entry_lon"),
+        v["entry_altitude"].alias("entry_altitude"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()],
+    ).select(*STAY_COLUMNS)
+
+
+def sector_stays_stream(
+    flights: DataFrame, sectors: DataFrame, delay: str = "2 minutes", initial: DataFrame | None = None
+) -> DataFrame:
+    """Closed stays of a stream of stored positions; ``open_stays`` has the others.
+
+    ``initial`` is the state to start from (``state_of``), used by the first
+    batch of a new checkpoint.
 
     A stay is given out when the aircraft changes sector or slows down, when a
     later row follows a gap, or when the watermark passes the gap. Rows are applied
@@ -128,5 +174,6 @@ def sector_stays_stream(flights: DataFrame, sectors: DataFrame, delay: str = "2
         "latitude", "longitude", "altitude", seen.alias("seen"),
     )
     return rows.groupBy("callsign").transformWithStateInPandas(
-        SectorStays(), outputStructType=STAY, outputMode="append", timeMode="eventTime"
+        SectorStays(), outputStructType=STAY, outputMode="append", timeMode="eventTime",
+        initialState=None if initial is None else initial.groupBy("callsign"),
     )

@@ -1,7 +1,9 @@
 import random
 from datetime import datetime, timedelta
 
-from airtrace.operators.sectors import sector_stays
+from pyspark.sql import functions as F
+
+from airtrace.operators.sectors import sector_stays, stale_sector_close
 from airtrace.registry.streaming_queries import stream_settings
 from airtrace.sources.reference import rectangle_sectors
 from airtrace.streaming import sector_stream, windows
@@ -58,8 +60,46 @@ def test_late_rows_over_many_batches_equal_the_batch_operator(spark, tmp_path):
             spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(source)
             flights = spark.readStream.schema(SCHEMA).parquet(source)
             windows.start_append(sector_stream.sector_stays_stream(flights, sectors, "6 minutes"), out, state, availableNow=True).awaitTermination()
-    want = sector_stays(spark.createDataFrame(rows + [last], SCHEMA), sectors)
-    key = ("callsign", "sector_name", "entry_timestamp", "duration_seconds", "exit_altitude")
-    want = sorted(tuple(r[k] for k in key[:3]) for r in want.collect() if r.callsign != "Z")
-    got = sorted(tuple(r[k] for k in key[:3]) for r in spark.read.schema(sector_stream.STAY).parquet(out).collect())
-    assert got == want
+    # the watermark ends six minutes before the last row
+    want = sector_stays(spark.createDataFrame(rows + [last], SCHEMA), sectors, as_of=F.lit(last[6] - timedelta(minutes=6)))
+    got = spark.read.schema(sector_stream.STAY).parquet(out)
+    assert all_columns(got) == all_columns(want.where("callsign <> 'Z'")) and got.count() > 20
+
+
+def all_columns(stays):
+    assert sorted(stays.columns) == sorted(sector_stream.STAY_COLUMNS)
+    return sorted((tuple(r) for r in stays.select(*sector_stream.STAY_COLUMNS).collect()), key=str)
+
+
+def test_open_stays_and_a_start_from_batch_stays(spark, tmp_path):
+    """The first half in one batch run, the second half as a stream of ten batches that goes on from its open stays."""
+    rng = random.Random(11)
+    rows, n = [], 0
+    for who in "ABCDE":
+        for minute in range(120):
+            n += 1
+            if rng.random() < 0.9 and not (who == "E" and minute > 50):  # E falls silent before the stream begins
+                lat = None if rng.random() < 0.1 else 5.0
+                rows.append((n, who, lat, rng.choice([2.0] * 6 + [12.0]), n, rng.choice([200] * 8 + [30, None]), T0 + timedelta(minutes=minute)))
+    tick = (9999, "Z", None, None, None, None, T0 + timedelta(minutes=122))
+    sectors = rectangle_sectors(spark.createDataFrame(
+        [(1, "R", 0.0, 10.0, 0.0, 10.0), (2, "S", 10.0, 20.0, 0.0, 10.0)],
+        "ord int, sector_name string, lon_min double, lon_max double, lat_min double, lat_max double"))
+    early, late = ([r for r in rows if (r[6] < T0 + timedelta(minutes=60)) == first] for first in (True, False))
+    before = spark.createDataFrame(early, SCHEMA)
+    first = sector_stays(before, sectors)
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    with stream_settings(spark, **{"spark.sql.streaming.stateStore.providerClass": sector_stream.PROVIDER, "spark.sql.shuffle.partitions": "2"}):
+        for i in range(10):
+            part = [r for r in late if (r[6] - T0).seconds // 360 - 10 == i] + ([tick] if i == 9 else [])
+            spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+            flights = spark.readStream.schema(SCHEMA).parquet(source)
+            stays = sector_stream.sector_stays_stream(flights, sectors, "2 minutes", sector_stream.state_of(first, before))
+            windows.start_append(stays, out, state, availableNow=True).awaitTermination()
+        held = sector_stream.open_stays(spark, state)
+        found = first.where("exit_timestamp is not null").unionByName(spark.read.schema(sector_stream.STAY).parquet(out)).unionByName(held)
+        whole = spark.createDataFrame(rows, SCHEMA)
+        want = sector_stays(whole, sectors, as_of=F.lit(T0 + timedelta(minutes=120)))
+        assert all_columns(found) == all_columns(want) and held.count() > 0
+        later = F.lit(T0 + timedelta(hours=9))
+        assert all_columns(stale_sector_close(found, whole, later)) == all_columns(stale_sector_close(want, whole, later))
