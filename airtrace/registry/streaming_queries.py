@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from airtrace import schemas
 from airtrace.operators import filters as X
 from airtrace.registry.base import query
 from airtrace.registry.filter_queries import (
@@ -18,7 +19,9 @@ from airtrace.registry.filter_queries import (
 from airtrace.registry.match_queries import LIMIT_CASE, NM
 from airtrace.registry.source_queries import landed_polls
 from airtrace.session import materialise, shared_folder
+from airtrace.sources import tables
 from airtrace.sources.reference import rectangle_sectors
+from airtrace.sources.snapshots import src_snapshots
 from airtrace.streaming import ingest, sector_stream, windows
 
 # State partitions of these runs; a cluster sets its own number.
@@ -72,15 +75,49 @@ def ingest_poll(t):
     return result
 
 
+_PLAN = "callsign, cid, logon_time, last_updated as seen"
+
+
+@query(
+    "ingest_compacted",
+    f"""select 'flights' as table_name, {_PLAN}, aircraft_type, departure, arrival, latitude, longitude, null as frequency, null as entity_type from parsed_flights
+ where (latitude is null or longitude is null or {_IN_FLIGHT}) and departure <> '' and arrival <> ''
+union all select 'controllers', {_PLAN}, null, null, null, null, null, frequency, null from fx_controllers where callsign in (select callsign from allowed)
+union all select 'transceivers', t.callsign, null, null, t.ts, null, null, null, t.position_lat, t.position_lon, cast(t.frequency as varchar),
+  case when f.callsign is null and c.callsign is not null then 'atc' else 'flight' end from fx_transceivers t
+ left join (select distinct callsign, last_updated from fx_flights) f on f.callsign = t.callsign and f.last_updated = t.ts
+ left join (select distinct callsign, last_updated from fx_controllers) c on c.callsign = t.callsign and c.last_updated = t.ts
+ where (t.position_lat is null or t.position_lon is null or {_IN_RADIO}) and t.frequency not in (118000000, 118505000, 118700000)""",
+)
+def ingest_compacted(t):
+    """All stored rows after batches, a batch that ran again, compaction and vacuum."""
+    out, state = shared_folder(t.spark, "ingested"), shared_folder(t.spark, "ingest-state")
+    kept = ingest.Filters(boundary=RING, allow=allowed(t), excluded_mhz=EXCLUDED_MHZ)
+    polls = landed_polls(t)
+    with stream_settings(t.spark):
+        ingest.start_ingest(t.spark, polls, out, state, kept, files_per_batch=3, availableNow=True).awaitTermination()
+        stream = next(k for k in tables.latest(t.spark, out).marks if k.startswith("ingest-")).removeprefix("ingest-")
+        last = int(tables.latest(t.spark, out).marks[f"ingest-{stream}"].rsplit("-", 1)[1])
+        ingest.ingest_batch(src_snapshots(t.spark, polls, schemas.POLL), out, kept, stream, last)  # done already
+        ingest.compact_ingested(t.spark, out)
+        tables.vacuum(t.spark, out, keep=1)
+    columns = ["callsign", "cid", "logon_time", "seen", "aircraft_type", "departure", "arrival", "latitude", "longitude", "frequency", "entity_type"]
+    named = {"timestamp": "seen", "last_updated": "seen", "position_lat": "latitude", "position_lon": "longitude"}
+    result = None
+    for name in ("flights", "controllers", "transceivers"):
+        rows = ingest.ingested(t.spark, out, name).withColumnsRenamed(named)
+        rows = rows.select(F.lit(name).alias("table_name"), *[
+            F.col(c).cast("string" if c == "frequency" else rows.schema[c].dataType).alias(c) if c in rows.columns else F.lit(None).alias(c) for c in columns])
+        result = rows if result is None else result.unionByName(rows)
+    return result
+
+
 @query(
     "ingest_poll_batch",
     f"""select callsign, aircraft_type, departure, arrival, last_updated from parsed_flights
 where (latitude is null or longitude is null or {_IN_FLIGHT}) and departure <> '' and arrival <> ''""",
 )
 def ingest_poll_batch(t):
-    from airtrace import schemas
-    from airtrace.sources.snapshots import src_snapshots
-
     polls = src_snapshots(t.spark, landed_polls(t), schemas.POLL)
     flights = ingest.ingest_poll(polls, ingest.Filters(boundary=RING))["flights"]
     return flights.select("callsign", "aircraft_type", "departure", "arrival", "last_updated")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from airtrace.operators.filters import (
     Ring, filter_boundary_flights, filter_boundary_transceivers, filter_callsign_pattern,
     filter_controller_allowlist, filter_frequency, filter_incomplete_plan,
 )
+from airtrace.sources import tables
 from airtrace.sources.snapshots import (
     link_transceivers, parse_controllers, parse_flights, parse_transceivers, stream_snapshots,
 )
@@ -25,6 +27,8 @@ ROW_KEYS = {
     "transceivers": ("callsign", "transceiver_id", "frequency", "position_lat", "position_lon", "entity_type"),
 }
 TIME_COLUMNS = {"flights": "last_updated", "controllers": "last_updated", "transceivers": "timestamp"}
+# Radios of aircraft and of stations are read apart, so they are stored apart below the date.
+KINDS = {"transceivers": ("entity_type",)}
 
 
 @dataclass(frozen=True)
@@ -65,29 +69,57 @@ def ingest_poll(polls: DataFrame, filters: Filters) -> dict[str, DataFrame]:
     }
 
 
+def ingest_batch(polls: DataFrame, store: str, filters: Filters, stream: str, batch: int) -> tables.Version:
+    """Stage the rows of one batch of polls in all three tables and publish them together.
+
+    The polls are read and parsed from JSON once. A batch that has been published
+    is not taken again; one that died before leaves nothing that is seen, and
+    overwrites its own files.
+    """
+    spark, run = polls.sparkSession, f"{stream}-{batch}"
+    now = tables.latest(spark, store)
+    if now.marks.get(f"ingest-{stream}") == run:
+        return now
+    if any(e.run == run for e in now.entries):
+        raise RuntimeError(f"run {run} is in the store already: a new stream needs a checkpoint folder of its own")
+    added, schemas_ = [], {}
+    polls = polls.persist()
+    try:
+        for name, df in ingest_poll(polls, filters).items():
+            entries, _ = tables.stage(df, store, name, run, TIME_COLUMNS[name], KINDS.get(name, ()))
+            added += entries
+            schemas_[name] = df.schema
+    finally:
+        polls.unpersist()
+    return tables.publish(spark, store, tables.Change(f"ingest-{stream}", run, tuple(added), (), schemas_))
+
+
 def start_ingest(
     spark: SparkSession, landing: str, out: str, checkpoint: str, filters: Filters, files_per_batch: int = 1000,
     **trigger,
 ) -> StreamingQuery:
-    """Stream the landing folder into one Parquet table per kind.
+    """Stream the landing folder into the three tables of a store, a published run per micro-batch.
 
-    A micro-batch overwrites its own ``batch`` folder, so a batch that is run
-    again after a lost executor or driver leaves no second copy.
+    Runs are named by the checkpoint folder and the batch. Call ``compact_ingested``
+    from time to time: a minute makes small files.
     """
-    def store(batch: DataFrame, batch_id: int) -> None:
-        for name, df in ingest_poll(batch, filters).items():
-            dated = df.withColumn("date", F.to_date(TIME_COLUMNS[name]))
-            dated.write.mode("overwrite").partitionBy("date").parquet(f"{out}/{name}/batch={batch_id}")
-
+    stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
     polls = stream_snapshots(spark, landing, schemas.POLL, files_per_batch)
     return (
-        polls.writeStream.foreachBatch(store)
+        polls.writeStream.foreachBatch(lambda batch, number: ingest_batch(batch, out, filters, stream, number) and None)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "60 seconds"}))
         .start()
     )
 
 
-def ingested(spark: SparkSession, out: str, name: str) -> DataFrame:
-    """The stored rows of one table."""
-    return spark.read.parquet(f"{out}/{name}").drop("batch", "date")
+def ingested(spark: SparkSession, out: str, name: str, **where) -> DataFrame:
+    """The stored rows of one table; ``since`` and ``until`` are dates."""
+    return tables.read(spark, out, name, **where)
+
+
+def compact_ingested(spark: SparkSession, out: str) -> tables.Version:
+    """Merge what many batches have added to a date; readers see the old files or the new ones, never both."""
+    for name, time in TIME_COLUMNS.items():
+        version = tables.compact(spark, out, name, time, KINDS.get(name, ()))
+    return version

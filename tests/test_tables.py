@@ -5,9 +5,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from airtrace import schemas
 from airtrace.plans import lifecycle as L
 from airtrace.session import folders, materialise, owned_files
 from airtrace.sources import tables
+from airtrace.streaming import ingest
 
 T0 = datetime(2025, 1, 1, 10)
 SCHEMA = "id long, kind string, seen timestamp"
@@ -174,3 +176,60 @@ def test_controllers_run(spark, store):
     assert table(spark, store, "controllers_archive", "id") == [(i,) for i in range(1, 6)]
     # the one without a cid gets no summary and stays, the second run has no work
     assert L.process_controllers_written(spark, store, "2025-01-02 10:01:00")["summaries_created"] == 0
+
+
+# ---------------------------------------------------------------- ingest
+
+
+def radio_rows(spark, store, **where):
+    return sorted(map(str, ingest.ingested(spark, store, "transceivers", **where).collect()))
+
+
+def test_ingest_repeats_compacts_and_prunes(spark, store, tmp_path):
+    import json
+
+    from tests.test_chain import poll
+
+    (tmp_path / "landing").mkdir()
+    for day in range(3):
+        for minute in range(4):
+            text = json.dumps(poll(minute)).replace("2025-01-01T10", f"2025-01-0{day + 1}T10")
+            (tmp_path / "landing" / f"{day}{minute}.json").write_text(text + "\n")
+    landing = str(tmp_path / "landing")
+    ingest.start_ingest(spark, landing, store, str(tmp_path / "state"), ingest.Filters(), files_per_batch=2, availableNow=True).awaitTermination()
+    rows = radio_rows(spark, store)
+    version = tables.latest(spark, store)
+    (kind, run), = version.marks.items()
+    assert len(rows) == 24 and len(version.of("transceivers")) > 6
+    # the last batch again: done already; an older one again: refused, as its files are in use
+    polls = spark.read.schema(schemas.POLL).json(landing)
+    stream, last = run.rsplit("-", 1)
+    assert ingest.ingest_batch(polls, store, ingest.Filters(), stream, int(last)).number == version.number
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        ingest.ingest_batch(polls, store, ingest.Filters(), stream, int(last) - 1)
+    assert radio_rows(spark, store) == rows
+    after = ingest.compact_ingested(spark, store)
+    assert [e.part for e in after.of("transceivers")] == [f"date=2025-01-0{d}/entity_type={k}" for d in (1, 2, 3) for k in ("atc", "flight")]
+    tables.vacuum(spark, store, keep=1)
+    assert radio_rows(spark, store) == rows
+    # only the folders of the date and the kind are read
+    out = ingest.ingested(spark, store, "transceivers", partitions=True).where("date = date'2025-01-02' and entity_type = 'atc'")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "entity_type" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert len(out.inputFiles()) <= 6 and out.count() == 4
+    assert len(radio_rows(spark, store, since="2025-01-02", until="2025-01-02")) == 8
+
+
+def test_a_batch_is_parsed_once(spark, store, tmp_path, monkeypatch):
+    import json
+
+    from tests.test_chain import poll
+
+    (tmp_path / "p.json").write_text(json.dumps(poll(0)) + "\n")
+    polls = spark.read.schema(schemas.POLL).json(str(tmp_path / "p.json"))
+    plans = []
+    stage = tables.stage
+    monkeypatch.setattr(tables, "stage", lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, *a, **k))
+    ingest.ingest_batch(polls, store, ingest.Filters(), "s", 0)
+    assert len(plans) == 3 and all("InMemoryTableScan" in p for p in plans)
+    assert not polls.storageLevel.useMemory  # and let go afterwards
