@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from airtrace.functions.callsign import SESSION_ORDER, position_type
 from airtrace.functions.exact import rounded_avg, rounded_ratio
 from airtrace.functions.values import ago, object_keys
 from airtrace.plans.flight_reports import latest_rows_by
+from airtrace.session import materialise
+from airtrace.sources import tables
 
 HANDLED = "total_aircraft_handled"
 MINUTES = "session_duration_minutes"
@@ -103,6 +105,63 @@ def controller_weekly_stats(summaries: DataFrame, as_of, days: int = 7) -> DataF
     )
 
 
+def day_states(summaries: DataFrame) -> DataFrame:
+    """What a week's statistics need of each day: per date, controller and flight its entries and last time."""
+    rows = summaries.where(F.col("completion_time").isNotNull())
+    keys = rows.select(
+        F.to_date("completion_time").alias("day"), "completion_time", "callsign",
+        F.explode(object_keys(rows, "controller_callsigns")).alias("controller_callsign"))
+    return keys.groupBy("day", "controller_callsign", "callsign").agg(
+        F.count(F.lit(1)).alias("interactions"), F.max("completion_time").alias("last_flight_time"))
+
+
+def refresh_day_states(spark: SparkSession, store: str) -> tables.Version:
+    """Bring the stored day states up to the summaries of a store.
+
+    Only runs that have added summaries since the last refresh are looked at,
+    and only the days they touch are computed again; the other days of a month
+    are carried over as they are. A repeat changes nothing.
+    """
+    now = tables.latest(spark, store)
+    entries = now.of("flight_summaries")
+    known = set(now.marks.get("day-states", "").split(","))
+    new = [e for e in entries if e.run not in known]
+    if not new:
+        return now
+    days = [r.day for r in tables.read(spark, store, "flight_summaries", now, new).where(
+        "completion_time is not null").select(F.to_date("completion_time").alias("day")).distinct().collect()]
+    months = {e.part for e in new}
+    rows = tables.read(spark, store, "flight_summaries", now, [e for e in entries if e.part in months])
+    states = day_states(rows.where(F.to_date("completion_time").isin(days)))
+    old = [e for e in now.of("controller_days") if e.part in months]
+    if old:
+        kept = tables.read(spark, store, "controller_days", now, old).where(~F.col("day").isin(days))
+        states = states.unionByName(kept)
+    made, _ = tables.stage(states, store, "controller_days", f"days-{now.number}", "last_flight_time", grain="month")
+    runs = ",".join(sorted({e.run for e in entries}))
+    return tables.publish(spark, store, tables.Change("day-states", runs, tuple(made), tuple(old), {"controller_days": states.schema}))
+
+
+def controller_weekly_stored(spark: SparkSession, store: str, as_of, days: int = 7) -> DataFrame:
+    """``controller_weekly_stats`` from stored day states.
+
+    Whole days come from their states; of the day the window begins in, only its
+    later summaries count, so that one day is read itself.
+    """
+    start = ago(as_of, days=days)
+    first, month = spark.range(1).select(*[
+        d.cast("string") for d in (F.to_date(start), F.to_date(F.date_trunc("month", start)))]).first()
+    now = tables.latest(spark, store)
+    whole = tables.read(spark, store, "controller_days", now, since=month).where(F.col("day") > F.lit(first).cast("date"))
+    edge = tables.read(spark, store, "flight_summaries", now, since=month, until=month).where(
+        (F.col("completion_time") >= start) & (F.to_date("completion_time") == F.lit(first).cast("date")))
+    return whole.unionByName(day_states(edge)).groupBy("controller_callsign").agg(
+        F.countDistinct("callsign").alias("unique_flights_handled"),
+        F.max("last_flight_time").alias("last_flight_time"),
+        F.sum("interactions").alias("total_interactions"),
+    )
+
+
 def _recent_controllers(controllers: DataFrame, as_of, days: int, ratings=None) -> DataFrame:
     rows = controllers.where(F.col("last_updated") >= ago(as_of, days=days))
     if ratings:
@@ -146,26 +205,28 @@ def flights_per_controller_radio(
 ) -> DataFrame:
     """Distinct flights that share a frequency with the controller, top ``n``.
 
-    Both radio sides are reduced to distinct (callsign, frequency) before they
-    meet, and aircraft to those seen in the week, so a busy frequency costs its
-    distinct callsigns and not its rows.
+    Callsigns of the week's aircraft are numbered, and a frequency's aircraft
+    are exact bitmaps over blocks of numbers. A controller's frequencies are
+    united block by block and their bits counted, so a busy frequency costs a
+    bit per callsign, and no pair of callsigns is ever made.
     """
     week = ago(as_of, days=7)
     staff = controllers.where((F.col("last_updated") >= week) & F.col("rating").isin(2, 3)).select(
         "callsign", "name", "rating"
     ).distinct()
-    seen = flights.where(F.col("last_updated") >= week).select("callsign").distinct()
-
-    def tuned(kind: str, who: DataFrame) -> DataFrame:
-        rows = transceivers.where(F.col("entity_type") == kind).select("callsign", "frequency")
-        return rows.join(who.select("callsign"), "callsign", "left_semi").distinct()
-
-    atc = tuned("atc", staff)
-    aircraft = tuned("flight", seen).withColumnRenamed("callsign", "flight_callsign")
-    heard = atc.join(aircraft, "frequency").groupBy("callsign").agg(
-        F.countDistinct("flight_callsign").alias("unique_flights_handled")
-    )
-    return staff.join(heard, "callsign").orderBy(
+    seen = flights.where((F.col("last_updated") >= week) & F.col("callsign").isNotNull()).select("callsign").distinct()
+    # written once: the numbers must be the same for all of a callsign's frequencies
+    numbered = materialise(seen.withColumn("_no", F.monotonically_increasing_id()), "callsigns")
+    kind = F.col("entity_type")
+    aircraft = transceivers.where(kind == "flight").select("callsign", "frequency").distinct().join(numbered, "callsign")
+    heard = aircraft.groupBy("frequency", F.bitmap_bucket_number("_no").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_no")).alias("bits"))
+    atc = transceivers.where(kind == "atc").select("callsign", "frequency").distinct()
+    atc = atc.join(staff.select("callsign"), "callsign", "left_semi")
+    united = atc.join(heard, "frequency").groupBy("callsign", "block").agg(
+        F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    handled = united.groupBy("callsign").agg(F.sum("n").alias("unique_flights_handled"))
+    return staff.join(handled, "callsign").orderBy(
         F.desc("unique_flights_handled"), "callsign", "name", "rating"
     ).limit(n)
 

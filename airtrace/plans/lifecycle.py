@@ -305,9 +305,9 @@ STORED_TIME = {
 STORED_GRAIN = {"flight_summaries": "month", "controller_summaries": "month"}
 
 
-def load_table(df: DataFrame, store: str, table: str) -> tables.Version:
+def load_table(df: DataFrame, store: str, table: str, run: str = "load") -> tables.Version:
     """Put rows into a table of a store as a run of their own."""
-    return tables.load(df, store, table, STORED_TIME[table], grain=STORED_GRAIN.get(table, "day"))
+    return tables.load(df, store, table, STORED_TIME[table], run, grain=STORED_GRAIN.get(table, "day"))
 
 
 @dataclass(frozen=True)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from airtrace.functions.exact import percent
-from airtrace.functions.values import at
+from airtrace.functions.values import ago, at
 from airtrace.operators.ordered import neighbour
+from airtrace.sources import tables as stored
 
 # The range rules of the stored tables.
 RULES: dict[str, dict[str, str]] = {
@@ -202,6 +203,48 @@ def freshness(tables: Mapping[str, tuple[DataFrame, str]], as_of) -> DataFrame:
     return out
 
 
+def stored_freshness(spark: SparkSession, store: str, as_of) -> DataFrame:
+    """The same from the manifest of a store: no table is read."""
+    newest = stored.statistics(spark, store).groupBy("table").agg(F.max("last").alias("last"))
+    return freshness({name: (newest.where(F.col("table") == name), "last") for name in FRESH_SECONDS}, as_of)
+
+
+def stored_counts(spark: SparkSession, store: str) -> DataFrame:
+    """Rows per required table from the manifest of a store; missing tables and columns as in ``table_counts``."""
+    now = stored.latest(spark, store)
+    counts = stored.statistics(spark, store).groupBy("table").agg(F.sum("rows").alias("n"))
+    rows = []
+    for name in REQUIRED_TABLES:
+        present = name in now.schemas
+        missing = [c for t, c in REQUIRED_COLUMNS if t == name and not (present and c in now.schemas[name].names)]
+        rows.append((name, present, ",".join(missing)))
+    needed = spark.createDataFrame(rows, "table_name string, present boolean, missing_columns string")
+    n_rows = F.when(F.col("present"), F.coalesce("n", F.lit(0)))
+    return needed.join(counts, F.col("table_name") == F.col("table"), "left").select(
+        "table_name", n_rows.cast("long").alias("n_rows"), "present", "missing_columns")
+
+
+def stored_activity(spark: SparkSession, store: str, names: Mapping[str, str], as_of) -> DataFrame:
+    """``recent_activity`` of stored tables (time column by name).
+
+    Totals and newest times come from the manifest; only folders whose newest
+    row is of the last hour are read for the counts.
+    """
+    now = stored.latest(spark, store)
+    hour = spark.range(1).select(F.unix_micros(ago(as_of, hours=1))).first()[0]
+    out = None
+    for name, time in names.items():
+        entries = now.of(name)
+        near = [e for e in entries if e.last is not None and e.last >= hour]
+        recent = recent_activity({name: (stored.read(spark, store, name, now, near), time)}, as_of)
+        newest = max((e.last for e in entries if e.last is not None), default=None)
+        row = recent.withColumns({
+            "total_rows": F.lit(sum(e.rows for e in entries)).cast("long"),
+            "most_recent_update": F.timestamp_micros(F.lit(newest).cast("long"))})
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def overall_freshness(per_table: DataFrame) -> DataFrame:
     """One row: stale tables, missing live tables and the state of the whole."""
     live = F.col("table_name").isin("controllers", "flights", "transceivers")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from airtrace.functions.values import at
 from airtrace.plans import controller_reports as R
+from airtrace.plans.lifecycle import load_table
 from airtrace.registry.base import avg_sql, query, ratio_sql, shared_cte
 from airtrace.registry.derived import AS_OF_EVENTS as NOW, AS_OF_ORDERS as ORDERS_NOW
+from airtrace.session import shared_folder
 
 E_NOW = f"timestamp '{NOW}'"
 O_NOW = f"timestamp '{ORDERS_NOW}'"
@@ -133,6 +135,21 @@ def controller_weekly_join(t):
     return R.controller_weekly_join(t.controllers, _weekly(t), NOW)
 
 
+def _stored_weekly(t):
+    """Summaries stored in two runs; the second refresh computes the days of the second run only."""
+    store = shared_folder(t.spark, "weekly")
+    late = F.pmod("id", F.lit(5)) == 0
+    for run, rows in (("first", t.flight_summaries.where(~late)), ("second", t.flight_summaries.where(late))):
+        load_table(rows, store, "flight_summaries", run)
+        R.refresh_day_states(t.spark, store)
+    return R.controller_weekly_stored(t.spark, store, ORDERS_NOW, days=WIDE_DAYS)
+
+
+@query("controller_weekly_stored", "select * from weekly")
+def controller_weekly_stored(t):
+    return _stored_weekly(t)
+
+
 @query(
     "controllers_no_activity",
     f"""select c.callsign, c.name, c.rating from fx_controllers c left join weekly w on c.callsign = w.controller_callsign

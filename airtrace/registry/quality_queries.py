@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from airtrace.plans import quality as Q
+from airtrace.plans.lifecycle import STORED_TIME, load_table
 from airtrace.registry.base import percent_sql, query
 from airtrace.registry.derived import AS_OF_EVENTS as NOW
 from airtrace.registry.sector_queries import stays
+from airtrace.session import shared_folder
 
 E_NOW = f"timestamp '{NOW}'"
 
@@ -181,6 +183,19 @@ def freshness_overall(t):
     return Q.overall_freshness(Q.freshness(_fresh_tables(t), NOW))
 
 
+def _fresh_store(t):
+    """The tables as a store, whose manifest holds rows and times of every folder."""
+    store = shared_folder(t.spark, "fresh")
+    for name, (df, _) in _fresh_tables(t).items():
+        load_table(df, store, name)
+    return store
+
+
+@query("freshness_stored", _fresh_sql())
+def freshness_stored(t):
+    return Q.stored_freshness(t.spark, _fresh_store(t), NOW)
+
+
 def _activity(name: str, source: str, time: str) -> str:
     within = ", ".join(
         f"count(case when {time} >= {E_NOW} - interval {span} then 1 end) as {label}"
@@ -248,3 +263,33 @@ def table_counts(t):
             "flight_sector_occupancy": stays(t), "controller_summaries": t.controller_summaries,
         }
     )
+
+
+@query(
+    "table_counts_stored",
+    """select 'flights' as table_name, count(*) as n_rows, true as present, '' as missing_columns from fx_flights
+union all select 'controllers', count(*), true, '' from fx_controllers
+union all select 'transceivers', count(*), true, '' from fx_transceivers
+union all select 'flight_summaries', count(*), true, '' from fx_flight_summaries
+union all select 'flight_sector_occupancy', count(*), true, '' from stays
+union all select 'flights_archive', null, false, 'deptime'
+union all select 'controller_summaries', null, false, ''
+union all select 'controllers_archive', null, false, ''""",
+)
+def table_counts_stored(t):
+    return Q.stored_counts(t.spark, _fresh_store(t))
+
+
+@query(
+    "recent_activity_stored",
+    "\nunion all ".join(
+        _activity(n, s, c)
+        for n, s, c in (
+            ("flights", "fx_flights", "last_updated"), ("controllers", "fx_controllers", "last_updated"),
+            ("transceivers", "fx_transceivers", "ts"), ("flight_sector_occupancy", "stays", "entry_timestamp"),
+        )
+    ),
+)
+def recent_activity_stored(t):
+    names = ("flights", "controllers", "transceivers", "flight_sector_occupancy")
+    return Q.stored_activity(t.spark, _fresh_store(t), {n: STORED_TIME[n] for n in names}, NOW)

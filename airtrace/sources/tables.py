@@ -20,16 +20,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from airtrace.session import folders, remove, sortable_times
 
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
-MANIFEST = "table string, part string, run string, mark string, made_by string, columns string"
+MANIFEST = (
+    "table string, part string, run string, rows long, first long, last long, mark string, made_by string, columns string"
+)
 
 
 @dataclass(frozen=True, order=True)
@@ -39,6 +41,10 @@ class Entry:
     table: str
     part: str
     run: str
+    # rows, and the first and last time in them in microseconds since 1970
+    rows: int = field(default=0, compare=False)
+    first: int | None = field(default=None, compare=False)
+    last: int | None = field(default=None, compare=False)
 
     @property
     def folder(self) -> str:
@@ -85,7 +91,7 @@ def latest(spark: SparkSession, store: str) -> Version:
         if rows:
             return Version(
                 number,
-                frozenset(Entry(r.table, r.part, r.run) for r in rows if r.part is not None),
+                frozenset(Entry(r.table, r.part, r.run, r.rows, r.first, r.last) for r in rows if r.part is not None),
                 {r.mark: r.made_by for r in rows if r.mark is not None},
                 {r.table: StructType.fromJson(json.loads(r.columns)) for r in rows if r.columns is not None},
             )
@@ -127,8 +133,20 @@ def stage(
         if df.isEmpty():
             return [], 0
         raise
-    parts = sorted(_part(p, keys) for p in counted["parts"])
-    return [Entry(table, p, run) for p in parts], int(counted["rows"])
+    entries = sorted(Entry(table, _part(p, keys), run) for p in counted["parts"])
+    return _measured(df.sparkSession, store, entries, keys, df.schema[time], time), int(counted["rows"])
+
+
+def _measured(spark: SparkSession, store: str, entries: list[Entry], keys: list[str], kind, time: str) -> list[Entry]:
+    """The entries with their rows and times, from a second look at one column of what was just written."""
+    if not entries:
+        return []
+    schema = StructType([kind, *[StructField(k, DateType() if k == "date" else StringType()) for k in keys]])
+    rows = spark.read.schema(schema).option("basePath", f"{store}/{entries[0].table}").parquet(*[f"{store}/{e.folder}" for e in entries])
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("a"), F.max(us).alias("b")).collect()
+    by = {_part(r, keys): r for r in found}
+    return [replace(e, rows=by[e.part].n, first=by[e.part].a, last=by[e.part].b) for e in entries]
 
 
 def publish(spark: SparkSession, store: str, change: Change) -> Version:
@@ -145,8 +163,8 @@ def publish(spark: SparkSession, store: str, change: Change) -> Version:
     number = max(_numbers(spark, store), default=0) + 1
     after = Version(
         number, (now.entries - set(change.removed)) | set(change.added), {**now.marks, change.kind: change.run}, columns)
-    blank = dict.fromkeys(("part", "run", "mark", "made_by", "columns"))
-    rows = [{**blank, "table": e.table, "part": e.part, "run": e.run} for e in sorted(after.entries)]
+    blank = dict.fromkeys(("part", "run", "rows", "first", "last", "mark", "made_by", "columns"))
+    rows = [{**blank, "table": e.table, "part": e.part, "run": e.run, "rows": e.rows, "first": e.first, "last": e.last} for e in sorted(after.entries)]
     rows += [{**blank, "table": "", "mark": k, "made_by": v} for k, v in sorted(after.marks.items())]
     rows += [{**blank, "table": t, "columns": s.json()} for t, s in sorted(columns.items())]
     order = [f.strip().split()[0] for f in MANIFEST.split(",")]
@@ -191,6 +209,13 @@ def read(
     return rows if partitions else rows.select(*schema.names)
 
 
+def statistics(spark: SparkSession, store: str) -> DataFrame:
+    """Rows and first and last time per partition folder, from the manifest alone."""
+    rows = [(e.table, e.part, e.run, e.rows, e.first, e.last) for e in sorted(latest(spark, store).entries)]
+    found = spark.createDataFrame(rows, "table string, part string, run string, rows long, first long, last long")
+    return found.withColumns({c: F.timestamp_micros(c) for c in ("first", "last")})
+
+
 def load(df: DataFrame, store: str, table: str, time: str, run: str = "load", by: Sequence[str] = (), grain: str = "day") -> Version:
     """Put rows into a table as a run of their own."""
     entries, _ = stage(df, store, table, run, time, by, grain=grain)
