@@ -9,6 +9,10 @@ JSON that names an algorithm.
 
 A key is tried wherever its first characters stand, also within a longer run,
 and read across line breaks (also written as \\n) as far as its own lengths say.
+Symbols that line breaks join are decoded once for each alignment, and every
+start is parsed in place in that buffer: a length that leaves it is refused
+before anything is copied, so the time does not grow with the number of starts
+times the length of the text.
 Of dotted parts every three neighbours are tried as a token. A PEM key whose
 header lines say that it is encrypted cannot be decoded; it counts if these
 lines are complete and the body is whole cipher blocks.
@@ -25,6 +29,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -42,9 +48,11 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
 #: A header starts with a brace, if it does not start where its part does.
 HEADER = re.compile(r"e[w-z0-9_-]")
+#: A brace and, unless only blanks follow, the quote of a first name or the closing brace.
+OPENING = re.compile(r"[ \t\r\n]*\{[ \t\r\n]*[\"}]")
 #: Where a key can start: 0x30 and a length from 32 on, or the magic of OpenSSH.
 STARTS = (
     ("base64", re.compile(r"M[C-I]|b3BlbnNzaC")),
@@ -105,11 +113,11 @@ def is_private_der(data: bytes) -> bool:
     return False
 
 
-def openssh_end(data: bytes) -> int:
-    """Where the length-prefixed strings after the magic end, or -1 if they do not stay inside the data."""
-    if not data.startswith(OPENSSH):
+def openssh_end(data: bytes, at: int = 0) -> int:
+    """Where the length-prefixed strings after the magic at ``at`` end, or -1 if they do not stay inside the data."""
+    if not data.startswith(OPENSSH, at):
         return -1
-    at = len(OPENSSH)
+    at += len(OPENSSH)
 
     def skip(at: int) -> int:
         end = at + 4 + int.from_bytes(data[at:at + 4], "big")
@@ -166,66 +174,138 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def gathered(text: str, at: int, form: str, most: int) -> tuple[str, int]:
-    """Up to ``most`` symbols from ``at`` on, across line breaks, and where they end."""
-    parts, size, end = [], 0, at
-    while size < most and (m := SYMBOLS[form].match(text, at)):
-        part = m[0][: most - size]
-        parts.append(part)
-        size += len(part)
-        end = m.start() + len(part)
-        if not (gap := BREAK.match(text, m.end())):
-            break
-        at = gap.end()
-    return "".join(parts), end
-
-
-def unpack(symbols: str, form: str) -> bytes:
-    return decoded(symbols) if form == "base64" else bytes.fromhex(symbols[: len(symbols) // 2 * 2])
-
-
 def symbols_of(n: int, form: str) -> int:
     return -(-n * 4 // 3) if form == "base64" else 2 * n
 
 
-def key_at(text: str, at: int, form: str) -> tuple[str, int] | None:
-    """Kind and end of the key that starts at ``at``."""
-    head, _ = gathered(text, at, form, symbols_of(9, form))
-    data = unpack(head, form)
-    if len(data) < 9:
+class Chain:
+    """The symbols from a place on that only line breaks interrupt, decoded once for each alignment."""
+
+    def __init__(self, text: str, at: int, form: str):
+        self.form, self.start = form, at
+        self.places: list[int] = []  # where each part stands in the text
+        self.counts: list[int] = []  # and how many symbols there are before it
+        parts, size = [], 0
+        while m := SYMBOLS[form].match(text, at):
+            parts.append(m[0])
+            self.places.append(at)
+            self.counts.append(size)
+            size += len(m[0])
+            self.end = m.end()
+            if not (gap := BREAK.match(text, m.end())):
+                break
+            at = gap.end()
+        self.symbols = "".join(parts)
+        self.buffers: dict[int, bytes] = {}
+
+    def index(self, place: int) -> int:
+        """The number of the symbol at a place of the text."""
+        part = bisect_right(self.places, place) - 1
+        return self.counts[part] + place - self.places[part]
+
+    def place_after(self, n: int) -> int:
+        """Where the first ``n`` symbols end in the text."""
+        part = bisect_right(self.counts, n - 1) - 1
+        return self.places[part] + n - self.counts[part]
+
+    def data(self, index: int) -> tuple[bytes, int]:
+        """A buffer and where in it the symbol's bytes begin."""
+        group, width = (4, 3) if self.form == "base64" else (2, 1)
+        turn = index % group
+        if turn not in self.buffers:
+            rest = len(self.symbols) - turn
+            # a last symbol that does not fill a byte is none
+            symbols = self.symbols[turn:len(self.symbols) - (1 if rest % group == 1 else 0)]
+            self.buffers[turn] = decoded(symbols) if self.form == "base64" else bytes.fromhex(symbols)
+        return self.buffers[turn], (index - turn) // group * width
+
+
+def key_at(chain: Chain, at: int) -> tuple[str, int] | None:
+    """Kind and number of symbols of the key that starts at the symbol ``at``."""
+    data, start = chain.data(at)
+    if len(data) - start < 9:
         return None
-    if data[0] == SEQUENCE:
-        width = data[1] & 0x7F if data[1] & 0x80 else 0
-        if width > 4 or data[1] == 0x80 or data[2 + width] not in (INTEGER, SEQUENCE):
+    if data[start] == SEQUENCE:
+        length = data[start + 1]
+        width = length & 0x7F if length & 0x80 else 0
+        if width > 4 or length == 0x80:
             return None
-        size = 2 + width + (int.from_bytes(data[2:2 + width], "big") if width else data[1])
-        symbols, end = gathered(text, at, form, symbols_of(size, form))
-        data = unpack(symbols, form)
-        if len(data) != size or not is_private_der(data):
+        inner = start + 2 + width
+        size = 2 + width + (int.from_bytes(data[start + 2:inner], "big") if width else length)
+        if start + size > len(data) or inner + 3 > len(data):
             return None
-        kind = "der"
-    elif data == OPENSSH[:9]:
-        symbols, _ = gathered(text, at, form, len(text))
-        spare = len(symbols) % 4 == 1 and form == "base64"  # what follows the key may not fill a byte
-        size = openssh_end(unpack(symbols[:-1] if spare else symbols, form))
-        if size < 0:
+        # the first field is a version of one byte or an algorithm
+        versioned = data[inner] == INTEGER and data[inner + 1] == 1 and data[inner + 2] <= 1
+        if not (versioned or data[inner] == SEQUENCE) or not is_private_der(data[start:start + size]):
             return None
-        _, end = gathered(text, at, form, symbols_of(size, form))
-        kind = "openssh"
-    else:
-        return None
-    return kind, PADDING.match(text, end).end() if form == "base64" else end
+        return "der", symbols_of(size, chain.form)
+    if data.startswith(OPENSSH, start):
+        end = openssh_end(data, start)
+        return None if end < 0 else ("openssh", symbols_of(end - start, chain.form))
+    return None
+
+
+def key_spans(text: str, form: str, starts: re.Pattern) -> Iterator[tuple[str, int, int]]:
+    chain, upto = None, 0
+    for m in starts.finditer(text):
+        if m.start() < upto:
+            continue
+        if chain is None or m.start() >= chain.end:
+            chain = Chain(text, m.start(), form)
+        at = chain.index(m.start())
+        if key := key_at(chain, at):
+            upto = chain.place_after(at + key[1])
+            upto = PADDING.match(text, upto).end() if form == "base64" else upto
+            yield key[0], m.start(), upto
+
+
+def token_starts(header: str, payload: str) -> Iterator[int]:
+    """Where in a dotted part a header can start that ends with the part.
+
+    The part is decoded once for each alignment. JSON is read in place with every
+    byte as a character, which fails at once for almost all starts; the token
+    itself is judged afterwards.
+    """
+    buffers: dict[int, str] = {}
+    for i in (0, *(m.start() for m in HEADER.finditer(header, 1))):
+        if len(header) - i < 8:
+            return
+        turn = i % 4
+        if turn not in buffers:
+            buffers[turn] = decoded(header[turn:]).decode("latin-1")
+        body, at = buffers[turn], (i - turn) // 4 * 3
+        if OPENING.match(body, at) and _is_object_to_the_end(body, at):
+            yield i
+
+
+def _is_object_to_the_end(body: str, at: int) -> bool:
+    """Whether JSON from ``at`` on fills the rest; read in growing windows, as a failure costs the length it is given."""
+    window = 256
+    while True:
+        part = body[at:at + window]
+        try:
+            json.loads(part)
+            return at + window >= len(body)
+        except RecursionError:
+            return False
+        except ValueError as error:
+            # an error before the end of the window is one of the whole text too
+            cut = error.msg.startswith("Unterminated") or error.pos >= len(part) - 12
+            if at + window >= len(body) or not cut:
+                return False
+        window *= 8
 
 
 def token_spans(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
     """Signed tokens among the dotted parts of a run."""
     found = []
-    for run in DOTTED.finditer(text, start, end):
-        parts, at = run[0].split("."), run.start()
+    for stretch in DOTTED.finditer(text, start, end):
+        run = stretch[0].lstrip(".")
+        parts, at = run.split("."), stretch.end() - len(run)
         for header, payload, signature in zip(parts, parts[1:], parts[2:]):
             if len(header) >= 8 and len(payload) >= 2 and decoded(payload).strip()[:1] == b"{":
-                for i in (0, *(m.start() for m in HEADER.finditer(header, 1))):
-                    if len(header) - i >= 8 and is_signed_token(header[i:], payload):
+                for i in token_starts(header, payload):
+                    if is_signed_token(header[i:], payload):
                         found.append(("jwt", at + i, at + len(header) + len(payload) + len(signature) + 2))
                         break
             at += len(header) + 1
@@ -257,14 +337,10 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     for run in RUN.finditer(text):
         found += token_spans(text, *run.span())
     for form, starts in STARTS:
-        upto = 0
-        for m in starts.finditer(text):
-            if m.start() < upto or not (key := key_at(text, m.start(), form)):
-                continue
-            kind, upto = key
-            within = any(a <= m.start() and upto <= b for a, b in pems)
-            if not (within and BREAK.search(text, m.start(), upto)):  # lines of a key that is listed already
-                found.append((kind, m.start(), upto))
+        for kind, start, upto in key_spans(text, form, starts):
+            within = any(a <= start and upto <= b for a, b in pems)
+            if not (within and BREAK.search(text, start, upto)):  # lines of a key that is listed already
+                found.append((kind, start, upto))
     return sorted(set(found))
 
 
