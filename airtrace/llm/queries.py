@@ -25,10 +25,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = toolcalls.replies(table(spark, sf_dir, "conversations"))
-    linked = toolcalls.link_tool_calls(calls, results, toolcalls.REPLY_SCHEMA)
+    calls, results, others = toolcalls.replies(table(spark, sf_dir, "conversations"))
+    linked = toolcalls.link_tool_calls(calls, results, toolcalls.REPLY_SCHEMA, others)
     return linked.select(
-        "conv_id", "call_id", "turn", "level", "place", "status", "valid", F.sha2("canonical", 256).alias("canonical_sha256"))
+        "conv_id", "kind", "call_id", "turn", "level", "place", "status", "valid", F.sha2("canonical", 256).alias("canonical_sha256"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

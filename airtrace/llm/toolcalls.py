@@ -11,15 +11,19 @@ no call was given. Calls and results without id are ``no_id``; of calls with
 one id the first turn is linked, further ones are ``duplicate``, with their own
 arguments checked and no result, level or place; of results with one id the
 first turn is linked, further ones are ``duplicate``; results without a call
-are ``orphan``, each of them. ``kind`` tells calls and results apart. A parent that does not exist makes a call a root with status
-``no_parent``; calls on a cycle or below one get ``cycle``, a null level and
-the last places. Arguments that are no JSON object are invalid. Further columns
-do not matter.
+are ``orphan``, each of them. ``kind`` tells calls, results and other turns apart;
+the latter (``turn``, such as system turns) come with status ``plain``. A parent
+that does not exist makes a call a root with status ``no_parent``; calls on a
+cycle or below one get ``cycle``, a null level and the last places. Arguments
+that are no JSON object, or are nested too deeply to be written, are invalid.
+Half of a surrogate pair, which JSON can name but no text can hold, stays
+escaped. Further columns do not matter.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
@@ -33,6 +37,7 @@ KEY = ["conv_id", "call_id"]
 # JSON types and the Python types they are read as.
 TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
+LONE = re.compile("[\ud800-\udfff]")
 #: The tool of plain conversations: a user turn asks, the assistant's next turn is the result.
 REPLY_SCHEMA = {
     "reply": {
@@ -77,7 +82,12 @@ def problem(value: Any, schema: dict, at: str = "$") -> str | None:
 
 def canonical(value: Any) -> str:
     """JSON with sorted keys, no blanks and plain characters."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return writable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def writable(text: str) -> str:
+    """Lone surrogates as escapes: a text column cannot hold them."""
+    return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -99,11 +109,14 @@ def depths(calls: DataFrame) -> DataFrame:
     return state.select(*KEY, F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call and per result not linked to one, with order, validity and canonical JSON.
+def link_tool_calls(
+    calls: DataFrame, results: DataFrame, schemas: dict[str, dict], others: DataFrame | None = None
+) -> DataFrame:
+    """One row per call, per result not linked to one and per other turn, with order, validity and canonical JSON.
 
     ``calls``: conv_id, turn, call_id, parent_id, name, arguments (JSON text).
     ``results``: conv_id, turn, call_id, content.
+    ``others``: conv_id, turn, role, content.
     """
     require(calls, "conv_id", "turn", "call_id", "parent_id", "name", "arguments")
     require(results, "conv_id", "turn", "call_id", "content")
@@ -141,11 +154,17 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         *KEY, "turn", "content", F.lit("result").alias("kind"),
         F.when(~has_id, "no_id").when(F.col("known"), "duplicate").otherwise("orphan").alias("status"))
     out = more_calls.unionByName(more_results, allowMissingColumns=True).unionByName(out, allowMissingColumns=True)
+    if others is not None:
+        require(others, "conv_id", "turn", "role", "content")
+        plain = others.select("conv_id", "turn", "role", "content", F.lit("turn").alias("kind"), F.lit("plain").alias("status"))
+        out = out.unionByName(plain, allowMissingColumns=True)
     return _serialised(out, schemas)
 
 
 def _serialised(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    packed = rows.withColumn("_row", F.to_json(F.struct("call_id", "name", "arguments", "content", "level", "place", "status")))
+    role = [c for c in ("role",) if c in rows.columns]
+    fields = ("call_id", "name", "arguments", "content", "level", "place", "status", "kind", *role)
+    packed = rows.withColumn("_row", F.to_json(F.struct(*fields)))
     added = StructType([
         StructField("valid", BooleanType()), StructField("problem", StringType()), StructField("canonical", StringType())])
 
@@ -153,6 +172,11 @@ def _serialised(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         out: dict[str, list] = {"valid": [], "problem": [], "canonical": []}
         for text in texts:
             row = json.loads(text)
+            if row["kind"] == "turn":
+                out["valid"].append(True)
+                out["problem"].append(None)
+                out["canonical"].append(canonical({"content": row.get("content"), "role": row.get("role")}))
+                continue
             arguments, wrong = None, None
             try:
                 arguments = json.loads(row.get("arguments") or "")
@@ -165,23 +189,24 @@ def _serialised(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             made = {"call": call, "level": row.get("level"), "place": row.get("place"), "result": row.get("content"), "status": row["status"]}
             try:
                 text = canonical(made)
-            except ValueError:
-                wrong, call["arguments"] = "$: number out of range", None
+            except (ValueError, RecursionError) as error:
+                wrong = "$: number out of range" if isinstance(error, ValueError) else "$: nested too deeply"
+                call["arguments"] = None
                 text = canonical(made)
             out["valid"].append(wrong is None)
-            out["problem"].append(wrong)
+            out["problem"].append(wrong and writable(wrong))
             out["canonical"].append(text)
         return out
 
-    return map_texts(packed, "_row", run, added).drop("_row", "arguments", "content")
+    return map_texts(packed, "_row", run, added).drop("_row", "arguments", "content", *role)
 
 
-def replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain conversations as calls and results.
+def replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plain conversations as calls, results and other turns.
 
     A user turn calls ``reply`` and depends on the user turn two before; an
     assistant turn is the result of the call one turn before. Turns of other
-    roles, such as system, neither call nor answer and are not in either table.
+    roles, such as system, and of no role neither call nor answer.
     """
     require(conversations, "conv_id", "turn", "role", "text")
     name = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
@@ -191,4 +216,6 @@ def replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text")).alias("arguments"))
     results = conversations.where(F.col("role") == "assistant").select(
         "conv_id", "turn", name(1).alias("call_id"), F.col("text").alias("content"))
-    return calls, results
+    neither = F.col("role").isNull() | ~F.col("role").isin("user", "assistant")
+    others = conversations.where(neither).select("conv_id", "turn", "role", F.col("text").alias("content"))
+    return calls, results, others
