@@ -162,3 +162,39 @@ def test_tokens_in_dotted_runs():
         spans = [s for s in secrets.confirmed_spans(before + token + after) if s[0] == "jwt"]
         assert spans and spans[0][1] == len(before)
     assert not secrets.confirmed_spans(b64(RSA)[:40] + ".." + b64(RSA)[40:80])
+
+
+# ---------------------------------------------------------------- 2
+
+
+@pytest.mark.parametrize("name", ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0-header", "GPL-3.0-header", "Zlib"])
+def test_edited_templates_at_every_alignment(name):
+    """Thirty words put into the middle and some words changed, at every distance from a block's start."""
+    scanner = licenses.scanner(tuple(sorted(licenses.TEMPLATES.items())))
+    words = licenses.words_of(licenses.TEMPLATES[name])
+    most = 30 if len(words) > 60 else 4
+    edited = words[:len(words) // 2] + [f"in{i}" for i in range(most)] + words[len(words) // 2:]
+    wanted = scanner.shingles[name]
+    assert len(set(licenses.tuples_of(edited)) & wanted) >= 0.8 * len(wanted)
+    size = 1 << (len(wanted) - 1).bit_length()
+    texts = [" ".join([f"a{i}" for i in range(n)] + edited + ["z"] * (n % 7)) for n in range(size + 1)]
+    for n, found in enumerate(scanner.scan_all(texts)):
+        assert (name, n, n + len(edited)) in found, (name, n)
+
+
+def test_licenses_by_brute_force(spark, tmp_path):
+    from airtrace.llm.licenses import TEMPLATES, tuples_of, words_of
+
+    (tmp_path / "own").mkdir()
+    for i in range(40):
+        (tmp_path / "own" / f"L{i}.txt").write_text(" ".join(f"w{i % 5}x{j * (1 + i % 3)}" for j in range(12 + 9 * i)))
+    own = licenses.read_templates(spark, str(tmp_path / "own"))
+    assert len(own) == 40 and own["L3"].startswith("w3x0 ")
+    deal = random.Random(2)
+    names = sorted(own)
+    texts = [" filler ".join(own[n] for n in deal.sample(names, 3)) for _ in range(30)] + ["", "one", " ".join(own[n] for n in names) * 3]
+    docs = documents(spark, list(enumerate(texts)))
+    for r in licenses.scan_licenses(docs, own).collect():
+        have = set(tuples_of(words_of(texts[r.doc_id])))
+        assert set(r.licenses) == {n for n, t in own.items() if len(set(tuples_of(words_of(t))) & have) >= 0.8 * len(set(tuples_of(words_of(t))))}
+    assert len(TEMPLATES) >= 11
