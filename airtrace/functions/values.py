@@ -17,6 +17,11 @@ def ago(as_of: datetime | str, **parts: float) -> Column:
     return at(as_of) - F.make_interval(**{k: F.lit(v) for k, v in parts.items()})
 
 
+def upto(df: DataFrame, time: str, as_of: datetime | str) -> DataFrame:
+    """The rows there were at ``as_of``, so that a run for a past hour gives what it gave then."""
+    return df.where(F.col(time) <= at(as_of))
+
+
 def stable_id(*columns) -> Column:
     """A row number that the row itself decides, so a repeated run gives it again."""
     return F.xxhash64(*columns)

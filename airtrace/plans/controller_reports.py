@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from airtrace.functions.callsign import SESSION_ORDER, position_type
 from airtrace.functions.exact import rounded_avg, rounded_ratio
-from airtrace.functions.values import ago, object_keys
+from airtrace.functions.values import ago, object_keys, upto
 from airtrace.plans.flight_reports import latest_rows_by
 from airtrace.session import materialise
 from airtrace.sources import tables
@@ -83,7 +83,7 @@ def positions_by_cid(controllers: DataFrame, as_of, hours: int = 24) -> DataFram
     The list holds one entry per callsign of the id, not one per stored row.
     """
     newest = latest_rows_by(
-        controllers, "callsign", "last_updated", ["callsign", "cid", "facility", "logon_time"], ago(as_of, hours=hours)
+        upto(controllers, "last_updated", as_of), "callsign", "last_updated", ["callsign", "cid", "facility", "logon_time"], ago(as_of, hours=hours)
     )
     entry = F.struct("callsign", "facility", "logon_time")
     return newest.groupBy("cid").agg(F.sort_array(F.collect_list(entry)).alias("positions"))

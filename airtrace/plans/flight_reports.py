@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from airtrace.functions.aircraft import aircraft_category, speed_excluded
 from airtrace.functions.exact import percent, rounded_avg, rounded_ratio, whole_minutes
-from airtrace.functions.values import ago, at, nonblank, object_keys, object_text
+from airtrace.functions.values import ago, at, nonblank, object_keys, object_text, upto
 
 
 def _since(col: str, as_of, **parts) -> Column:
@@ -79,7 +79,7 @@ RADIO_COLUMNS = ["callsign", "entity_type", "frequency", "position_lat", "positi
 
 
 def latest_flights(flights: DataFrame, as_of, minutes: int = 30) -> DataFrame:
-    return latest_rows_by(flights, "callsign", "last_updated", FLIGHT_COLUMNS, ago(as_of, mins=minutes))
+    return latest_rows_by(upto(flights, "last_updated", as_of), "callsign", "last_updated", FLIGHT_COLUMNS, ago(as_of, mins=minutes))
 
 
 def latest_flight(flights: DataFrame, callsign: str) -> DataFrame:
@@ -87,11 +87,13 @@ def latest_flight(flights: DataFrame, callsign: str) -> DataFrame:
 
 
 def latest_controllers(controllers: DataFrame, as_of, minutes: int = 30) -> DataFrame:
-    return latest_rows_by(controllers, "callsign", "last_updated", CONTROLLER_COLUMNS, ago(as_of, mins=minutes))
+    rows = upto(controllers, "last_updated", as_of)
+    return latest_rows_by(rows, "callsign", "last_updated", CONTROLLER_COLUMNS, ago(as_of, mins=minutes))
 
 
 def latest_transceivers(transceivers: DataFrame, as_of, minutes: int = 5) -> DataFrame:
-    return latest_rows_by(transceivers, "callsign", "timestamp", RADIO_COLUMNS, ago(as_of, mins=minutes))
+    rows = upto(transceivers, "timestamp", as_of)
+    return latest_rows_by(rows, "callsign", "timestamp", RADIO_COLUMNS, ago(as_of, mins=minutes))
 
 
 def latest_rows(table: DataFrame, time: str, n: int = 20) -> DataFrame:
@@ -560,6 +562,7 @@ def fastest_city_pair_day(summaries: DataFrame, as_of) -> DataFrame:
         F.col("logon_time").alias("departure_time"), F.col("completion_time").alias("arrival_time"),
         minutes.alias("flight_duration_minutes"), "flight_rules", keys.cast("long").alias("total_controllers"),
         F.when(minutes > 0, _pair_speed(minutes)).alias("avg_speed_knots"), status.alias("tower_contact_status"),
+        object_text(summaries, "controller_callsigns").alias("controller_callsigns"),
     )
 
 

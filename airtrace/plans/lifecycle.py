@@ -11,7 +11,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from airtrace import schemas
 from airtrace.functions.exact import whole_minutes
-from airtrace.functions.values import ago, at, object_text, stable_id
+from airtrace.functions.values import ago, at, object_text, stable_id, upto
 from airtrace.operators.bandjoin import range_join
 from airtrace.operators.contacts import (
     FLIGHT_KEY, aircraft_metrics, atc_contact_metrics, flight_keys, match_controller_flight, match_flight_atc,
@@ -57,12 +57,20 @@ def _of_completed(flights: DataFrame, completed: DataFrame, how: str = "left_sem
     return flights.join(completed.dropna().select(*COMPLETED_KEY), COMPLETED_KEY, how)
 
 
-def archive_flights(flights: DataFrame, completed: DataFrame) -> DataFrame:
-    return _of_completed(flights, completed)
+def archive_flights(flights: DataFrame, completed: DataFrame, as_of=None) -> DataFrame:
+    """The rows of completed flights, those there were at ``as_of`` if it is given."""
+    return _of_completed(flights if as_of is None else upto(flights, "last_updated", as_of), completed)
 
 
-def remaining_flights(flights: DataFrame, completed: DataFrame) -> DataFrame:
-    return _of_completed(flights, completed, "left_anti")
+def remaining_flights(flights: DataFrame, completed: DataFrame, as_of=None) -> DataFrame:
+    """All other rows."""
+    if as_of is None:
+        return _of_completed(flights, completed, "left_anti")
+    done = completed.dropna().select(*[F.col(c).alias(f"_{c}") for c in COMPLETED_KEY])
+    same = F.coalesce(F.col("last_updated") <= at(as_of), F.lit(False))
+    for c in COMPLETED_KEY:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return flights.join(done, same, "left_anti")
 
 
 def build_flight_summaries(
@@ -74,10 +82,14 @@ def build_flight_summaries(
 
     A summary has all columns of the stored table; those that the flight rows
     lack are null. ``completed`` are the keys, if they have been found already.
+    Rows and stays later than ``as_of`` are left out.
 
     The row per flight is written to the shared folder once: three later steps
     read it, and the stored positions are not scanned for each of them.
     """
+    flights, controllers = (upto(t, "last_updated", as_of) for t in (flights, controllers))
+    transceivers = upto(transceivers, "timestamp", as_of)
+    stays = stays.where(F.col("exit_timestamp") <= at(as_of))
     if completed is None:
         completed = completed_flights(flights, summaries, as_of, hours)
     detail = _of_completed(flights, completed)
@@ -127,7 +139,7 @@ def completed_controllers(controllers: DataFrame, summaries: DataFrame, as_of, m
     The rows are grouped to sessions first; the null-safe anti-join then runs
     on sessions.
     """
-    sessions = controllers.groupBy(*SESSION).agg(F.max("last_updated").alias("session_end_time"))
+    sessions = upto(controllers, "last_updated", as_of).groupBy(*SESSION).agg(F.max("last_updated").alias("session_end_time"))
     sessions = sessions.where(F.col("session_end_time") < ago(as_of, mins=minutes))
     cs = summaries.select(
         F.col("callsign").alias("_c"), F.col("cid").alias("_i"), F.col("session_start_time").alias("_s")
@@ -197,8 +209,10 @@ def build_controller_summaries(
 ) -> DataFrame:
     """One summary per completed session, with its frequencies and aircraft.
 
-    The merged sessions are written once, as three later steps read them.
+    The merged sessions are written once, as three later steps read them. Rows
+    later than ``as_of`` are left out.
     """
+    controllers, transceivers = upto(controllers, "last_updated", as_of), upto(transceivers, "timestamp", as_of)
     if completed is None:
         completed = completed_controllers(controllers, summaries, as_of, minutes)
     merged = materialise(controller_session_merge(completed, controllers, reconnect_minutes), "sessions")
@@ -226,14 +240,21 @@ def build_controller_summaries(
     )
 
 
-def archive_controllers(controllers: DataFrame, completed: DataFrame) -> DataFrame:
+def archive_controllers(controllers: DataFrame, completed: DataFrame, as_of=None) -> DataFrame:
+    """The rows of completed sessions, those there were at ``as_of`` if it is given."""
+    controllers = controllers if as_of is None else upto(controllers, "last_updated", as_of)
     keys = completed.select("callsign", "logon_time").distinct()
     return controllers.join(keys, ["callsign", "logon_time"], "left_semi")
 
 
-def remaining_controllers(controllers: DataFrame, completed: DataFrame) -> DataFrame:
+def remaining_controllers(controllers: DataFrame, completed: DataFrame, as_of=None) -> DataFrame:
+    """All other rows."""
     keys = completed.select("callsign", "logon_time").distinct()
-    return controllers.join(keys, ["callsign", "logon_time"], "left_anti")
+    if as_of is None:
+        return controllers.join(keys, ["callsign", "logon_time"], "left_anti")
+    keys = keys.select(F.col("callsign").alias("_callsign"), F.col("logon_time").alias("_logon"))
+    same = (F.col("callsign") == F.col("_callsign")) & (F.col("logon_time") == F.col("_logon"))
+    return controllers.join(keys, same & F.coalesce(F.col("last_updated") <= at(as_of), F.lit(False)), "left_anti")
 
 
 # --- the two hourly runs ---------------------------------------------------------
@@ -263,8 +284,8 @@ def process_flights(
     ), "flight-summaries")
     return Processed(
         built,
-        with_summary_columns(archive_flights(flights, completed), built),
-        remaining_flights(flights, completed),
+        with_summary_columns(archive_flights(flights, completed, as_of), built),
+        remaining_flights(flights, completed, as_of),
     )
 
 
@@ -277,8 +298,8 @@ def process_controllers(
     done = completed.where(F.col("cid").isNotNull())
     return Processed(
         build_controller_summaries(controllers, transceivers, summaries, as_of, minutes, completed=completed),
-        archive_controllers(controllers, done),
-        remaining_controllers(controllers, done),
+        archive_controllers(controllers, done, as_of),
+        remaining_controllers(controllers, done, as_of),
     )
 
 
@@ -369,10 +390,10 @@ def stage_flights_run(
             flights, radios, staff, stays, summaries, as_of, hours, window=window, completed=completed), "flight-summaries")
         if built.isEmpty():
             return None
-        archived = with_summary_columns(archive_flights(flights, completed), built)
+        archived = with_summary_columns(archive_flights(flights, completed, as_of), built)
         return _staged_run(
             spark, store, "process_flights", run, now, ("flights", "flight_summaries", "flights_archive"), built, archived,
-            lambda rows: remaining_flights(rows, completed))
+            lambda rows: remaining_flights(rows, completed, as_of))
 
 
 def stage_controllers_run(spark: SparkSession, store: str, as_of, minutes: int = SESSION_MINUTES) -> Staged | None:
@@ -390,10 +411,10 @@ def stage_controllers_run(spark: SparkSession, store: str, as_of, minutes: int =
         if built.isEmpty():
             return None
         done = completed.where(F.col("cid").isNotNull())
-        archived = archive_controllers(staff, done)
+        archived = archive_controllers(staff, done, as_of)
         return _staged_run(
             spark, store, "process_controllers", run, now, ("controllers", "controller_summaries", "controllers_archive"),
-            built, archived, lambda rows: remaining_controllers(rows, done))
+            built, archived, lambda rows: remaining_controllers(rows, done, as_of))
 
 
 def _run_name(as_of) -> str:
@@ -502,6 +523,8 @@ def active_flight_interactions(
     flights: DataFrame, transceivers: DataFrame, controllers: DataFrame, as_of, secs: int = 180, window: str = "logon"
 ) -> DataFrame:
     """Flights seen in the last ``secs`` with their number of contacts."""
+    flights, controllers = (upto(t, "last_updated", as_of) for t in (flights, controllers))
+    transceivers = upto(transceivers, "timestamp", as_of)
     active = flights.where(F.col("last_updated") >= ago(as_of, secs=secs))
     keys = flight_keys(active)
     matches = match_flight_atc(flights, transceivers, controllers, window=window, keys=keys)
@@ -517,6 +540,7 @@ def active_controller_interactions(
     controllers: DataFrame, transceivers: DataFrame, as_of, secs: int = 180
 ) -> DataFrame:
     """Controllers seen in the last ``secs`` with the aircraft since log-on."""
+    controllers, transceivers = upto(controllers, "last_updated", as_of), upto(transceivers, "timestamp", as_of)
     sessions = controllers.where(F.col("last_updated") >= ago(as_of, secs=secs)).select(
         "callsign", F.col("logon_time").alias("session_start"), at(as_of).alias("session_end")
     ).distinct()

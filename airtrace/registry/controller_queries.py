@@ -86,7 +86,7 @@ def dashboard_top(t):
 @query(
     "positions_by_cid",
     f"""select cid, callsign, facility, logon_time from (select *, row_number() over (partition by callsign order by last_updated desc, id desc) as rn
- from fx_controllers where last_updated >= {E_NOW} - interval 24 hour) where rn = 1""",
+ from fx_controllers where last_updated between {E_NOW} - interval 24 hour and {E_NOW}) where rn = 1""",
 )
 def positions_by_cid(t):
     grouped = R.positions_by_cid(t.controllers, NOW)

@@ -63,7 +63,7 @@ def _newest(table: str, columns: list[str], time: str, where: str = "true") -> s
  from {table} where {where}) where rn = 1"""
 
 
-@query("latest_flights", _newest("fx_flights", R.FLIGHT_COLUMNS, "last_updated", f"last_updated >= {E_NOW} - interval 30 minute"))
+@query("latest_flights", _newest("fx_flights", R.FLIGHT_COLUMNS, "last_updated", f"last_updated between {E_NOW} - interval 30 minute and {E_NOW}"))
 def latest_flights(t):
     return R.latest_flights(t.flights, NOW)
 
@@ -73,7 +73,7 @@ def latest_flight(t):
     return R.latest_flight(t.flights, "FLT11")
 
 
-@query("latest_controllers", _newest("fx_controllers", R.CONTROLLER_COLUMNS, "last_updated", f"last_updated >= {E_NOW} - interval 30 minute"))
+@query("latest_controllers", _newest("fx_controllers", R.CONTROLLER_COLUMNS, "last_updated", f"last_updated between {E_NOW} - interval 30 minute and {E_NOW}"))
 def latest_controllers(t):
     return R.latest_controllers(t.controllers, NOW)
 
@@ -81,7 +81,7 @@ def latest_controllers(t):
 @query(
     "latest_transceivers",
     _newest(
-        "(select *, ts as timestamp from fx_transceivers)", R.RADIO_COLUMNS, "ts", f"ts >= {E_NOW} - interval 5 minute"
+        "(select *, ts as timestamp from fx_transceivers)", R.RADIO_COLUMNS, "ts", f"ts between {E_NOW} - interval 5 minute and {E_NOW}"
     ),
 )
 def latest_transceivers(t):
@@ -452,7 +452,7 @@ _DAY = "2001-08-01 00:00:00"
  case when controller_callsigns is not null then len(json_keys(controller_callsigns)) else 0 end as total_controllers,
  case when time_online_minutes > 0 then {_SPEED.format(m='time_online_minutes')} end as avg_speed_knots,
  case when {_TOWERS} then 'Both Towers' when controller_callsigns like '%SY_TWR%' then 'Sydney Only'
-  when controller_callsigns like '%ML_TWR%' then 'Melbourne Only' else 'No Tower Contact' end as tower_contact_status
+  when controller_callsigns like '%ML_TWR%' then 'Melbourne Only' else 'No Tower Contact' end as tower_contact_status, controller_callsigns
 from fx_flight_summaries where (departure = 'YSSY' and arrival = 'YMML') or (departure = 'YMML' and arrival = 'YSSY')
  and completion_time >= {O_NOW} - interval 1 day and completion_time < {O_NOW} and time_online_minutes > 0
  and {_TOWERS} and len(json_keys(controller_callsigns)) >= 5""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airtrace.functions.values import at
+from airtrace.functions.values import at, upto
 from airtrace.operators.sectors import stale_sector_close
 from airtrace.plans import lifecycle as L
 from airtrace.registry.base import query, ratio_sql, shared_cte
@@ -27,6 +27,8 @@ shared_cte(
  and callsign not in (select callsign from known_summaries)""",
 )
 _SAME = " and ".join(f"f.{c} = d.{c}" for c in KEY.split(", "))
+# a row of a completed flight that was there at the time
+_ROW_DONE = f"(f.last_updated <= {E_NOW} and exists (select 1 from done_flights d where {_SAME}))"
 
 
 def known(t):
@@ -42,14 +44,14 @@ def completed_flights(t):
     return done(t)
 
 
-@query("archive_flights", f"select f.id, f.callsign, f.last_updated from fx_flights f where exists (select 1 from done_flights d where {_SAME})")
+@query("archive_flights", f"select f.id, f.callsign, f.last_updated from fx_flights f where {_ROW_DONE}")
 def archive_flights(t):
-    return L.archive_flights(t.flights, done(t)).select("id", "callsign", "last_updated")
+    return L.archive_flights(t.flights, done(t), NOW).select("id", "callsign", "last_updated")
 
 
-@query("remaining_flights", f"select f.id, f.callsign, f.last_updated from fx_flights f where not exists (select 1 from done_flights d where {_SAME})")
+@query("remaining_flights", f"select f.id, f.callsign, f.last_updated from fx_flights f where not {_ROW_DONE}")
 def remaining_flights(t):
-    return L.remaining_flights(t.flights, done(t)).select("id", "callsign", "last_updated")
+    return L.remaining_flights(t.flights, done(t), NOW).select("id", "callsign", "last_updated")
 
 
 shared_cte(
@@ -58,15 +60,19 @@ shared_cte(
  arg_min(f.aircraft_type, struct_pack(a := f.last_updated, b := f.id)) as aircraft_type,
  arg_min(f.flight_rules, struct_pack(a := f.last_updated, b := f.id)) as flight_rules, arg_min(f.name, struct_pack(a := f.last_updated, b := f.id)) as name, max(f.last_updated) as completion_time,
  cast((epoch(max(f.last_updated)) - epoch(min(f.last_updated))) // 60 as int) as time_online_minutes
-from fx_flights f join done_flights d on {_SAME} group by 1, 2, 3, 4, 5""",
+from fx_flights_then f join done_flights d on {_SAME} group by 1, 2, 3, 4, 5""",
 )
 shared_cte(
     "base_breakdown",
-    """select f.callsign, f.logon_time, f.completion_time, s.sector_name, sum(s.duration_seconds) // 60 as minutes
+    f"""select f.callsign, f.logon_time, f.completion_time, s.sector_name, sum(s.duration_seconds) // 60 as minutes
 from (select distinct callsign, logon_time, completion_time from flight_base) f join closed_stays s on s.callsign = f.callsign
- and s.exit_timestamp is not null and s.entry_timestamp between f.logon_time and f.completion_time
+ and s.exit_timestamp <= timestamp '{NOW}' and s.entry_timestamp between f.logon_time and f.completion_time
 group by 1, 2, 3, 4 having sum(s.duration_seconds) // 60 > 0""",
 )
+shared_cte(
+    "base_contacts_then",
+    """select flight_callsign as callsign, departure, arrival, logon_time, count(*) as n from whole_pairs_then group by 1, 2, 3, 4""",
+)
 shared_cte(
     "base_contacts",
     """select flight_callsign as callsign, departure, arrival, logon_time, count(*) as n, count(distinct atc_callsign) as controllers
@@ -75,7 +81,7 @@ from whole_pairs group by 1, 2, 3, 4""",
 
 
 # All columns of a summary. Maps are written as text in order of their keys.
-for _window, _pairs in (("whole", "whole_pairs"), ("logon", "logon_pairs")):
+for _window, _pairs in (("whole", "whole_pairs_then"), ("logon", "logon_pairs_then")):
     shared_cte(
         f"{_window}_contacts",
         f"""select callsign, departure, arrival, logon_time, cast(sum(n) as bigint) as n, string_agg(concat_ws('/', atc_callsign, type, n, n,
@@ -93,7 +99,7 @@ from (select flight_callsign as callsign, departure, arrival, logon_time, atc_ca
  cast(coalesce(s.total_minutes, 0) as int) as total_enroute_time_minutes, coalesce(s.sectors, '') as sectors
 from flight_base b
 left join {_window}_contacts c on c.callsign = b.callsign and c.departure = b.departure and c.arrival = b.arrival and c.logon_time = b.logon_time
-left join flight_keys k on k.callsign = b.callsign and k.departure = b.departure and k.arrival = b.arrival and k.logon_time = b.logon_time
+left join flight_keys_then k on k.callsign = b.callsign and k.departure = b.departure and k.arrival = b.arrival and k.logon_time = b.logon_time
 left join (select callsign, logon_time, completion_time, (array_agg(sector_name order by minutes desc, sector_name))[1] as primary_sector,
   count(*) as total_sectors, sum(minutes) as total_minutes,
   string_agg(concat(sector_name, ':', cast(minutes as bigint)), ',' order by sector_name) as sectors from base_breakdown group by 1, 2, 3) s
@@ -153,8 +159,8 @@ def build_flight_summaries_logon(t):
 @query(
     "process_flights",
     f"""select 'summaries' as part, count(*) as n_rows from flight_base
-union all select 'archived', count(*) from fx_flights f where exists (select 1 from done_flights d where {_SAME})
-union all select 'remaining', count(*) from fx_flights f where not exists (select 1 from done_flights d where {_SAME})""",
+union all select 'archived', count(*) from fx_flights f where {_ROW_DONE}
+union all select 'remaining', count(*) from fx_flights f where not {_ROW_DONE}""",
 )
 def process_flights(t):
     run = L.process_flights(t.flights, t.transceivers, t.controllers, stays(t), known(t), NOW, HOURS)
@@ -171,9 +177,9 @@ _FILLED = (
 @query(
     "process_flights_written",
     f"""select 'flights' as part, f.id, {_FLIGHT_ROW}, {', '.join(f'null as {c}' for c in _FILLED)}
-from fx_flights f where not exists (select 1 from done_flights d where {_SAME})
+from fx_flights f where not {_ROW_DONE}
 union all select 'flights_archive', f.id, {_FLIGHT_ROW}, {', '.join(f's.{c}' for c in _FILLED)}
-from fx_flights f join done_flights d on {_SAME} left join logon_summaries s on {' and '.join(f's.{c} = f.{c}' for c in KEY.split(', '))}
+from fx_flights_then f join done_flights d on {_SAME} left join logon_summaries s on {' and '.join(f's.{c} = f.{c}' for c in KEY.split(', '))}
 union all select 'flight_summaries', null, callsign, departure, arrival, cid, deptime, logon_time, aircraft_type, flight_rules, name, null, {', '.join(_FILLED)}
 from logon_summaries
 union all select 'flight_summaries', id, callsign, departure, arrival, cid, deptime, logon_time, aircraft_type, flight_rules, name, null, completion_time,
@@ -214,7 +220,7 @@ shared_cte(
 )
 shared_cte(
     "done_sessions",
-    f"""select callsign, cid, logon_time, max(last_updated) as session_end_time from fx_controllers c where not exists (
+    f"""select callsign, cid, logon_time, max(last_updated) as session_end_time from fx_controllers_then c where not exists (
  select 1 from known_sessions s where s.callsign = c.callsign and s.cid is not distinct from c.cid and s.session_start_time = c.logon_time)
 group by 1, 2, 3 having max(last_updated) < {E_NOW} - interval 30 minute""",
 )
@@ -226,6 +232,10 @@ def known_sessions(t):
     ).select("callsign", "cid", F.col("logon_time").alias("session_start_time")).distinct()
 
 
+def staff_then(t):
+    return upto(t.controllers, "last_updated", NOW)
+
+
 def done_sessions(t):
     return L.completed_controllers(t.controllers, known_sessions(t), NOW)
 
@@ -238,11 +248,11 @@ def completed_controllers(t):
 @query(
     "reconnect_rows",
     """select c.id, c.callsign, c.cid, c.logon_time, s.logon_time as session_start from done_sessions s
-join fx_controllers c on c.callsign = s.callsign and c.cid = s.cid
+join fx_controllers_then c on c.callsign = s.callsign and c.cid = s.cid
  and c.logon_time >= s.logon_time and c.logon_time <= greatest(s.logon_time, s.session_end_time + interval 5 minute)""",
 )
 def reconnect_rows(t):
-    rows = L.reconnect_rows(done_sessions(t), t.controllers)
+    rows = L.reconnect_rows(done_sessions(t), staff_then(t))
     return rows.select("id", "callsign", "cid", "logon_time", "session_start")
 
 
@@ -255,7 +265,7 @@ from (select *, (epoch(end_time) - epoch(start_time)) // 60 as minutes from (
  select s.callsign, s.cid, s.logon_time, s.session_end_time, arg_min(c.name, struct_pack(a := c.last_updated, b := c.id)) as name,
   arg_min(c.rating, struct_pack(a := c.last_updated, b := c.id)) as rating,
   arg_min(c.logon_time, struct_pack(a := c.last_updated, b := c.id)) as start_time, arg_max(c.last_updated, struct_pack(a := c.last_updated, b := c.id)) as end_time
- from done_sessions s join fx_controllers c on c.callsign = s.callsign and c.cid = s.cid
+ from done_sessions s join fx_controllers_then c on c.callsign = s.callsign and c.cid = s.cid
   and c.logon_time >= s.logon_time and c.logon_time <= greatest(s.logon_time, s.session_end_time + interval 5 minute)
  group by 1, 2, 3, 4))""",
 )
@@ -263,13 +273,13 @@ from (select *, (epoch(end_time) - epoch(start_time)) // 60 as minutes from (
 
 @query("controller_session_merge", "select * from merged_sessions")
 def controller_session_merge(t):
-    return L.controller_session_merge(done_sessions(t), t.controllers).drop("facility")
+    return L.controller_session_merge(done_sessions(t), staff_then(t)).drop("facility")
 
 
 shared_cte(
     "used_frequencies",
     """select s.callsign, s.logon_time, s.unmerged_end, string_agg(distinct c.frequency, ',' order by c.frequency) as frequencies
-from (select distinct callsign, logon_time, unmerged_end from merged_sessions) s join fx_controllers c on c.callsign = s.callsign
+from (select distinct callsign, logon_time, unmerged_end from merged_sessions) s join fx_controllers_then c on c.callsign = s.callsign
  and c.logon_time between s.logon_time and s.unmerged_end and c.frequency is not null group by 1, 2, 3""",
 )
 
@@ -292,8 +302,8 @@ shared_cte(
     f"""select s.callsign, s.logon_time, s.unmerged_end, f.callsign as aircraft, min(f.ts) as first_seen, max(f.ts) as last_seen, count(*) as n,
  arg_min(a.frequency, struct_pack(a := f.ts, b := a.ts, c := a.frequency)) as frequency
 from (select distinct callsign, logon_time, unmerged_end from merged_sessions) s
-join fx_transceivers a on a.entity_type = 'atc' and a.callsign = s.callsign and a.ts between s.logon_time and s.unmerged_end
-join fx_transceivers f on f.entity_type = 'flight' and f.ts between s.logon_time and s.unmerged_end
+join fx_transceivers_then a on a.entity_type = 'atc' and a.callsign = s.callsign and a.ts between s.logon_time and s.unmerged_end
+join fx_transceivers_then f on f.entity_type = 'flight' and f.ts between s.logon_time and s.unmerged_end
  and abs(f.frequency - a.frequency) <= 5000 and abs(epoch(f.ts) - epoch(a.ts)) <= 180
 where {NM.format(a='a.position_lat', b='a.position_lon', c='f.position_lat', d='f.position_lon')} <= {LIMIT_CASE.format(c='s.callsign')}
 group by 1, 2, 3, 4""",
@@ -339,27 +349,27 @@ def build_controller_summaries(t):
     return session_text(L.build_controller_summaries(t.controllers, t.transceivers, known_sessions(t), NOW)).select(*SESSION_ROW)
 
 
-_SESSION_DONE = "exists (select 1 from done_sessions d where d.callsign = c.callsign and d.logon_time = c.logon_time)"
+_SESSION_DONE = f"c.last_updated <= {E_NOW} and exists (select 1 from done_sessions d where d.callsign = c.callsign and d.logon_time = c.logon_time)"
 
 
 @query("archive_controllers", f"select c.id, c.callsign, c.logon_time from fx_controllers c where {_SESSION_DONE}")
 def archive_controllers(t):
-    return L.archive_controllers(t.controllers, done_sessions(t)).select("id", "callsign", "logon_time")
+    return L.archive_controllers(t.controllers, done_sessions(t), NOW).select("id", "callsign", "logon_time")
 
 
-@query("remaining_controllers", f"select c.id, c.callsign, c.logon_time from fx_controllers c where not {_SESSION_DONE}")
+@query("remaining_controllers", f"select c.id, c.callsign, c.logon_time from fx_controllers c where not ({_SESSION_DONE})")
 def remaining_controllers(t):
-    return L.remaining_controllers(t.controllers, done_sessions(t)).select("id", "callsign", "logon_time")
+    return L.remaining_controllers(t.controllers, done_sessions(t), NOW).select("id", "callsign", "logon_time")
 
 
-_SUMMARISED = "exists (select 1 from done_sessions d where d.callsign = c.callsign and d.logon_time = c.logon_time and d.cid is not null)"
+_SUMMARISED = f"c.last_updated <= {E_NOW} and exists (select 1 from done_sessions d where d.callsign = c.callsign and d.logon_time = c.logon_time and d.cid is not null)"
 
 
 @query(
     "process_controllers",
     f"""select 'summaries' as part, count(*) as n_rows from merged_sessions
 union all select 'archived', count(*) from fx_controllers c where {_SUMMARISED}
-union all select 'remaining', count(*) from fx_controllers c where not {_SUMMARISED}""",
+union all select 'remaining', count(*) from fx_controllers c where not ({_SUMMARISED})""",
 )
 def process_controllers(t):
     return L.process_counts(L.process_controllers(t.controllers, t.transceivers, known_sessions(t), NOW))
@@ -370,7 +380,7 @@ _CONTROLLER_ROW = "c.id, c.callsign, c.cid, c.name, c.rating, c.frequency, c.log
 
 @query(
     "process_controllers_written",
-    f"""select 'controllers' as part, {_CONTROLLER_ROW}, {', '.join(f'null as {c}' for c in SESSION_ROW[4:])} from fx_controllers c where not {_SUMMARISED}
+    f"""select 'controllers' as part, {_CONTROLLER_ROW}, {', '.join(f'null as {c}' for c in SESSION_ROW[4:])} from fx_controllers c where not ({_SUMMARISED})
 union all select 'controllers_archive', {_CONTROLLER_ROW}, {', '.join('null' for _ in SESSION_ROW[4:])} from fx_controllers c where {_SUMMARISED}
 union all select 'controller_summaries', null, callsign, cid, name, rating, null, null, null, {', '.join(SESSION_ROW[4:])} from full_controller_summaries
 union all select 'controller_summaries', null, callsign, cid, null, null, null, null, null, session_start_time, session_start_time,
@@ -444,9 +454,9 @@ def backfill_contacts(t):
 @query(
     "active_interactions",
     f"""select k.callsign, k.departure, k.arrival, k.logon_time, coalesce(c.n, 0) as interactions_detected
-from (select distinct callsign, departure, arrival, logon_time from fx_flights where last_updated >= {E_NOW} - interval 180 second
+from (select distinct callsign, departure, arrival, logon_time from fx_flights_then where last_updated >= {E_NOW} - interval 180 second
  and departure is not null and arrival is not null) k
-left join base_contacts c on c.callsign = k.callsign and c.departure = k.departure and c.arrival = k.arrival and c.logon_time = k.logon_time""",
+left join base_contacts_then c on c.callsign = k.callsign and c.departure = k.departure and c.arrival = k.arrival and c.logon_time = k.logon_time""",
 )
 def active_interactions(t):
     return L.active_flight_interactions(t.flights, t.transceivers, t.controllers, NOW, window="flight")
@@ -455,11 +465,11 @@ def active_interactions(t):
 @query(
     "active_controller_interactions",
     f"""select s.callsign, s.logon_time, coalesce(a.n, 0) as interactions_detected
-from (select distinct callsign, logon_time from fx_controllers where last_updated >= {E_NOW} - interval 180 second) s
+from (select distinct callsign, logon_time from fx_controllers_then where last_updated >= {E_NOW} - interval 180 second) s
 left join (select s.callsign, s.logon_time, count(distinct f.callsign) as n
- from (select distinct callsign, logon_time from fx_controllers where last_updated >= {E_NOW} - interval 180 second) s
- join fx_transceivers a on a.entity_type = 'atc' and a.callsign = s.callsign and a.ts between s.logon_time and {E_NOW}
- join fx_transceivers f on f.entity_type = 'flight' and f.ts between s.logon_time and {E_NOW}
+ from (select distinct callsign, logon_time from fx_controllers_then where last_updated >= {E_NOW} - interval 180 second) s
+ join fx_transceivers_then a on a.entity_type = 'atc' and a.callsign = s.callsign and a.ts between s.logon_time and {E_NOW}
+ join fx_transceivers_then f on f.entity_type = 'flight' and f.ts between s.logon_time and {E_NOW}
   and abs(f.frequency - a.frequency) <= 5000 and abs(epoch(f.ts) - epoch(a.ts)) <= 180
  where {NM.format(a='a.position_lat', b='a.position_lon', c='f.position_lat', d='f.position_lon')} <= {LIMIT_CASE.format(c='s.callsign')}
  group by 1, 2) a on a.callsign = s.callsign and a.logon_time = s.logon_time""",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from airtrace.functions.values import at
 from airtrace.operators import contacts as C
-from airtrace.registry.base import query, ratio_sql, shared_cte
+from airtrace.registry.base import SHARED_CTES, query, ratio_sql, shared_cte
 from airtrace.registry.contact_queries import POSITION_CASE
 from airtrace.registry.derived import AS_OF_EVENTS as NOW
 
@@ -50,6 +52,20 @@ where a.seen_until >= k.logon_time and a.heard_until >= k.logon_time
  and {NM.format(a='f.position_lat', b='f.position_lon', c='a.position_lat', d='a.position_lon')} <= {LIMIT_CASE.format(c='a.callsign')}"""
 
 
+# The tables as they were at the report's time, and what is made of them.
+for _name, _time in (("fx_flights", "last_updated"), ("fx_transceivers", "ts"), ("fx_controllers", "last_updated")):
+    shared_cte(f"{_name}_then", f"select * from {_name} where {_time} <= {E_NOW}")
+
+
+def then(sql: str) -> str:
+    """The same SQL over the tables as they were at the report's time."""
+    return re.sub(r"\b(fx_flights|fx_transceivers|fx_controllers|flight_keys|seen_atc|logon_pairs|whole_pairs)\b", r"\1_then", sql)
+
+
+for _name in ("flight_keys", "seen_atc"):
+    shared_cte(f"{_name}_then", then(SHARED_CTES[_name]))
+shared_cte("logon_pairs_then", then(_flight_pairs("abs(epoch(f.ts) - epoch(k.logon_time)) <= 180")))
+shared_cte("whole_pairs_then", then(_flight_pairs("f.ts between k.logon_time and k.flight_end")))
 shared_cte("logon_pairs", _flight_pairs("abs(epoch(f.ts) - epoch(k.logon_time)) <= 180"))
 shared_cte("whole_pairs", _flight_pairs("f.ts between k.logon_time and k.flight_end"))
 
@@ -100,6 +116,29 @@ def flight_radio_rows(t):
     return rows.select("id", "callsign", "frequency", "timestamp", "departure", "arrival", "logon_time")
 
 
+# Stored completions: half of the flights, an hour after their log-on; of two summaries the newer one counts.
+shared_cte(
+    "stored_completions",
+    """select callsign, departure, arrival, logon_time, logon_time + interval 60 minute as completion_time from flight_keys
+where cast(substr(callsign, 4) as int) % 2 = 0""",
+)
+
+
+@query(
+    "flight_radio_rows_completed",
+    f"""select t.id, t.callsign, t.frequency, t.ts as timestamp, k.departure, k.arrival, k.logon_time from flight_keys k
+left join stored_completions c on c.callsign = k.callsign and c.departure = k.departure and c.arrival = k.arrival and c.logon_time = k.logon_time
+join fx_transceivers t on t.callsign = k.callsign and t.entity_type = 'flight' and t.ts between k.logon_time and coalesce(c.completion_time, {E_NOW})""",
+)
+def flight_radio_rows_completed(t):
+    even = t.flights.where(F.substring("callsign", 4, 9).cast("int") % 2 == 0).groupBy(*C.FLIGHT_KEY).agg(F.min("id").alias("id"))
+    older = even.withColumn("completion_time", F.col("logon_time") + F.expr("interval 10 minutes"))
+    newer = even.withColumns({"id": F.col("id") + 10**9, "completion_time": F.col("logon_time") + F.expr("interval 60 minutes")})
+    done = C.flight_completion_time(older.unionByName(newer))
+    rows = C.flight_radio_rows(C.flight_keys(t.flights), t.transceivers, at(NOW), done)
+    return rows.select("id", "callsign", "frequency", "timestamp", "departure", "arrival", "logon_time")
+
+
 @query(
     "relevant_atc_rows",
     f"""select id, callsign, frequency, ts as timestamp from fx_transceivers where entity_type = 'atc' and ts >= {E_NOW} - interval 60 minute

@@ -146,3 +146,48 @@ def test_stay_cid_sources(spark):
     summaries = spark.createDataFrame([(1, "OLD", 77), (2, "QFA1", 5)], "id bigint, callsign string, cid int")
     got = {(r.callsign, r.entry_timestamp): r.cid for r in integrity.backfill_stay_cid(stays, flights(spark), summaries).collect()}
     assert got == {("QFA1", t(5)): 1, ("QFA1", t(2000)): 5, ("OLD", t(0)): 77, ("GONE", t(0)): 999999}
+
+
+def test_a_run_for_a_past_hour_gives_what_it_gave_then(spark):
+    """Rows that came after the time of the run change neither its results nor what it moves."""
+    from pyspark.sql import functions as F
+
+    from airtrace.plans.flight_reports import latest_flights
+
+    then = "2025-01-02 10:00:00"
+    later = [(50, "QFA1", "YSSY", "YMML", 1, "0100", "B738", t(0), t(1450)), (51, "NEW9", "YSSY", "YMML", 7, "0100", "B738", t(1441), t(1445))]
+    before = flights(spark)
+    after = before.unionByName(spark.createDataFrame(later, FLIGHT))
+    radios = spark.createDataFrame([(i, "QFA1", 118_100_000, -33.9, 151.2, "flight", t(m)) for i, m in ((1, 0), (2, 1445))], "id bigint, callsign string, frequency bigint, position_lat double, position_lon double, entity_type string, timestamp timestamp")
+    staff = controllers(spark)
+    more_staff = staff.unionByName(spark.createDataFrame([(60, "SY_TWR", 7, "Kim", 3, 4, "AU", "118.9", t(60), t(1446), t(1446))], CONTROLLER))
+    stays = spark.createDataFrame([("QFA1", "ARL", t(1), t(11), 600), ("QFA1", "WOL", t(20), t(1442), 85_320)],
+                                  "callsign string, sector_name string, entry_timestamp timestamp, exit_timestamp timestamp, duration_seconds int")
+    early = stays.where(F.col("exit_timestamp") <= F.lit(t(1440)))
+    one = L.process_flights(before, radios.where("id = 1"), staff, early, known(spark), then)
+    two = L.process_flights(after, radios, more_staff, stays, known(spark), then)
+    for part in ("summaries", "archived"):
+        assert sorted(map(str, getattr(one, part).collect())) == sorted(map(str, getattr(two, part).collect()))
+    assert {r.id for r in two.remaining.collect()} == {r.id for r in one.remaining.collect()} | {50, 51}
+    one = L.process_controllers(staff, radios.where("id = 1"), done(spark), NOW)
+    two = L.process_controllers(more_staff, radios, done(spark), NOW)
+    for part in ("summaries", "archived"):
+        assert sorted(map(str, getattr(one, part).collect())) == sorted(map(str, getattr(two, part).collect()))
+    assert {r.id for r in two.remaining.collect()} == {r.id for r in one.remaining.collect()} | {60}
+    wide = lambda df: df.selectExpr("*", "0 as latitude", "0 as longitude", "0 as altitude", "0 as heading", "0 as groundspeed", "'' as name")
+    assert {r.callsign for r in latest_flights(wide(after), then).collect()} == {r.callsign for r in latest_flights(wide(before), then).collect()}
+
+
+def test_radio_rows_end_with_a_stored_completion(spark):
+    from pyspark.sql import functions as F
+
+    from airtrace.operators import contacts as C
+
+    radios = spark.createDataFrame([(i, who, 118_100_000, 0.0, 0.0, "flight", t(i)) for who in ("A", "B") for i in range(0, 100, 10)],
+                                   "id bigint, callsign string, frequency bigint, position_lat double, position_lon double, entity_type string, timestamp timestamp")
+    keys = spark.createDataFrame([("A", "X", "Y", t(10)), ("B", "X", "Y", t(10))], "callsign string, departure string, arrival string, logon_time timestamp")
+    summaries = spark.createDataFrame([(1, "A", "X", "Y", t(10), t(90)), (2, "A", "X", "Y", t(10), t(40)), (3, "B", "X", "Z", t(10), t(20)), (4, "B", "X", "Y", t(10), None)],
+                                      "id bigint, callsign string, departure string, arrival string, logon_time timestamp, completion_time timestamp")
+    done_ = C.flight_completion_time(summaries)
+    rows = C.flight_radio_rows(keys, radios, F.lit(t(70)), done_)
+    assert sorted((r.callsign, r.id) for r in rows.collect()) == [("A", i) for i in (10, 20, 30, 40)] + [("B", i) for i in range(10, 80, 10)]
