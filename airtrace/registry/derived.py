@@ -12,7 +12,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from airtrace.operators.sectors import sector_stays
 from airtrace.session import sortable_times
+from airtrace.sources.reference import rectangle_sectors
 
 AS_OF_EVENTS = "2024-01-01 03:00:00"
 AS_OF_ORDERS = "2001-08-01 00:00:00"
@@ -126,13 +128,17 @@ TIMES = {
 
 
 def store(spark: SparkSession, sf_dir: str, out: str, parts: int = 8) -> None:
-    """Write the large derived tables, in time order, and read them from there
-    on: they then are stored tables, as in use, and not views over others."""
+    """Write the large derived tables and the sector stays, in time order, and
+    read them from there on: they then are stored tables, as in use, and not
+    views over others."""
     tables = Derived(spark, sf_dir)
     with sortable_times(spark):
         for name, time in TIMES.items():
             tables.derived(name).repartitionByRange(parts, time).sortWithinPartitions(time).write.parquet(f"{out}/{name}")
     STORED[sf_dir] = out
+    stays = tables.computed_stays()
+    with sortable_times(spark):
+        stays.repartitionByRange(parts, "entry_timestamp").write.parquet(f"{out}/stays")
 
 
 class Derived:
@@ -166,6 +172,16 @@ class Derived:
             return self.spark.read.parquet(f"{STORED[self.dir]}/{name}")
         return self.sql(DERIVED[name])
 
+    def computed_stays(self) -> DataFrame:
+        return sector_stays(self.flights, rectangle_sectors(self.sector_rectangles))
+
+    @cached_property
+    def stays(self) -> DataFrame:
+        """The sector stays, which in use are a stored table."""
+        if self.dir in STORED:
+            return self.spark.read.parquet(f"{STORED[self.dir]}/stays")
+        return self.computed_stays()
+
     @cached_property
     def flights(self) -> DataFrame:
         return self.derived("fx_flights")

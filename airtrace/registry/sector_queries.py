@@ -76,7 +76,7 @@ from (select s.*, s.exit_timestamp is null and n.last_updated < timestamp '{LATE
 
 
 def stays(t):
-    return S.sector_stays(t.flights, rectangle_sectors(t.sector_rectangles))
+    return t.stays
 
 
 def closed(t):
@@ -102,7 +102,7 @@ def main_sector_for_point(t):
 
 @query("sector_stays", "select * from stays")
 def sector_stays(t):
-    return stays(t)
+    return t.computed_stays()
 
 
 @query(

@@ -209,6 +209,36 @@ def read(
     return rows if partitions else rows.select(*schema.names)
 
 
+def upsert_newest(df: DataFrame, store: str, table: str, key: str, time: str, run: str) -> Version:
+    """Keep the newest row per key in a table, by time and then id; rows that come late change nothing.
+
+    A row lies in the partition of its date. Only partitions that hold a key of
+    the new rows, and those the new rows go to, are written again, so keys that
+    have not been seen for long cost nothing.
+    """
+    spark = df.sparkSession
+    now = latest(spark, store)
+    if now.marks.get(f"newest-{table}") == run:
+        return now
+
+    def newest(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c != key]
+        found = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(time, "id")).alias("_n"))
+        return found.select(*[F.col(key) if c == key else F.col(f"_n.{c}") for c in rows.columns])
+
+    fresh = newest(df.where(F.col(key).isNotNull() & F.col(time).isNotNull()))
+    old: list[Entry] = []
+    if now.of(table):
+        held = read(spark, store, table, now).join(fresh.select(key), key, "left_semi")
+        dates = held.select(F.to_date(time).alias("d")).unionByName(fresh.select(F.to_date(time).alias("d"))).distinct()
+        touched = {str(r.d) for r in dates.collect()}  # a row per date
+        old = [e for e in now.of(table) if e.date in touched]
+        if old:
+            fresh = newest(read(spark, store, table, now, old).unionByName(fresh))
+    entries, _ = stage(fresh, store, table, run, time)
+    return publish(spark, store, Change(f"newest-{table}", run, tuple(entries), tuple(old), {table: df.schema}))
+
+
 def statistics(spark: SparkSession, store: str) -> DataFrame:
     """Rows and first and last time per partition folder, from the manifest alone."""
     rows = [(e.table, e.part, e.run, e.rows, e.first, e.last) for e in sorted(latest(spark, store).entries)]
