@@ -19,9 +19,10 @@ Removed are the bytes covered by a repeat. "First" is by doc_id, then by hash of
 the text where ids are repeated, then by place in the text.
 
 Nulls, empty and odd input: a null text is empty; texts below 100 bytes lose
-nothing; a null id counts as larger than any other; rows with equal id and text
-are one document and share a result. Further columns do not matter. Kept bytes
-need not be valid UTF-8.
+nothing; a null id counts as larger than any other. Every row has a result: of
+rows with equal id and text one is the first, and the others repeat it wholly;
+rows without id are told apart by a 62-bit hash of their text. Further columns
+do not matter. Kept bytes need not be valid UTF-8.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from airtrace.llm.arrow import chunks
 from airtrace.llm.common import require
-from airtrace.session import materialise
+from airtrace.session import broadcast_if_few, materialise
 
 LENGTH = 100
 GRAM = 32
@@ -45,6 +46,10 @@ RUN = 512
 #: Symbols of a suffix-sorted block, whole keys apart.
 BLOCK = 1 << 20
 LAST_ID = (1 << 63) - 1
+#: From here on ``sub`` belongs to rows without id.
+NO_ID = 1 << 62
+#: Copies of a row that are listed at once.
+SPREAD = 65_536
 BASE = 0x9E3779B97F4A7C15 | 1
 WORD = (1 << 64) - 1
 _powers: dict[str, np.ndarray] = {}
@@ -208,8 +213,8 @@ def repeats(texts: list[bytes], sizes: np.ndarray, starts: np.ndarray) -> np.nda
 
 # ---------------------------------------------------------------------- Spark
 
-PIECE = "key long, body long, id long, sub int, start long, n long, twice int"
-RUNS = "key long, id long, sub int, start long, n long, kind int"
+PIECE = "key long, body long, id long, sub long, start long, n long, twice int"
+RUNS = "key long, id long, sub long, start long, n long, kind int"
 REPEAT, FETCH = 0, 1
 
 
@@ -275,7 +280,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from settled(held)
 
 
-TEXTS = "key long, id long, sub int, start long, n long, body binary"
+TEXTS = "key long, id long, sub long, start long, n long, body binary"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,14 +333,33 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block(held)
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    """Rows (id, sub, text); ``sub`` tells texts of one id apart and is 0 where ids are unique."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    light = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"))
-    if light.groupBy("id").count().where("count > 1").isEmpty():
-        return rows.withColumn("sub", F.lit(0))
-    ranked = rows.withColumn("sub", (F.dense_rank().over(Window.partitionBy("id").orderBy(F.xxhash64("text"))) - 1).cast("int"))
-    return materialise(ranked.withColumn("_n", F.row_number().over(Window.partitionBy("id", "sub").orderBy("id"))).where("_n = 1").drop("_n"), "texts")
+def _placed(docs: DataFrame) -> DataFrame:
+    """Rows (id, sub, text): ``sub`` orders texts of one id, and those without id after all others.
+
+    It is 0 for ids that occur once, else a hash of the text.
+    """
+    hashed = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(NO_ID - 1))
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"),
+        F.when(F.col("doc_id").isNull(), hashed + NO_ID).otherwise(hashed).alias("sub"))
+    often = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).count().where("count > 1")
+    often = materialise(often.select("id", F.lit(True).alias("often")), "repeated-ids")
+    rows = rows.join(broadcast_if_few(often), "id", "left")
+    sub = F.when(F.col("often") | (F.col("sub") >= NO_ID), F.col("sub")).otherwise(F.lit(0).cast("long"))
+    return rows.select("id", sub.alias("sub"), "text")
+
+
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Different rows (id, sub, text), and how often those occur that occur more than once (id, sub, copies)."""
+    rows = _placed(docs)
+    copies = materialise(rows.groupBy("id", "sub").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    if copies.isEmpty():
+        return rows, copies
+    some = broadcast_if_few(copies.select("id", "sub"))
+    once = rows.join(some, ["id", "sub"], "left_anti")
+    # one of each group, found before anything is shuffled
+    one = rows.join(some, ["id", "sub"], "left_semi").groupBy("id", "sub").agg(F.first("text").alias("text"))
+    return materialise(once.unionByName(one), "texts"), copies
 
 
 def repeat_runs(rows: DataFrame) -> DataFrame:
@@ -356,10 +380,10 @@ REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """Per document: bytes, removed bytes, removed runs and the digest (or the bytes) of what stays."""
     require(docs, "doc_id", "text")
-    rows = _prepared(docs)
+    rows, copies = _prepared(docs)
     runs = repeat_runs(rows).groupBy("id", "sub").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     joined = rows.join(runs, ["id", "sub"], "left")
-    schema = "id long, sub int, " + REMOVED + (", kept binary" if keep_bytes else "")
+    schema = "id long, sub long, " + REMOVED + (", kept binary" if keep_bytes else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -382,4 +406,15 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
                 yield _table(schema, *out)
 
     made = joined.select("id", "sub", "text", "runs").mapInArrow(run, schema)
-    return made.withColumn("doc_id", F.when(F.col("id") != LAST_ID, F.col("id")))
+    # copies of a row repeat it wholly; they are listed in two steps, so that no array holds very many
+    made = made.join(copies, ["id", "sub"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    made = made.withColumn("_far", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / SPREAD))))
+    made = made.withColumn("_near", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.least(F.col("copies") - F.col("_far") * SPREAD, F.lit(SPREAD)) - 1)))
+    whole = ((F.col("_far") > 0) | (F.col("_near") > 0)) & (F.col("n_bytes") >= LENGTH)
+    empty = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.sha2(F.lit(""), 256)}
+    if keep_bytes:
+        empty["kept"] = F.lit(b"")
+    made = made.withColumns({c: F.when(whole, v).otherwise(F.col(c)) for c, v in empty.items()})
+    known = ~((F.col("id") == LAST_ID) & (F.col("sub") >= NO_ID))
+    return made.withColumn("doc_id", F.when(known, F.col("id"))).drop("_far", "_near", "copies")

@@ -269,13 +269,17 @@ def test_components(spark):
 
 
 def without_repeats(docs):
+    """By a table of all 100-byte strings, every row a document of its own; equal ids go by a hash of the text."""
+    def order(d):
+        h = xxhash.xxh64_intdigest((d[1] or "").encode(), 42) & ((1 << 62) - 1)
+        return d[0] is None, d[0] or 0, h
+
     seen, out = {}, []
-    texts = sorted({(i is None, i, t or "") for i, t in docs}, key=lambda d: d[:2])
-    for _, i, text in texts:
-        data = text.encode()
+    for nth, (i, text) in enumerate(sorted(docs, key=order)):
+        data = (text or "").encode()
         hit = np.zeros(len(data), dtype=bool)
         for a in range(len(data) - 99):
-            if seen.setdefault(data[a:a + 100], (i, a)) != (i, a):
+            if seen.setdefault(data[a:a + 100], (nth, a)) != (nth, a):
                 hit[a:a + 100] = True
         kept = bytes(b for b, h in zip(data, hit) if not h)
         spans = int(hit[:1].sum() + (hit[1:] & ~hit[:-1]).sum())
@@ -290,6 +294,36 @@ def test_repeats_of_odd_rows(spark):
     assert suffix.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_repeats_of_equal_ids_and_without_id(spark):
+    same = PASSAGE + "same"
+    rows = [(1, same), (1, same), (1, same), (1, "other " + PASSAGE), (2, "short"), (2, "short"), (None, PASSAGE * 2), (None, PASSAGE * 2), (None, same), (None, None),
+            (None, None), (2**63 - 1, "last " + PASSAGE), (2**63 - 1, "last " + PASSAGE), (2**63 - 1, same), (0, "x" * 99), (-5, "first " + PASSAGE), (3, None), (3, "")]
+    for copies in (1, 40):
+        docs = rows + [(1, same)] * copies + [(None, same)] * copies
+        for spread in (65_536, 7):
+            suffix.SPREAD, before = spread, suffix.SPREAD
+            try:
+                got = suffix.remove_repeats(documents(spark, docs))
+                columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+                assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == without_repeats(docs)
+            finally:
+                suffix.SPREAD = before
+    kept = suffix.remove_repeats(documents(spark, [(1, same), (1, same)]), keep_bytes=True).collect()
+    assert sorted(bytes(r.kept) for r in kept) == sorted([b"", suffix_kept(same)])
+
+
+def suffix_kept(text):
+    (row,) = [r for r in without_repeats([(1, text)])]
+    data, seen, hit = text.encode(), set(), set()
+    for a in range(len(data) - 99):
+        if data[a:a + 100] in seen:
+            hit.update(range(a, a + 100))
+        seen.add(data[a:a + 100])
+    kept = bytes(b for i, b in enumerate(data) if i not in hit)
+    assert hashlib.sha256(kept).hexdigest() == row[4]
+    return kept
+
+
 def test_repeats_of_given_tables(spark):
     docs = [(r.doc_id, r.text) for r in given(spark, "documents").collect()]
     got = queries.queries()["op5_suffix_array"](spark, FOLDER)
