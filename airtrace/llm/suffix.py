@@ -44,7 +44,7 @@ GRAM = 32
 #: Strings of a piece at most; cuts runs in texts that repeat one short pattern.
 RUN = 512
 #: Symbols of a suffix-sorted block, whole keys apart.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 LAST_ID = (1 << 63) - 1
 #: From here on ``sub`` belongs to rows without id.
 NO_ID = 1 << 62
@@ -111,9 +111,29 @@ def pieces(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 # ------------------------------------------------- difference-cover suffix sort
 
 
+#: Symbols and ranks below this fit three into one number.
+PACKED = 1 << 21
+
+
+def _packed(columns: list[np.ndarray]) -> np.ndarray | None:
+    """Columns as one number per row that sorts like them, if they fit."""
+    if any(len(c) and c.max() >= PACKED for c in columns):
+        return None
+    key = columns[0].astype(np.int64)
+    for c in columns[1:]:
+        key = key << 21 | c
+    return key
+
+
+def _sorted(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by their columns."""
+    key = _packed(columns)
+    return np.lexsort(columns[::-1]) if key is None else np.argsort(key, kind="stable")
+
+
 def _ranked(triples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
     """Order of triples, their names (from 1) in that order, and whether all differ."""
-    order = np.lexsort(triples[::-1])
+    order = _sorted(triples)
     columns = [t[order] for t in triples]
     new = np.zeros(len(order), dtype=bool)
     for c in columns:
@@ -144,7 +164,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     sampled = sample[sample_order]
     sampled = sampled[sampled < n]
     others = np.arange(0, n, 3)
-    others = others[np.lexsort((rank[others + 1], s[others]))]
+    others = others[_sorted([s[others], rank[others + 1]])]
     # merge: where each remaining suffix falls among the sampled ones of either kind
     first, second = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     before_ones = _count_before(
@@ -161,7 +181,10 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 
 
 def _count_before(sampled: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
-    """How many sampled keys are below each other key; no two keys are equal."""
+    """How many sampled keys, which are in order, are below each other key; no two keys are equal."""
+    low, high = _packed(sampled), _packed(others)
+    if low is not None and high is not None:
+        return np.searchsorted(low, high)
     m, k = len(sampled[0]), len(others[0])
     columns = [np.concatenate(pair) for pair in zip(sampled, others)]
     order = np.lexsort(columns[::-1])
