@@ -44,7 +44,7 @@ EXTRA_BLANKS = re.compile("[\x1c-\x1f]")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Words whose tokens a task remembers; the memory is emptied when full.
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 17
 NEVER = 1 << 30
 
 
