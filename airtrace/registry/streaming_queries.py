@@ -18,7 +18,7 @@ from airtrace.registry.filter_queries import (
 )
 from airtrace.registry.match_queries import LIMIT_CASE, NM
 from airtrace.registry.source_queries import landed_polls
-from airtrace.session import materialise, shared_folder
+from airtrace.session import materialise, materialise_by, shared_folder
 from airtrace.sources import tables
 from airtrace.sources.reference import rectangle_sectors
 from airtrace.sources.snapshots import src_snapshots
@@ -131,10 +131,10 @@ def _land_in_order(df, name: str, time: str, files: int) -> str:
     # every seventh row comes a minute late; the watermark is further behind
     seen = F.unix_seconds(time) + F.when(F.pmod("id", F.lit(7)) == 0, 60).otherwise(0)
     nth = F.floor((seen - F.unix_seconds(F.lit(span.a))) / width)
-    dealt = df.withColumn("_nth", F.least(nth, F.lit(files - 1))).cache()
+    # dealt out once by all tasks; a file then reads the rows of its own folder only
+    dealt = materialise_by(df.withColumn("_nth", F.least(nth, F.lit(files - 1)).cast("int")), f"{name}-dealt", "_nth")
     for i in range(files):
         dealt.where(F.col("_nth") == i).drop("_nth").coalesce(1).write.mode("append").parquet(path)
-    dealt.unpersist()
     return path
 
 

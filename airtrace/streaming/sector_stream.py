@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections import namedtuple
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,8 +17,12 @@ STATE = (
     "sector string, entry_us bigint, entry_lat double, entry_lon double, entry_altitude int,"
     "last_us bigint, last_lat double, last_lon double, last_altitude int"
 )
-WAITING = "us bigint, id bigint, seen string, latitude double, longitude double, altitude int"
-Row = namedtuple("Row", [part.split()[0] for part in WAITING.split(",")])
+# The waiting rows of an aircraft in one Arrow stream: a state row for each of them costs far more.
+WAITING = "rows binary"
+ROWS = pa.schema([
+    ("us", pa.int64()), ("id", pa.int64()), ("seen", pa.string()),
+    ("latitude", pa.float64()), ("longitude", pa.float64()), ("altitude", pa.int32()),
+])
 STAY = (
     "callsign string, sector_name string, entry_timestamp timestamp, exit_timestamp timestamp,"
     "duration_seconds int, entry_lat double, entry_lon double, exit_lat double, exit_lon double,"
@@ -26,30 +32,62 @@ STAY_COLUMNS = [part.split()[0] for part in STAY.split(",")]
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+EPOCH = datetime(1970, 1, 1)
+
+
 def _stay(callsign: str, s: tuple) -> tuple:
     """A closed stay; the exit is the last row seen."""
-    entry, last = (pd.Timestamp(us, unit="us") for us in (s[1], s[5]))
+    entry, last = (EPOCH + timedelta(microseconds=us) for us in (s[1], s[5]))
     return (callsign, s[0], entry, last, (s[5] - s[1]) // 1_000_000, s[2], s[3], s[6], s[7], s[4], s[8])
 
 
-def advance(callsign: str, state: tuple | None, rows) -> tuple[tuple | None, list[tuple]]:
-    """Apply position rows in time order; give the new state and closed stays."""
-    closed: list[tuple] = []
-    for r in rows:
-        here = (r.us, r.latitude, r.longitude, r.altitude)
-        if state is not None and r.us - state[5] > GAP_SECONDS * 1_000_000:
-            if state[0]:
-                closed.append(_stay(callsign, state))
-            state = None
-        before = state[0] if state is not None else ""
-        now = before if r.seen is None else r.seen
-        if state is None or now != before:
-            if before:
-                closed.append(_stay(callsign, state))
-            state = (now, *here, *here)
-        else:
-            state = (*state[:5], *here)
-    return state, closed
+def _places(frame: pd.DataFrame, at: np.ndarray) -> list[tuple]:
+    """Time, position and altitude of some rows; what is absent is None."""
+    some = frame.iloc[at]
+    columns = [some["us"].tolist(), *[some[c].astype(object).where(some[c].notna(), None) for c in ("latitude", "longitude")]]
+    altitudes = [None if pd.isna(v) else int(v) for v in some["altitude"].tolist()]
+    return list(zip(*columns, altitudes))
+
+
+def advance(callsign: str, state: tuple | None, rows: pd.DataFrame | Iterable[tuple]) -> tuple[tuple | None, list[tuple]]:
+    """Apply position rows in time order; give the new state and closed stays.
+
+    Rows are taken as columns: only where a stay begins or ends is there a step in Python.
+    """
+    frame = pd.DataFrame(rows)
+    if frame.empty:
+        return state, []
+    us = frame["us"].to_numpy(dtype=np.int64)
+    first_gap = state is None or us[0] - state[5] > GAP_SECONDS * 1_000_000
+    gap = np.r_[first_gap, np.diff(us) > GAP_SECONDS * 1_000_000]
+    known = frame["seen"].notna().to_numpy()
+    # a row that does not tell its sector has that of the row before, and none after a gap
+    at = np.maximum.accumulate(np.where(known | gap, np.arange(len(us)), -1))
+    told = np.where(known, frame["seen"].to_numpy(dtype=object), "")
+    now = np.where(at < 0, "" if state is None else state[0], told[at])
+    begins = gap.copy()
+    begins[1:] |= now[1:] != now[:-1]
+    begins[0] |= not first_gap and now[0] != state[0]
+    first = np.flatnonzero(begins)
+    last = np.r_[first[1:] - 1, len(us) - 1] if len(first) else first
+    stays = [] if state is None else [state]
+    if not begins[0]:  # the stay so far goes on
+        until = first[0] - 1 if len(first) else len(us) - 1
+        stays = [(*state[:5], *_places(frame, np.array([until]))[0])]
+    stays += [(sector, *a, *b) for sector, a, b in zip(now[first], _places(frame, first), _places(frame, last))]
+    return stays[-1], [_stay(callsign, s) for s in stays[:-1] if s[0]]
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    out = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pandas(rows, schema=ROWS, preserve_index=False)
+    with pa.ipc.new_stream(out, ROWS) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(rows: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(rows))).read_pandas()
 
 
 class SectorStays(StatefulProcessor):
@@ -63,7 +101,7 @@ class SectorStays(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("stay", STATE)
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.waiting = handle.getValueState("waiting", WAITING)
 
     def _emit(self, closed: list[tuple]) -> Iterator[pd.DataFrame]:
         if closed:
@@ -71,12 +109,12 @@ class SectorStays(StatefulProcessor):
                 {"entry_altitude": "Int32", "exit_altitude": "Int32"}
             )
 
-    def _settle(self, callsign: str, waiting: list[Row], passed_us: int) -> Iterator[pd.DataFrame]:
+    def _settle(self, callsign: str, waiting: pd.DataFrame, passed_us: int) -> Iterator[pd.DataFrame]:
         """Apply the rows that the watermark has passed and set the next timer."""
-        waiting.sort(key=lambda r: (r.us, r.id is None, r.id))
-        due = [r for r in waiting if r.us <= passed_us]
-        rest = waiting[len(due):]
-        old = self.state.get() if self.state.exists() else None
+        waiting = waiting.sort_values(["us", "id"], kind="stable", na_position="last")
+        n = int(np.searchsorted(waiting["us"].to_numpy(dtype=np.int64), passed_us, side="right"))
+        due, rest = waiting.iloc[:n], waiting.iloc[n:]
+        old = tuple(self.state.get()) if self.state.exists() else None
         new, closed = advance(callsign, old, due)
         gap = GAP_SECONDS * 1_000_000
         if new is not None and passed_us > new[5] + gap:
@@ -84,27 +122,26 @@ class SectorStays(StatefulProcessor):
                 closed.append(_stay(callsign, new))
             new = None
         self.state.clear() if new is None else self.state.update(new)
-        self.waiting.clear() if not rest else self.waiting.put([tuple(r) for r in rest])
+        self.waiting.clear() if rest.empty else self.waiting.update((_packed(rest),))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if rest:
-            self.handle.registerTimer(-(-rest[0].us // 1000))
+        if not rest.empty:
+            self.handle.registerTimer(-(-int(rest["us"].iloc[0]) // 1000))
         elif new is not None:
             self.handle.registerTimer((new[5] + gap) // 1000 + 1)
         yield from self._emit(closed)
 
-    def _rows(self) -> list[Row]:
-        return [Row(*r) for r in self.waiting.get()] if self.waiting.exists() else []
+    def _rows(self) -> list[pd.DataFrame]:
+        return [_unpacked(self.waiting.get()[0])] if self.waiting.exists() else []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # the rows of one aircraft in one micro-batch: one per poll
-        frame = pd.concat(list(rows))[list(Row._fields)].astype(object)
-        frame = frame.where(frame.notna(), None)
-        new = [Row(*r) for r in frame.itertuples(index=False)]
-        yield from self._settle(key[0], self._rows() + new, timerValues.getCurrentWatermarkInMs() * 1000)
+        waiting = pd.concat([*self._rows(), *[r[ROWS.names] for r in rows]], ignore_index=True)
+        yield from self._settle(key[0], waiting, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key[0], self._rows(), timerValues.getCurrentWatermarkInMs() * 1000)
+        waiting = self._rows() or [ROWS.empty_table().to_pandas()]
+        yield from self._settle(key[0], waiting[0], timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         frame = initialState[STATE_COLUMNS].astype(object)

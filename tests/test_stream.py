@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from airtrace.operators.sectors import sector_stays, stale_sector_close
@@ -9,6 +10,7 @@ from airtrace.sources.reference import rectangle_sectors
 from airtrace.streaming import sector_stream, windows
 
 T0 = datetime(2024, 1, 1, 6, 0)
+US = 1_000_000
 SCHEMA = "id bigint, callsign string, latitude double, longitude double, altitude int, groundspeed int, last_updated timestamp"
 
 
@@ -103,3 +105,71 @@ def test_open_stays_and_a_start_from_batch_stays(spark, tmp_path):
         assert all_columns(found) == all_columns(want) and held.count() > 0
         later = F.lit(T0 + timedelta(hours=9))
         assert all_columns(stale_sector_close(found, whole, later)) == all_columns(stale_sector_close(want, whole, later))
+
+
+class Cell:
+    """A state variable of any kind that counts the rows written to it."""
+
+    written = 0
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, Cell.written = value, Cell.written + 1
+
+    def put(self, values):
+        self.value, Cell.written = values, Cell.written + len(values)
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    def getValueState(self, name, schema):
+        return Cell()
+
+    getListState = getValueState
+
+    def listTimers(self):
+        return []
+
+    def registerTimer(self, ms):
+        pass
+
+
+class Watermark:
+    def __init__(self, us):
+        self.us = us
+
+    def getCurrentWatermarkInMs(self):
+        return self.us // 1000
+
+
+def test_waiting_rows_do_not_each_take_a_row_of_state():
+    """Two batches of 3,000 rows with nulls and a late row; a batch writes two rows of state, however many rows wait."""
+    stays = sector_stream.SectorStays()
+    stays.init(Handle())
+    Cell.written = 0
+    rows = [(i * 60 * US, i if i % 9 else None, None if i % 5 == 1 else "AB"[i // 1000 % 2], None if i % 7 == 0 else 5.0, 2.0, None if i % 11 == 0 else i)
+            for i in range(6_000)]
+    rows[2_999], rows[3_000] = rows[3_000], rows[2_999]  # one comes a batch late
+    found, passed = [], 0
+    for part in (rows[:3_000], rows[3_000:]):
+        frame = pd.DataFrame(part, columns=["us", "id", "seen", "latitude", "longitude", "altitude"])
+        frame["callsign"] = "T"
+        found += list(stays.handleInputRows(("T",), iter([frame[:700], frame[700:]]), Watermark(passed)))
+        passed = max(r[0] for r in part) - 120 * US
+    found += list(stays.handleExpiredTimer(("T",), Watermark(6_100 * 60 * US), None))
+    got = pd.concat(found)
+    assert Cell.written <= 4
+    assert list(got["sector_name"]) == ["A", "B"] * 3
+    assert list(got["entry_timestamp"]) == [pd.Timestamp(k * 1000 * 60, unit="s") for k in range(6)]
+    assert list(got["duration_seconds"]) == [999 * 60] * 6
+    assert got["entry_lat"].isna().tolist() == [k * 1000 % 7 == 0 for k in range(6)]
