@@ -1,27 +1,39 @@
-"""Near-duplicates by exact Jaccard similarity of five-word shingles.
+"""Near-duplicates by SimHash and covering LSH, decided by exact Jaccard similarity of five-word shingles.
 
 Two texts are near-duplicates if their sets of five-word shingles share at
-least 4/5 of their union. A prefix-filter join finds every such pair: in one
-fixed order of all shingles, two sets that are that similar share a shingle
-among the first n - ceil(4n/5) + 1 of each. Rare shingles come first in that
-order, so that a common line opens no large bucket; the order is read off an
-eighth of the texts and decides about the work only, never about a pair.
+least 4/5 of their union. Fingerprints of the sets go through the covering
+tables of ``simhash``; every pair that these propose is confirmed on the whole
+sets before it becomes an edge.
+
+Similar sets whose fingerprints are further apart than the radius are found by a
+prefix-filter join: in one fixed order of all shingles, two sets that are that
+similar share a shingle among the first n - ceil(4n/5) + 1 of each. Rare
+shingles come first in that order, so that a common line opens no large bucket;
+the order is read off an eighth of the texts and decides about the work only,
+never about a pair.
 
 Places (shingle, set, size, position) go through one shuffle; sorted by shingle
-they stream past, and those of a shingle that only one set has are dropped.
-Equal sets are one throughout.
-
-Candidates are compared in two steps. First every set meets at most two of the
-first sets of its buckets, which joins a large group of near copies in about as
-many rows as it has members. Then only sets of one bucket that are not yet connected
-meet, and only where sizes and positions leave room for the similarity: if the
-shingle is the first that both have, they share no more than what follows it.
-For that the shorter set of a pair is keyed by its length class, and the longer
-one by the classes that its position allows, so that sets which cannot be alike
-are not paired however many share a shingle. Every pair is confirmed on the
-whole sets before it becomes an edge; before that, a bit per shingle tells most
-others apart: sets that differ in d shingles have parity bitmaps that differ in
-d bits at most.
+and position they stream past, and those of a shingle that only one set has are
+dropped. Equal sets are one throughout.
+
+First every set meets at most two of the first sets of its buckets: the one that
+has the fewest rarer shingles, which in a group of edited copies is next to what
+they were copied from, and the one it shares most with. Then only sets of one
+bucket that are not yet connected meet, and only where sizes and positions leave
+room for the similarity: if the shingle is the first that both have, they share
+no more than what follows it. For that the shorter set of a pair is keyed by its
+length class, and the longer one by the classes that its position allows.
+
+A large bucket is not paired. Its sets are compared with one of them, the pivot,
+and from then on only what tells a set from the pivot counts. With D(x) the
+shingles that only one of x and the pivot has, x and y differ in
+|D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, so they are both similar to the pivot
+or share a shingle of D; and for that the same prefix-filter join holds. Edits
+that only one copy has come first in it, so copies that were edited apart do not
+meet, however many there are.
+
+Pairs are told apart by parity bitmaps before their sets are read: sets that
+differ in d shingles have bitmaps that differ in d bits at most.
 
 Nulls, empty and odd input: a text with fewer than five words is one shingle, a
 null or blank text one empty shingle, so these are alike only if equal. Case is
@@ -36,10 +48,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from airtrace.llm import simhash
 from airtrace.llm.arrow import chunks
 from airtrace.llm.common import packed, require
 from airtrace.llm.components import components
@@ -53,6 +66,10 @@ SHARE, OF = 4, 5
 ORDER_PART = 8
 #: Shingles seen in so many of those texts come last in the order, at most so many of them.
 COMMON, MOST_COMMON = 8, 1 << 18
+#: Buckets of more sets are told apart by their differences from one of them.
+PAIRED = 32
+#: Sets of so many pivots at most are broadcast.
+FEW_PIVOTS = 1000
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -119,23 +136,38 @@ def confirmed(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame
     both = both.join(light.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
     likely = both.where(may_be_similar(F.col("ba"), F.col("bb"), F.col("na"), F.col("nb")))
     pairs = materialise(likely.select("a", "b"), "pairs")
-    nodes = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    sets = sets_of(docs, points, pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct())
+    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a")
+    both = both.join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared * OF >= (F.size("sa") + F.size("sb") - shared) * SHARE).select("a", "b")
+
+
+def sets_of(docs: DataFrame, points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``sig`` and ``s``, the shingles, of some sets; one exchange by signature serves several joins."""
     texts = _texts_of(docs, points.join(nodes, "sig", "left_semi"))
 
     def row(_, text):
         shingles = shingle_set(text)
         return signature(shingles), shingles.view(np.int64)
 
-    # one exchange by signature serves both joins
-    sets = _mapped(texts, "sig long, s array<long>", row).dropDuplicates(["sig"])
-    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a")
-    both = both.join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * OF >= (F.size("sa") + F.size("sb") - shared) * SHARE).select("a", "b")
+    return _mapped(texts, "sig long, s array<long>", row).dropDuplicates(["sig"])
+
+
+def fingerprint_pairs(points: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, that the covering tables propose: they connect all sets whose fingerprints are within the radius."""
+    first = materialise(points.groupBy("fp").agg(F.min("sig").alias("first")), "fingerprints")
+    same = points.join(first, "fp").where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b"))
+
+    def of(side: str) -> DataFrame:
+        return first.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}"))
+
+    apart = simhash.links(first.select("fp")).join(of("a"), "a").join(of("b"), "b")
+    return same.unionByName(apart.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
 
 
 MET = "token long, sig long, place long, hub long, hub_place long"
-WIDE = "doc_id {kind}, text_hash long, sig long, n long, prefix array<long>, bits array<long>"
+WIDE = "doc_id {kind}, text_hash long, sig long, n long, fp long, prefix array<long>, bits array<long>"
 #: Longs of the smallest and the largest parity bitmap.
 LEAST_BITS, MOST_BITS = 2, 1024
 
@@ -163,7 +195,7 @@ def may_be_similar(bits_a: Column, bits_b: Column, n_a: Column, n_b: Column) ->
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (token, sig): those of tokens that several sets have, with the first set of the token.
+    """Rows in order of (token, place): those of tokens that several sets have, with the first set of the token.
 
     Of a token's rows only the first is held back, until a second set comes.
     """
@@ -197,12 +229,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _n(place: str) -> Column:
-    return F.shiftright(place, 32)
+    return F.col(place).bitwiseAND(F.lit((1 << 32) - 1))
 
 
 def _left(place: str) -> Column:
     """How many shingles of a set there are from a place on."""
-    return F.shiftright(place, 32) - F.col(place).bitwiseAND(F.lit((1 << 32) - 1))
+    return _n(place) - F.shiftright(place, 32)
 
 
 def _class(n: Column) -> Column:
@@ -242,24 +274,28 @@ def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def groups_of(docs: DataFrame, points: DataFrame, met: DataFrame) -> DataFrame:
-    """``sig`` and ``label`` of the sets of ``points`` (sig, doc_id, text_hash, n, bits) that are similar to another."""
+    """``sig`` and ``label`` of the sets of ``points`` (sig, doc_id, text_hash, n, fp, bits) that are similar to another."""
 
     def room(x: str, y: str) -> Column:
         """Whether two sets can still be similar if this is the first shingle that both have."""
         return (F.least(_n(x), _n(y)) * OF >= F.greatest(_n(x), _n(y)) * SHARE) & (
             F.least(_left(x), _left(y)) * (SHARE + OF) >= (_n(x) + _n(y)) * SHARE)
 
-    # of the first sets of its buckets a set meets the least one and the one it shares most with
-    shared = met.where((F.col("sig") != F.col("hub")) & room("place", "hub_place")).groupBy("sig", "hub").count()
-    hubs = shared.groupBy("sig").agg(F.min("hub").alias("least"), F.max_by("hub", F.struct("count", "hub")).alias("most"))
-    stars = hubs.select(F.col("sig").alias("b"), F.explode(F.array("least", "most")).alias("a"))
-    near = materialise(confirmed(stars.select("a", "b"), docs, points), "similar")
+    shared = met.where((F.col("sig") != F.col("hub")) & room("place", "hub_place")).groupBy("sig", "hub").agg(
+        F.count("*").alias("count"), F.min("hub_place").alias("front"))
+    hubs = shared.groupBy("sig").agg(
+        F.min_by("hub", F.struct("front", "hub")).alias("central"), F.max_by("hub", F.struct("count", "hub")).alias("most"))
+    stars = hubs.select("sig", F.explode(F.array("central", "most")).alias("hub")).select(
+        F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
+    near = materialise(confirmed(fingerprint_pairs(points).unionByName(stars), docs, points), "similar")
 
     labels = joined(roots(near), near)
-    labelled = met.join(labels, "sig", "left").select("token", "sig", "place", F.coalesce("label", "sig").alias("label"))
+    labelled = met.join(labels, "sig", "left").select("token", "sig", "place", "hub", F.coalesce("label", "sig").alias("label"))
     labelled = materialise(labelled, "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    open_rows = labelled.join(mixed.select("token"), "token", "left_semi")
+    mixed = labelled.groupBy("token").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("sets"), F.first("hub").alias("hub"))
+    mixed = materialise(mixed.where("low <> high").select("token", "sets", "hub"), "mixed")
+    open_rows = labelled.join(mixed.where(F.col("sets") <= PAIRED).select("token"), "token", "left_semi")
     # the longer set looks for shorter ones, down to 4/5 and up to what its place leaves room for
     n, left = _n("place"), _left("place")
     most = F.least(n, F.floor(left * (SHARE + OF) / SHARE) - n)
@@ -271,8 +307,65 @@ def groups_of(docs: DataFrame, points: DataFrame, met: DataFrame) -> DataFrame:
     longer = (_n("place_x") > _n("place_y")) | ((_n("place_x") == _n("place_y")) & (F.col("sig_x") < F.col("sig_y")))
     pairs = x.join(y, ["token", "class"]).where(
         longer & (F.col("label_x") != F.col("label_y")) & room("place_x", "place_y"))
-    rest = confirmed(pairs.select(F.least("sig_x", "sig_y").alias("a"), F.greatest("sig_x", "sig_y").alias("b")), docs, points)
-    return joined(labels, rest)
+    pairs = pairs.select(F.least("sig_x", "sig_y").alias("a"), F.greatest("sig_x", "sig_y").alias("b"))
+    large = mixed.where(F.col("sets") > PAIRED)
+    if not large.isEmpty():
+        told = differences(docs, points, labelled, large, labels)
+        by_pivot = told.where("near and sig <> pivot").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
+        labels = joined(labels, by_pivot)
+        pairs = pairs.unionByName(differing_pairs(told, labels))
+    return joined(labels, confirmed(pairs, docs, points))
+
+
+def differences(docs: DataFrame, points: DataFrame, labelled: DataFrame, large: DataFrame, labels: DataFrame) -> DataFrame:
+    """The sets of large buckets (token, hub) by what tells them from a pivot, one for the buckets whose hubs are connected.
+
+    Gives pivot, sig, n, differ (the differing shingles) and near (similar to the pivot).
+    """
+    known = labels.select(F.col("sig").alias("hub"), F.col("label").alias("group"))
+    grouped = large.join(known, "hub", "left").select("token", "hub", F.coalesce("group", "hub").alias("group"))
+    pivots = grouped.groupBy("group", "hub").count().groupBy("group").agg(F.max_by("hub", F.struct("count", "hub")).alias("pivot"))
+    pivots = materialise(grouped.join(pivots, "group").select("token", "pivot"), "pivots")
+    members = materialise(labelled.select("token", "sig").join(pivots, "token").select("pivot", "sig").distinct(), "members")
+    # every pivot is a set of its own buckets
+    sets = materialise(sets_of(docs, points, members.select("sig").distinct()), "sets")
+    alone = pivots.select("pivot").distinct()
+    few = alone.limit(FEW_PIVOTS + 1).count() <= FEW_PIVOTS
+    of_pivot = sets.join(alone, F.col("sig") == F.col("pivot")).select("pivot", F.col("s").alias("p"))
+    both = members.join(sets, "sig").join(F.broadcast(of_pivot) if few else of_pivot, "pivot")
+    told = both.select(
+        "pivot", "sig", F.size("s").cast("long").alias("n"), F.size("p").alias("of"),
+        F.concat(F.array_except("s", "p"), F.array_except("p", "s")).alias("differ"))
+    near = F.size("differ") * (SHARE + OF) <= (F.col("n") + F.col("of")) * (OF - SHARE)
+    return materialise(told.select("pivot", "sig", "n", "differ", near.alias("near")), "differences")
+
+
+def differing_pairs(told: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of one pivot, not connected yet, that may share enough of their differences from it.
+
+    The rarest differences of a pivot's sets come first; those that one set has meet none and are only counted.
+    """
+    rows = told.select("pivot", "sig", "n", F.size("differ").cast("long").alias("d"), F.explode("differ").alias("token"))
+    several = rows.groupBy("pivot", "token").agg(F.count("*").alias("sets")).where("sets > 1")
+    own = Window.partitionBy("pivot", "sig")
+    rows = rows.join(several, ["pivot", "token"])
+    rows = rows.withColumn("at", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("sets", "token")) - 1)
+    # a similar set is at most n * OF / SHARE long, so all but n / 4 differences of a set are shared, or the other has fewer
+    rows = rows.where(F.col("at") <= F.floor(F.col("n") * (OF - SHARE) / SHARE))
+    places = rows.join(labels, "sig", "left").select("pivot", "token", "sig", "n", "d", "at", F.coalesce("label", "sig").alias("label"))
+    places = materialise(places, "places")
+    mixed = places.groupBy("pivot", "token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    places = places.join(mixed.select("pivot", "token"), ["pivot", "token"], "left_semi")
+
+    def side(name: str) -> DataFrame:
+        return places.select("pivot", "token", *[F.col(c).alias(f"{c}_{name}") for c in ("sig", "n", "d", "at", "label")])
+
+    both = F.col("n_x") + F.col("n_y")
+    shared = F.least(F.col("d_x") - F.col("at_x"), F.col("d_y") - F.col("at_y"))
+    room = (F.least("n_x", "n_y") * OF >= F.greatest("n_x", "n_y") * SHARE) & (
+        (F.col("d_x") + F.col("d_y") - 2 * shared) * (SHARE + OF) <= both * (OF - SHARE))
+    pairs = side("x").join(side("y"), ["pivot", "token"]).where((F.col("sig_x") < F.col("sig_y")) & (F.col("label_x") != F.col("label_y")) & room)
+    return pairs.select(F.col("sig_x").alias("a"), F.col("sig_y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -283,7 +376,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def row(doc_id, text_hash, text):
         shingles = shingle_set(text)
         first = prefix(shingles, tokens, counts)
-        return doc_id, text_hash, signature(shingles), len(shingles), first.view(np.int64), parities(shingles)
+        fp = simhash.signed(simhash.majority(shingles))
+        return doc_id, text_hash, signature(shingles), len(shingles), fp, first.view(np.int64), parities(shingles)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     with owned_files(docs.sparkSession) as keep:
@@ -293,11 +387,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             light = keep(wide.select("doc_id", "text_hash", "sig"), "signatures")
             # of equal sets the row with the least id stands for all
             first = F.min(F.struct("doc_id", "text_hash")).alias("row")
-            points = wide.groupBy("sig").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"))
-            points = hold(points.select("sig", "row.doc_id", "row.text_hash", "n", "bits"), "points")
+            points = wide.groupBy("sig").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"))
+            points = hold(points.select("sig", "row.doc_id", "row.text_hash", "n", "fp", "bits"), "points")
             places = wide.dropDuplicates(["sig"]).select("sig", "n", F.posexplode("prefix").alias("at", "token")).select(
-                "token", "sig", (F.shiftleft("n", 32) + F.col("at")).alias("place"))
-            met = hold(places.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(_met, MET), "met")
+                "token", "sig", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("place"))
+            met = hold(places.repartition("token").sortWithinPartitions("token", "place", "sig").mapInArrow(_met, MET), "met")
         labels = keep(groups_of(docs, points, met), "labels")
     found = light.join(labels, "sig", "left")
     return found.withColumn("label", F.coalesce("label", "sig"))

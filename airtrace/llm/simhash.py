@@ -52,10 +52,15 @@ def fingerprint(text: str, shingle: int = SHINGLE, distinct: bool = False) -> in
     rows = [words[i:] for i in range(shingle)] if len(words) >= shingle else [words]
     parts = map(b" ".join, zip(*rows)) if len(words) >= shingle else [b" ".join(words)]
     parts = set(parts) if distinct else parts
-    hashes = np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], dtype=">u8")
+    return majority(np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A number with the bits that more than half of the hashes have."""
     ones = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(hashes), 65_536):
-        ones += np.unpackbits(hashes[start:start + 65_536].view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+        some = hashes[start:start + 65_536].astype(">u8")
+        ones += np.unpackbits(some.view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 

@@ -26,8 +26,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays.
 
-    Near-duplicates have a five-word Jaccard similarity of 0.8 or more; every pair
-    is confirmed on its shingles.
+    SimHash fingerprints and the covering tables propose pairs; a pair counts if its
+    five-word Jaccard similarity is 0.8 or more, and a prefix-filter join finds the
+    similar ones that are beyond the radius.
     """
     return neardup.one_of_each(docs)
 

@@ -660,6 +660,66 @@ def test_near_duplicates_by_jaccard(spark):
     assert corpus_pipeline.near_dedup(spark, documents(spark, []), FOLDER).count() == 0
 
 
+def edited_copies(n, seed=3):
+    """Copies of one text, each with edits of its own, and a line that many have."""
+    deal = np.random.default_rng(seed)
+    base = [f"w{i}" for i in deal.integers(0, 5000, 140)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in deal.integers(0, len(words), int(deal.integers(0, 8))):
+            words[at] = f"e{i}x{at}" if deal.integers(3) else f"e{at}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_near_dedup_goes_through_the_covering_tables(spark, monkeypatch):
+    """All documents are fingerprinted, the tables' links are among the pairs that are confirmed."""
+    rows = edited_copies(60)
+    wide = [neardup.shingle_set(t) for _, t in rows]
+    want = {simhash.signed(simhash.fingerprint(t, shingle=5, distinct=True)) for _, t in rows}
+    seen, tried = {}, []
+    links, confirmed = simhash.links, neardup.confirmed
+
+    def spy_links(points, *more, **named):
+        seen["points"] = {r.fp for r in points.collect()}
+        found = links(points, *more, **named)
+        seen["links"] = {(r.a, r.b) for r in found.collect()}
+        return found
+
+    def spy_confirmed(pairs, *more):
+        tried.append({(r.a, r.b) for r in pairs.collect()})
+        return confirmed(pairs, *more)
+
+    monkeypatch.setattr(simhash, "links", spy_links)
+    monkeypatch.setattr(neardup, "confirmed", spy_confirmed)
+    got = Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(spark, rows), FOLDER).collect())
+    assert got == Counter(first_of_each(rows))
+    assert seen["points"] == want and seen["links"]
+    fp = {neardup.signature(s): simhash.signed(simhash.majority(s)) for s in wide}
+    known = {tuple(sorted((fp[a], fp[b]))) for a, b in tried[0]}
+    assert {tuple(sorted(p)) for p in seen["links"]} <= known
+
+
+@pytest.mark.parametrize("paired", [4, 32])
+def test_edited_copies_are_not_paired_with_each_other(spark, monkeypatch, paired):
+    """400 copies of one text, most of them less similar than 0.8 to each other: the pairs compared stay few per copy."""
+    rows = edited_copies(400, seed=8)
+    pairs, confirmed = [], neardup.confirmed
+
+    def counted(found, *more):
+        found = found.distinct()
+        pairs.append(found.count())
+        return confirmed(found, *more)
+
+    monkeypatch.setattr(neardup, "confirmed", counted)
+    monkeypatch.setattr(neardup, "PAIRED", paired, raising=False)
+    got = Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(spark, rows), FOLDER).collect())
+    want = Counter(first_of_each(rows))
+    assert got == want and 20 < want.total() < len(rows)
+    assert sum(pairs) < 8 * len(rows), pairs
+
+
 # ---------------------------------------------------------------- pipeline
 
 
