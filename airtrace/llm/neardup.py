@@ -67,7 +67,7 @@ ORDER_PART = 8
 #: Shingles seen in so many of those texts come last in the order, at most so many of them.
 COMMON, MOST_COMMON = 8, 1 << 18
 #: Buckets of more sets are told apart by their differences from one of them.
-PAIRED = 32
+PAIRED = 256
 #: Sets of so many pivots at most are broadcast.
 FEW_PIVOTS = 1000
 
