@@ -2,14 +2,15 @@
 
 Every row is a leaf. The leaves of one source, in order of their ids, are
 hashed in runs of three, level by level, to the source's subroot; the subroots,
-in order of the sources, are hashed in the same way to the root. A level is one
-aggregation: a parent's children are spread by conditional aggregates into one
-column per slot. All slot columns joined and hashed are the parent; all but a
-child's own are its siblings. Ways from the leaves to the root are then handed
-down the same rows, level by level.
-
-Rows are keyed by (tree, parent), so a source that holds a third of the rows is
-spread like any other, and each level has a third of the rows of the one below.
+in order of the sources, are hashed in the same way to the root. Three levels
+are one aggregation: the 27 nodes below a node are spread by conditional
+aggregates into one column per slot. Slots joined and hashed in runs of three
+are their parents, and those again; all of a run but a node's own are its
+siblings. Ways from the leaves to the root are then handed down the same rows,
+three levels at once, so the plan has few joins and the driver little to plan.
+
+Rows are keyed by (tree, group), so a source that holds a third of the rows is
+spread like any other, and each step has a 27th of the rows of the one below.
 Positions come from one sort over ranges. What reaches the driver is the number
 of rows of the largest source and the root.
 
@@ -33,7 +34,10 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FANOUT = 3
 #: Rows that look up their tree together, so that a large tree is many keys.
 PIECE = 65_536
-SLOTS = [f"c{i}" for i in range(FANOUT)]
+#: Levels that one aggregation makes, so that a large tree is few plans and few joins.
+STEP = 3
+SLOTS = [f"c{i}" for i in range(FANOUT**STEP)]
+PATH = "array<struct<left: string, right: string>>"
 
 
 def digest(*inputs: Column) -> Column:
@@ -51,63 +55,68 @@ def record(fields: Mapping[str, Column]) -> Column:
     return digest(*[written(c) for c in fields.values()])
 
 
+def _parents(nodes: Column) -> Column:
+    """Digests of the parents of consecutive nodes."""
+    first = F.sequence(F.lit(1), F.size(nodes), F.lit(FANOUT))
+    return F.transform(first, lambda at: digest(F.slice(nodes, at, FANOUT)))
+
+
 def _levels(nodes: DataFrame, most: int, carried: tuple[str, ...] = ()) -> tuple[list[DataFrame], DataFrame]:
-    """The levels above ``nodes`` (tree, n, place, digest) and each tree's root.
+    """Groups of ``nodes`` (tree, n, place, digest), groups of those, and so on, and each tree's root.
 
-    A level has a row per parent: tree, n (children in the tree), place, one
-    column per slot and digest. ``carried`` columns of the nodes are spread into
-    slots on the first level only.
+    A group has a row: tree, n (nodes in the tree), place, ``kids`` (its nodes
+    in order), ``l1`` and so on (the digests of the levels above them, null
+    where the tree has ended) and digest, the uppermost. ``carried`` columns of
+    the nodes are in the kids of the first groups only.
     """
-    levels: list[DataFrame] = []
-    roots = nodes.where("n = 1").select("tree", "digest")
-    while most > 1:
-        slot = F.pmod("place", F.lit(FANOUT))
-        spread = [
-            F.max(F.when(slot == i, F.col(c))).alias(f"{'c' if c == 'digest' else c}{i}")
-            for c in ("digest", *(carried if not levels else ())) for i in range(FANOUT)]
-        above = nodes.where("n > 1").groupBy("tree", "n", F.floor(F.col("place") / FANOUT).alias("place")).agg(*spread)
-        above = materialise(above.withColumn("digest", digest(*map(F.col, SLOTS))), "merkle")
-        levels.append(above)
-        nodes = above.select("tree", F.ceil(F.col("n") / FANOUT).alias("n"), "place", "digest")
-        roots = roots.unionByName(nodes.where("n = 1").select("tree", "digest"))
-        most = -(-most // FANOUT)
-    return levels, roots
-
-
-def _siblings(own: int) -> Column:
-    """The other slots of a parent's row, to the left and to the right of a child."""
+    groups: list[DataFrame] = []
+    roots = None
+    while not groups or most > 1:
+        kid = F.struct("digest", *(carried if not groups else ()))
+        slot = F.pmod("place", F.lit(len(SLOTS)))
+        spread = [F.max(F.when(slot == i, kid)).alias(c) for i, c in enumerate(SLOTS)]
+        found = nodes.groupBy("tree", "n", F.floor(F.col("place") / len(SLOTS)).alias("place")).agg(*spread)
+        found = found.select("tree", "n", "place", F.array_compact(F.array(*SLOTS)).alias("kids"))
+        below = F.col("kids.digest")
+        for k in range(STEP):
+            found = found.withColumn(f"l{k + 1}", F.when(F.col("n") > FANOUT**k, _parents(below)))
+            below = F.col(f"l{k + 1}")
+        top = F.coalesce(*[F.col(f"l{k}") for k in range(STEP, 0, -1)], F.col("kids.digest"))
+        found = materialise(found.withColumn("digest", top[0]), "merkle")
+        groups.append(found)
+        nodes = found.select("tree", F.ceil(F.col("n") / len(SLOTS)).alias("n"), "place", "digest")
+        ended = nodes.where("n = 1").select("tree", "digest")
+        roots = ended if roots is None else roots.unionByName(ended)
+        nodes = nodes.where("n > 1")
+        most = -(-most // len(SLOTS))
+    return groups, roots
+
+
+def _siblings(level: Column, own: Column) -> Column:
+    """The nodes of a level that share a parent with one of them, to its left and to its right."""
+    nth = F.pmod(own, F.lit(FANOUT)).cast("int")
     return F.struct(
-        F.concat_ws("", *[F.col(c) for c in SLOTS[:own]]).alias("left"),
-        F.concat_ws("", *[F.col(c) for c in SLOTS[own + 1:]]).alias("right"))
-
-
-def _children(above: DataFrame, paths: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """The children of a level with their paths: the siblings, then the parent's path."""
-    met = above.join(paths, ["tree", "place"])
-    child = F.explode(F.array(*[
-        F.struct(
-            F.lit(i).alias("slot"), F.col(f"c{i}").alias("digest"), _siblings(i).alias("with"),
-            *[F.col(f"{c}{i}").alias(c) for c in carried])
-        for i in range(FANOUT)]))
-    rest = [c for c in paths.columns if c not in ("tree", "place", "path")]
-    out = met.select("tree", "place", "path", *rest, child.alias("child")).where("child.digest is not null")
-    return out.select(
-        "tree", (F.col("place") * FANOUT + F.col("child.slot")).alias("place"),
-        F.concat(F.array("child.with"), "path").alias("path"), *rest,
-        *[F.col(f"child.{c}") for c in ("digest", *carried)] if carried else [])
-
-
-def _ways(levels: list[DataFrame], tops: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """A path for every node below ``levels``; ``tops`` has the path of each tree's root.
-
-    Trees of one node only have no row here.
-    """
+        F.array_join(F.slice(level, own - nth + 1, nth), "").alias("left"),
+        F.array_join(F.slice(level, own + 2, F.lit(FANOUT - 1) - nth), "").alias("right"))
+
+
+def _ways(groups: list[DataFrame], carried: tuple[str, ...] = ()) -> DataFrame:
+    """Every node with its path to the root of its tree: tree, place, path, digest and the carried columns."""
     paths = None
-    for k in range(len(levels) - 1, -1, -1):
-        # roots whose tree ends with this level
-        ending = levels[k].where(F.col("n") <= FANOUT).select("tree", "place").join(tops, "tree")
-        paths = ending if paths is None else paths.unionByName(ending)
-        paths = _children(levels[k], paths, carried if k == 0 else ())
+    for k in range(len(groups) - 1, -1, -1):
+        # a group that is the whole of its tree has no way above it
+        above = F.array().cast(PATH)
+        met = groups[k].withColumn("path", above)
+        if paths is not None:
+            met = groups[k].join(paths.select("tree", "place", "path"), ["tree", "place"], "left")
+            met = met.withColumn("path", F.coalesce("path", above))
+        met = met.select("*", F.col("kids.digest").alias("l0"), F.posexplode("kids").alias("slot", "kid"))
+        own = [F.floor(F.col("slot") / FANOUT**j).cast("int") for j in range(STEP)]
+        within = F.array_compact(F.array(*[
+            F.when(F.col("n") > FANOUT**j, _siblings(F.col(f"l{j}"), own[j])) for j in range(STEP)]))
+        paths = met.select(
+            "tree", (F.col("place") * len(SLOTS) + F.col("slot")).alias("place"), F.concat(within, "path").alias("path"),
+            *[F.col(f"kid.{c}") for c in ("digest", *(carried if k == 0 else ()))])
     return paths
 
 
@@ -151,18 +160,9 @@ def manifest(docs: DataFrame, received: Mapping[str, Column] | None = None) -> D
         F.lit(0).cast("long").alias("tree"), F.lit(count).cast("long").alias("n"), F.col("tree").alias("place"), "digest")
     top, roots = _levels(upper, count)
     root = next((r.digest for r in roots.collect()), None)  # one row
-    no_path = F.array().cast("array<struct<left: string, right: string>>")
-    if top:
-        start = roots.select("tree", no_path.alias("path"))
-        ways = _ways(top, start).select(F.col("place").alias("tree"), "path")
-    else:
-        ways = subroots.select("tree", no_path.alias("path"))
-    tops = materialise(ways.join(subroots.withColumnRenamed("digest", "subroot"), "tree"), "tops")
-
-    lone = placed.where("n = 1").join(tops, "tree").select("digest", "path", "subroot", *carried)
-    found = lone
-    if levels:
-        found = lone.unionByName(_ways(levels, tops, carried).select("digest", "path", "subroot", *carried))
+    tops = _ways(top).select(F.col("place").alias("tree"), F.col("path").alias("to_root"), F.col("digest").alias("subroot"))
+    tops = materialise(tops, "tops")
+    found = _ways(levels, carried).join(tops, "tree").withColumn("path", F.concat("path", "to_root"))
     return found.select(
         "doc_id", "source", F.col("digest").alias("leaf"), "path", "subroot", F.lit(root).cast("string").alias("root"),
         F.coalesce("received", "digest").alias("received_leaf"))

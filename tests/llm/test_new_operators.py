@@ -186,6 +186,17 @@ def test_manifest_of_many_sources_and_of_pieces(spark, monkeypatch):
     assert Counter(map(tuple, merkle.verify_received(docs.repartition(5)).collect())) == manifest(rows)
 
 
+def test_manifest_is_a_small_plan(spark):
+    """A driver that plans a join per level and tree of sources runs out of memory."""
+    sizes = [1, 2, 3, 4, 9, 10, 26, 27, 28, 81, 82, 244, 730]
+    rows = [(i, f"s{size:03}", "en", i, f"t{i}\n") for size in sizes for i in range(size)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    got = merkle.verify_received(docs.repartition(3))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3 and plan.count("Relation ") <= 4
+    assert Counter(map(tuple, got.collect())) == manifest(rows)
+
+
 def test_manifest_of_given_tables(spark):
     rows = [tuple(r[c] for c in merkle.FIELDS) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     got = queries.queries()["op12_merkle_manifest"](spark, FOLDER)
