@@ -5,14 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import Future
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import TypeVar
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Folders of intermediate files of the run that is under way.
 _OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
+T = TypeVar("T")
+
 # A side is broadcast by hint only up to this number of rows, which are counted.
 BROADCAST_ROWS = 100_000
 
@@ -87,6 +92,30 @@ def sortable_times(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def at_once(spark: SparkSession, tasks: Sequence[Callable[[], T]]) -> list[T]:
+    """Run a few calls in a thread each and give their results in order; Spark shares its cores among their jobs.
+
+    For small jobs and for calls of the file system, which one by one leave
+    cores idle. The first error is raised when all have ended. Calls must not
+    change settings of the session.
+    """
+    ends: list[Future[T]] = [Future() for _ in tasks]
+
+    def run(task: Callable[[], T], end: Future[T]) -> None:
+        try:
+            end.set_result(task())
+        except BaseException as e:
+            end.set_exception(e)
+
+    # they have the job group and the properties of the caller, such as those of a stream
+    threads = [InheritableThread(target=run, args=pair, session=spark) for pair in zip(tasks, ends)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    return [e.result() for e in ends]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system holds it; one that is not there is no error."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -26,8 +26,10 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
-from airtrace.session import folders, remove, sortable_times
+from airtrace.session import at_once, folders, remove, sortable_times
 
+# Threads that list and delete folders.
+VACUUMS = 8
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 MANIFEST = (
     "table string, part string, run string, rows long, first long, last long, mark string, made_by string, columns string"
@@ -260,15 +262,24 @@ def compact(spark: SparkSession, store: str, table: str, time: str, by: Sequence
     from, so one that is repeated overwrites its own files.
     """
     now = latest(spark, store)
+    change = staged_compaction(spark, store, table, time, now, by, least, grain)
+    return now if change is None else publish(spark, store, change)
+
+
+def staged_compaction(
+    spark: SparkSession, store: str, table: str, time: str, now: Version, by: Sequence[str] = (), least: int = 2,
+    grain: str = "day",
+) -> Change | None:
+    """Merge partitions of a version as ``compact`` does, without publishing; nothing where there is nothing to merge."""
     held: dict[str, list[Entry]] = {}
     for e in now.of(table):
         held.setdefault(e.part, []).append(e)
     old = [e for part in held.values() if len(part) >= least for e in part]
     if not old:
-        return now
+        return None
     run = f"compact-{now.number}"
     entries, _ = stage(read(spark, store, table, now, old), store, table, run, time, by, ordered=True, grain=grain)
-    return publish(spark, store, Change(f"compact-{table}", run, tuple(entries), tuple(old)))
+    return Change(f"compact-{table}", run, tuple(entries), tuple(old))
 
 
 def vacuum(spark: SparkSession, store: str, keep: int = 2) -> int:
@@ -281,26 +292,26 @@ def vacuum(spark: SparkSession, store: str, keep: int = 2) -> int:
     for number in recent:
         rows = spark.read.schema(MANIFEST).json(f"{store}/manifest/v={number}").where("part is not null")
         kept |= {(r.table, f"{r.part}/run={r.run}") for r in rows.collect()}
-    gone = 0
-    for table in folders(spark, store):
-        if table == "manifest":
-            continue
-        for path in _run_folders(spark, f"{store}/{table}"):
-            if (table, path) not in kept:
-                remove(spark, f"{store}/{table}/{path}")
-                gone += 1
+    # a folder per date, kind and run: listed and deleted many at a time
+    held = [(table, name) for table in folders(spark, store) if table != "manifest" for name in folders(spark, f"{store}/{table}")]
+
+    def clean(part: list[tuple[str, str]]) -> int:
+        gone = [(t, path) for t, name in part for path in _run_folders(spark, f"{store}/{t}", name) if (t, path) not in kept]
+        for table, path in gone:
+            remove(spark, f"{store}/{table}/{path}")
+        return len(gone)
+
+    gone = sum(at_once(spark, [lambda part=held[i::VACUUMS]: clean(part) for i in range(VACUUMS)]))
     for number in numbers[:-keep]:
         remove(spark, f"{store}/manifest/v={number}")
     return gone
 
 
-def _run_folders(spark: SparkSession, base: str, below: str = "") -> list[str]:
-    out = []
-    for name in folders(spark, f"{base}/{below}"):
-        path = f"{below}{name}"
-        if name.startswith("run="):
-            out.append(path)
-        elif not name.startswith(("_", ".")):
-            out += _run_folders(spark, base, f"{path}/")
-    return out
-
+def _run_folders(spark: SparkSession, base: str, name: str) -> list[str]:
+    """Folders of runs at or below a folder of a table."""
+    last = name.rsplit("/", 1)[-1]
+    if last.startswith("run="):
+        return [name]
+    if last.startswith(("_", ".")):
+        return []
+    return [path for below in folders(spark, f"{base}/{name}") for path in _run_folders(spark, base, f"{name}/{below}")]

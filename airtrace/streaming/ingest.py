@@ -15,6 +15,7 @@ from airtrace.operators.filters import (
     Ring, filter_boundary_flights, filter_boundary_transceivers, filter_callsign_pattern,
     filter_controller_allowlist, filter_frequency, filter_incomplete_plan,
 )
+from airtrace.session import at_once, sortable_times
 from airtrace.sources import tables
 from airtrace.sources.snapshots import (
     link_transceivers, parse_controllers, parse_flights, parse_transceivers, stream_snapshots,
@@ -72,7 +73,8 @@ def ingest_poll(polls: DataFrame, filters: Filters) -> dict[str, DataFrame]:
 def ingest_batch(polls: DataFrame, store: str, filters: Filters, stream: str, batch: int) -> tables.Version:
     """Stage the rows of one batch of polls in all three tables and publish them together.
 
-    The polls are read and parsed from JSON once. A batch that has been published
+    The polls are read and parsed from JSON once; the tables are then staged at
+    the same time, since each has small jobs. A batch that has been published
     is not taken again; one that died before leaves nothing that is seen, and
     overwrites its own files.
     """
@@ -82,15 +84,18 @@ def ingest_batch(polls: DataFrame, store: str, filters: Filters, stream: str, ba
         return now
     if any(e.run == run for e in now.entries):
         raise RuntimeError(f"run {run} is in the store already: a new stream needs a checkpoint folder of its own")
-    added, schemas_ = [], {}
     polls = polls.persist()
     try:
-        for name, df in ingest_poll(polls, filters).items():
-            entries, _ = tables.stage(df, store, name, run, TIME_COLUMNS[name], KINDS.get(name, ()))
-            added += entries
-            schemas_[name] = df.schema
+        polls.count()  # else each table's job would parse what the others have not kept yet
+        found = ingest_poll(polls, filters)
+        with sortable_times(spark):  # set here, since the threads share the session
+            staged = at_once(spark, [
+                lambda name=name, df=df: tables.stage(df, store, name, run, TIME_COLUMNS[name], KINDS.get(name, ()))
+                for name, df in found.items()])
     finally:
         polls.unpersist()
+    added = [e for entries, _ in staged for e in entries]
+    schemas_ = {name: df.schema for name, df in found.items()}
     return tables.publish(spark, store, tables.Change(f"ingest-{stream}", run, tuple(added), (), schemas_))
 
 
@@ -120,6 +125,12 @@ def ingested(spark: SparkSession, out: str, name: str, **where) -> DataFrame:
 
 def compact_ingested(spark: SparkSession, out: str) -> tables.Version:
     """Merge what many batches have added to a date; readers see the old files or the new ones, never both."""
-    for name, time in TIME_COLUMNS.items():
-        version = tables.compact(spark, out, name, time, KINDS.get(name, ()))
+    version = tables.latest(spark, out)
+    with sortable_times(spark):  # set here, since the threads share the session
+        changes = at_once(spark, [
+            lambda name=name, time=time: tables.staged_compaction(spark, out, name, time, version, KINDS.get(name, ()))
+            for name, time in TIME_COLUMNS.items()])
+    for change in changes:
+        if change is not None:
+            version = tables.publish(spark, out, change)
     return version

@@ -233,3 +233,42 @@ def test_a_batch_is_parsed_once(spark, store, tmp_path, monkeypatch):
     ingest.ingest_batch(polls, store, ingest.Filters(), "s", 0)
     assert len(plans) == 3 and all("InMemoryTableScan" in p for p in plans)
     assert not polls.storageLevel.useMemory  # and let go afterwards
+
+
+def test_tables_are_staged_and_cleaned_at_once(spark, store, tmp_path, monkeypatch):
+    """One table after the other, small jobs leave most cores idle."""
+    import json
+    import threading
+
+    from tests.test_chain import poll
+
+    stage, clean, seen = tables.stage, tables.remove, set()
+    met = threading.Barrier(3)
+
+    def together(df, *args, **named):
+        met.wait(120)  # broken unless all three tables come at the same time
+        return stage(df, *args, **named)
+
+    monkeypatch.setattr(tables, "stage", together)
+    before = spark.conf.get("spark.sql.parquet.outputTimestampType")
+    for n in range(2):
+        text = "\n".join(json.dumps(poll(n)).replace("2025-01-01T10", f"2025-01-0{day}T10") for day in range(1, 7))
+        (tmp_path / f"{n}.json").write_text(text + "\n")
+        polls = spark.read.schema(schemas.POLL).json(str(tmp_path / f"{n}.json"))
+        ingest.ingest_batch(polls, store, ingest.Filters(), "s", n)
+    rows = radio_rows(spark, store)
+    version = ingest.compact_ingested(spark, store)
+    monkeypatch.setattr(tables, "remove", lambda spark, path: seen.add(threading.get_ident()) or clean(spark, path))
+    assert len(rows) == 24 and len(version.of("transceivers")) == 12
+    assert tables.vacuum(spark, store, keep=1) == 2 * (6 + 6 + 12) and len(seen) > 1
+    assert radio_rows(spark, store) == rows and tables.vacuum(spark, store, keep=1) == 0
+    assert spark.conf.get("spark.sql.parquet.outputTimestampType") == before
+
+
+def test_calls_at_once_keep_order_and_raise(spark):
+    from airtrace.session import at_once
+
+    assert at_once(spark, [lambda n=n: spark.range(n).count() for n in (3, 0, 5)]) == [3, 0, 5]
+    assert at_once(spark, []) == []
+    with pytest.raises(ZeroDivisionError):
+        at_once(spark, [lambda: 1 // 0, lambda: 1])
